@@ -1,0 +1,4 @@
+"""The queries of the library and their SQL."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
