@@ -16,14 +16,20 @@ from kgspark.shared import cut
 
 #: Edits up to which lines are linked, and characters a line must have to be linked other than exactly.
 EDITS, MIN_CHARS = 2, 12
+#: Lines that share a segment above which they are verified in the join.
+HOT_KEY = 64
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, at, line): the lines of each text, trimmed; blank ones are left out. A null text has none."""
+    """(id, text_hash, at, line, line_id): the lines of each text, trimmed; blank ones are left out. A null text has none.
+
+    line_id is the line's 64-bit hash; two different lines among n share one with odds of about n^2 / 2^65.
+    """
     parts = F.posexplode(F.split(F.col("text"), "\n"))
     out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("text is not null")
-    out = out.select("id", parts.alias("at", "raw")).select("id", "at", F.trim(F.translate("raw", "\r\t", "  ")).alias("line"))
-    return out.where("line <> ''")
+    out = out.select("id", F.xxhash64("text").alias("text_hash"), parts.alias("at", "raw"))
+    out = out.withColumn("line", F.trim(F.translate("raw", "\r\t", "  "))).where("line <> ''")
+    return out.select("id", "text_hash", "at", "line", F.xxhash64("line").alias("line_id"))
 
 
 def segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
@@ -53,71 +59,79 @@ def probe_keys(line: Column, length: Column, k: int) -> Column:
     return F.array_distinct(F.array(*keys))
 
 
-def edit_links(lines: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def edit_links(lines: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, hot_key: int = HOT_KEY) -> DataFrame:
     """(src, dst) ids of all pairs of distinct lines within k edits. lines: line_id, line; both distinct.
 
-    Lines under min_chars characters have no links.
+    Lines under min_chars characters have no links. Where more than hot_key lines share a segment, the lines travel with
+    the key and are verified in the join itself, so that only links leave it and not all pairs of the key.
     """
     long_enough = lines.where(F.length("line") >= min_chars).withColumn("length", F.length("line"))
     indexed = long_enough.select(F.col("line_id").alias("a"), F.explode(index_keys(F.col("line"), F.col("length"), k)).alias("key"))
     probes = long_enough.select(F.col("line_id").alias("b"), F.explode(probe_keys(F.col("line"), F.col("length"), k)).alias("key"))
-    candidates = indexed.hint("shuffle_hash").join(probes, "key").where("a <> b")
-    candidates = candidates.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
-    candidates = cut(candidates, "candidates")
-    left = lines.select(F.col("line_id").alias("src"), F.col("line").alias("x"))
-    right = lines.select(F.col("line_id").alias("dst"), F.col("line").alias("y"))
-    both = candidates.hint("merge").join(left, "src").hint("merge").join(right, "dst")
-    return both.where(F.levenshtein("x", "y", k) >= 0).select("src", "dst")
+    hot = indexed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_key).select("key")
+    left = lines.select(F.col("line_id").alias("a"), F.col("line").alias("x"))
+    right = lines.select(F.col("line_id").alias("b"), F.col("line").alias("y"))
+    near = F.levenshtein("x", "y", k) >= 0
+
+    candidates = indexed.hint("merge").join(hot, "key", "left_anti").hint("shuffle_hash").join(probes, "key").where("a <> b")
+    candidates = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    few = candidates.hint("merge").join(left, "a").hint("merge").join(right, "b").where(near).select("a", "b")
+
+    hot_left = indexed.hint("merge").join(hot, "key", "left_semi").hint("merge").join(left, "a")
+    hot_right = probes.hint("merge").join(hot, "key", "left_semi").hint("merge").join(right, "b")
+    hot_left = hot_left.select(F.col("key").alias("key_a"), "a", "x")
+    many = hot_left.hint("merge").join(hot_right, (F.col("key_a") == F.col("key")) & (F.col("a") != F.col("b")) & near)
+    many = many.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return few.union(many).distinct().select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
-    """(distinct lines: line_id, class_id, n_links; occurrences: id, at, line_id).
+def line_classes(lines: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(line_id, class_id, n_links) of the lines that have links; lines as of lines_of.
 
     Equal lines are one; class_id is the smallest line_id reachable by links.
     """
-    at = lines_of(docs, id_col, text_col).select("id", "at", "line", F.xxhash64("line").alias("h"))
-    distinct = at.groupBy("line").agg(F.first("h").alias("h"))
-    # a second hash tells lines of one hash apart, so that an id is a line
-    named = distinct.select("line", F.expr("cast(conv(substr(sha2(line, 256), 1, 15), 16, 10) as bigint)").alias("line_id"))
-    named = cut(named, "lines")
-    links = cut(edit_links(named, k, min_chars), "links")
+    # the lines are dealt out by line_id once; index, probes and verification read that one exchange
+    distinct = lines.groupBy("line_id").agg(F.min("line").alias("line"))
+    links = cut(edit_links(distinct, k, min_chars), "links")
     degree = links.select(F.explode(F.array("src", "dst")).alias("line_id")).groupBy("line_id").agg(F.count("*").alias("n_links"))
     components = connected_components(links).select(F.col("node").alias("line_id"), F.col("component").alias("class_id"))
-    out = components.hint("merge").join(degree, "line_id")
-    return named.select("line_id"), cut(out, "classes")
+    return cut(components.hint("merge").join(degree, "line_id"), "classes")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row for each row of docs: id, n_lines, n_kept, n_links, kept (the lines that stay, in order).
+    """One row for each row of docs: id, n_lines, n_kept, n_links, places (of the lines that stay, from 0), kept (those lines).
 
-    A line stays if it is the first of its class: least id, then least place; of repeated ids the first row's. Blank lines
-    are left out, null and empty texts have no lines. A null id comes first. n_links: pairs of a distinct line of the text
-    with different lines within k edits. Other columns are ignored; an empty table gives an empty result.
+    A line stays if it is the first of its class: least id, then least place. Rows of equal id and equal text are one
+    document and share its result; of other texts with an equal id the one with the least hash comes first. Blank lines are
+    left out, null and empty texts have no lines. A null id comes first. n_links: pairs of a distinct line of the text with
+    different lines within k edits. Other columns are ignored; an empty table gives an empty result.
     """
-    sha = F.expr("cast(conv(substr(sha2(line, 256), 1, 15), 16, 10) as bigint)")
-    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text")), "rows")
-    at = lines_of(rows.select(F.struct("id", "row").alias("id"), "text"), "id", "text").select("id", "at", sha.alias("line_id"))
-    _, classes = line_classes(rows, "id", "text", k, min_chars)
+    lines = lines_of(docs, id_col, text_col)
+    at = cut(lines.select("id", "text_hash", "at", "line_id"), "at")
+    classes = line_classes(lines, k, min_chars)
     marked = at.hint("merge").join(classes, "line_id", "left")
-    marked = cut(marked.select("id", "at", "line_id", F.coalesce("class_id", "line_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "marked")
-    first = marked.groupBy("class_id").agg(F.min(F.struct("id", "at")).alias("first"))
-    first = cut(first.select(F.col("first.id.row").alias("row"), F.col("first.at").alias("at")), "first")
-    per_row = marked.groupBy(F.col("id.row").alias("row")).agg(
-        F.count("*").alias("n_lines"),
-        F.aggregate(F.collect_set(F.struct("line_id", "n_links")), F.lit(0).cast("long"), lambda s, x: s + x["n_links"]).alias("n_links"),
-    )
-    kept = first.groupBy("row").agg(F.array_sort(F.collect_list("at")).alias("places"))
-    out = rows.hint("merge").join(per_row, "row", "left").hint("merge").join(kept, "row", "left")
-    none = F.array().cast("array<int>")
-    parts = F.split(F.coalesce("text", F.lit("")), "\n")
-    lines = F.transform(F.coalesce("places", none), lambda p: F.trim(F.translate(F.get(parts, p), "\r\t", "  ")))
-    zero = F.lit(0).cast("long")
+    marked = marked.select("id", "text_hash", "at", "line_id", F.coalesce("class_id", "line_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    marked = cut(marked, "marked")
+    first = marked.groupBy("class_id").agg(F.min(F.struct("id", "text_hash", "at")).alias("first")).select("first.*")
+    links = F.aggregate(F.collect_set(F.struct("line_id", "n_links")), F.lit(0).cast("long"), lambda s, x: s + x["n_links"])
+    counted = marked.groupBy("id", "text_hash").agg(F.count_distinct("at").alias("n_lines"), links.alias("n_links"))
+    kept = first.groupBy("id", "text_hash").agg(F.array_sort(F.collect_list("at")).alias("places"))
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    out = rows
+    for part, names in ((counted, ["n_lines", "n_links"]), (kept, ["places"])):
+        part = part.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), *names)
+        same = out["id"].eqNullSafe(part["__id"]) & (out["text_hash"] == part["__hash"])
+        out = out.hint("merge").join(part, same, "left").drop("__id", "__hash")
+    none, zero = F.array().cast("array<int>"), F.lit(0).cast("long")
+    places = F.coalesce("places", none)
+    pieces = F.split(F.coalesce("text", F.lit("")), "\n")
     return out.select(
-        "id", F.coalesce("n_lines", zero).alias("n_lines"), F.size(F.coalesce("places", none)).cast("long").alias("n_kept"),
-        F.coalesce("n_links", zero).alias("n_links"), lines.alias("kept"),
+        "id", F.coalesce("n_lines", zero).alias("n_lines"), F.size(places).cast("long").alias("n_kept"),
+        F.coalesce("n_links", zero).alias("n_links"), places.alias("places"),
+        F.transform(places, lambda p: F.trim(F.translate(F.get(pieces, p), "\r\t", "  "))).alias("kept"),
     )
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    found = dedup_lines(docs)
-    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_kept", "n_links", F.sha2(F.array_join("kept", "\n"), 256).alias("kept_sha256"))
+    """dedup_lines by doc_id, with the places of the kept lines instead of their text."""
+    return dedup_lines(docs).select(F.col("id").alias("doc_id"), "n_lines", "n_kept", "n_links", F.array_join("places", ",").alias("kept_lines"))
