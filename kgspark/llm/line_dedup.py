@@ -16,8 +16,10 @@ from kgspark.shared import cut
 
 #: Edits up to which lines are linked, and characters a line must have to be linked other than exactly.
 EDITS, MIN_CHARS = 2, 12
-#: Lines that share a segment above which they are verified in the join.
+#: Lines that share a segment above which the join on it looks at a finer cut too.
 HOT_KEY = 64
+#: Segments of the finer cut.
+FINE = 8
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -59,11 +61,22 @@ def probe_keys(line: Column, length: Column, k: int) -> Column:
     return F.array_distinct(F.array(*keys))
 
 
+def moved_keys(line: Column, length: Column, pieces: int, k: int) -> Column:
+    """Keys of all substrings that can equal one of so many segments of a line up to k edits away and not longer."""
+    keys = []
+    for shorter in range(k + 1):
+        for i in range(pieces):
+            start, size = segment(length - shorter, i, pieces - 1)
+            moves = [m for m in range(-k, k + 1) if abs(m) + abs(shorter - m) <= k]
+            keys += [_key(line, length - shorter, i, start + m, size) for m in moves]
+    return F.array_distinct(F.array(*keys))
+
+
 def edit_links(lines: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, hot_key: int = HOT_KEY) -> DataFrame:
     """(src, dst) ids of all pairs of distinct lines within k edits. lines: line_id, line; both distinct.
 
-    Lines under min_chars characters have no links. Where more than hot_key lines share a segment, the lines travel with
-    the key and are verified in the join itself, so that only links leave it and not all pairs of the key.
+    Lines under min_chars characters have no links. Where more than hot_key lines share a segment, the join on it also asks
+    for FINE - k of FINE short segments in common, as lines within k edits have, so that not all pairs of the key leave it.
     """
     long_enough = lines.where(F.length("line") >= min_chars).withColumn("length", F.length("line"))
     indexed = long_enough.select(F.col("line_id").alias("a"), F.explode(index_keys(F.col("line"), F.col("length"), k)).alias("key"))
@@ -71,18 +84,21 @@ def edit_links(lines: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, hot
     hot = indexed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_key).select("key")
     left = lines.select(F.col("line_id").alias("a"), F.col("line").alias("x"))
     right = lines.select(F.col("line_id").alias("b"), F.col("line").alias("y"))
-    near = F.levenshtein("x", "y", k) >= 0
-
     candidates = indexed.hint("merge").join(hot, "key", "left_anti").hint("shuffle_hash").join(probes, "key").where("a <> b")
-    candidates = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    few = candidates.hint("merge").join(left, "a").hint("merge").join(right, "b").where(near).select("a", "b")
-
-    hot_left = indexed.hint("merge").join(hot, "key", "left_semi").hint("merge").join(left, "a")
-    hot_right = probes.hint("merge").join(hot, "key", "left_semi").hint("merge").join(right, "b")
-    hot_left = hot_left.select(F.col("key").alias("key_a"), "a", "x")
-    many = hot_left.hint("merge").join(hot_right, (F.col("key_a") == F.col("key")) & (F.col("a") != F.col("b")) & near)
-    many = many.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return few.union(many).distinct().select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    candidates = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    fine = long_enough.select(
+        F.col("line_id").alias("id"), index_keys(F.col("line"), F.col("length"), FINE - 1).alias("own"),
+        moved_keys(F.col("line"), F.col("length"), FINE, k).alias("moved"),
+    )
+    hot_left = indexed.hint("merge").join(hot, "key", "left_semi").hint("merge").join(fine.select(F.col("id").alias("a"), "own"), "a")
+    hot_right = probes.hint("merge").join(hot, "key", "left_semi").hint("merge").join(fine.select(F.col("id").alias("b"), "moved"), "b")
+    hot_left = hot_left.select(F.col("key").alias("key_a"), "a", "own")
+    alike = F.size(F.array_intersect("own", "moved")) >= FINE - k
+    many = hot_left.hint("merge").join(hot_right, (F.col("key_a") == F.col("key")) & (F.col("a") != F.col("b")) & alike)
+    candidates = candidates.union(many.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    near = candidates.hint("merge").join(left, "a").hint("merge").join(right, "b").where(F.levenshtein("x", "y", k) >= 0)
+    return near.select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 def line_classes(lines: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
