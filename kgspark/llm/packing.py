@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from kgspark.llm.text import slices
 from kgspark.shared import cut
 
-MAX_WORDS = 300_000
+MAX_WORDS = 800_000
 
 
 class WordTokenizer:
