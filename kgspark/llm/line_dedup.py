@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.operators.components import connected_components
-from kgspark.shared import cut
+from kgspark.shared import cut, release
 
 #: Edits up to which lines are linked, and characters a line must have to be linked other than exactly.
 EDITS, MIN_CHARS = 2, 12
@@ -20,6 +20,8 @@ EDITS, MIN_CHARS = 2, 12
 HOT_KEY = 64
 #: Segments of the finer cut.
 FINE = 8
+#: What is trimmed from both ends of a line.
+BLANKS = " \t\r"
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -30,13 +32,14 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     parts = F.posexplode(F.split(F.col("text"), "\n"))
     out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("text is not null")
     out = out.select("id", F.xxhash64("text").alias("text_hash"), parts.alias("at", "raw"))
-    out = out.withColumn("line", F.trim(F.translate("raw", "\r\t", "  "))).where("line <> ''")
+    out = out.withColumn("line", F.btrim("raw", F.lit(BLANKS))).where("line <> ''")
     return out.select("id", "text_hash", "at", "line", F.xxhash64("line").alias("line_id"))
 
 
 def segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
     """Start (from 0) and size of segment i (from 0) of k + 1: the last ones are one longer if the length needs it."""
-    base, rest = F.floor(length / (k + 1)).cast("int"), (length % (k + 1)).cast("int")
+    rest = length % (k + 1)
+    base = ((length - rest) / (k + 1)).cast("int")
     longer = F.greatest(F.lit(0), F.lit(i) - (F.lit(k + 1) - rest))
     return F.lit(i) * base + longer, base + (F.lit(i) >= F.lit(k + 1) - rest).cast("int")
 
@@ -45,6 +48,13 @@ def _key(line: Column, length: Column, i: int, start: Column, size: Column) -> C
     return F.xxhash64(length, F.lit(i), F.substring(line, start + 1, size))
 
 
+def _near(line: Column, length: Column, i: int, k: int) -> tuple[Column, Column]:
+    """A window of the line that holds all candidates for segment i, and where it starts: short to cut again."""
+    start, size = segment(length, i, k)
+    low = F.greatest(start - 2 * k - 1, F.lit(0))
+    return F.substring(line, low + 1, size + 4 * k + 4), low
+
+
 def index_keys(line: Column, length: Column, k: int) -> Column:
     return F.array(*[_key(line, length, i, *segment(length, i, k)) for i in range(k + 1)])
 
@@ -52,13 +62,14 @@ def index_keys(line: Column, length: Column, k: int) -> Column:
 def probe_keys(line: Column, length: Column, k: int) -> Column:
     """Keys of the substrings that can equal a segment of a line of the same length or up to k shorter."""
     keys = []
-    for shorter in range(k + 1):
-        other = length - shorter
-        for i in range(k + 1):
+    for i in range(k + 1):
+        window, low_at = _near(line, length, i, k)
+        for shorter in range(k + 1):
+            other = length - shorter
             start, size = segment(other, i, k)
             low, high = max(-i, shorter - (k - i)), min(i, shorter + (k - i))
-            keys += [_key(line, other, i, start + move, size) for move in range(low, high + 1)]
-    return F.array_distinct(F.array(*keys))
+            keys += [_key(window, other, i, start + move - low_at, size) for move in range(low, high + 1)]
+    return F.array(*keys)
 
 
 def moved_keys(line: Column, length: Column, pieces: int, k: int) -> Column:
@@ -82,21 +93,30 @@ def edit_links(lines: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, hot
     indexed = long_enough.select(F.col("line_id").alias("a"), F.explode(index_keys(F.col("line"), F.col("length"), k)).alias("key"))
     probes = long_enough.select(F.col("line_id").alias("b"), F.explode(probe_keys(F.col("line"), F.col("length"), k)).alias("key"))
     hot = indexed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_key).select("key")
-    left = lines.select(F.col("line_id").alias("a"), F.col("line").alias("x"))
-    right = lines.select(F.col("line_id").alias("b"), F.col("line").alias("y"))
-    candidates = indexed.hint("merge").join(hot, "key", "left_anti").hint("shuffle_hash").join(probes, "key").where("a <> b")
+    hot = cut(hot, "hot")
+    some_hot = not hot.isEmpty()
+    plain = indexed.hint("merge").join(hot, "key", "left_anti") if some_hot else indexed
+    candidates = plain.hint("shuffle_hash").join(probes, "key").where("a <> b")
     candidates = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    fine = long_enough.select(
-        F.col("line_id").alias("id"), index_keys(F.col("line"), F.col("length"), FINE - 1).alias("own"),
-        moved_keys(F.col("line"), F.col("length"), FINE, k).alias("moved"),
-    )
-    hot_left = indexed.hint("merge").join(hot, "key", "left_semi").hint("merge").join(fine.select(F.col("id").alias("a"), "own"), "a")
-    hot_right = probes.hint("merge").join(hot, "key", "left_semi").hint("merge").join(fine.select(F.col("id").alias("b"), "moved"), "b")
-    hot_left = hot_left.select(F.col("key").alias("key_a"), "a", "own")
-    alike = F.size(F.array_intersect("own", "moved")) >= FINE - k
-    many = hot_left.hint("merge").join(hot_right, (F.col("key_a") == F.col("key")) & (F.col("a") != F.col("b")) & alike)
-    candidates = candidates.union(many.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    if some_hot:
+        fine = long_enough.select(
+            F.col("line_id").alias("id"), index_keys(F.col("line"), F.col("length"), FINE - 1).alias("own"),
+            moved_keys(F.col("line"), F.col("length"), FINE, k).alias("moved"),
+        )
+        hot_left = indexed.hint("merge").join(hot, "key", "left_semi").hint("merge").join(fine.select(F.col("id").alias("a"), "own"), "a")
+        hot_right = probes.hint("merge").join(hot, "key", "left_semi").hint("merge").join(fine.select(F.col("id").alias("b"), "moved"), "b")
+        hot_left = hot_left.select(F.col("key").alias("key_a"), "a", "own")
+        alike = F.size(F.array_intersect("own", "moved")) >= FINE - k
+        many = hot_left.hint("merge").join(hot_right, (F.col("key_a") == F.col("key")) & (F.col("a") != F.col("b")) & alike)
+        candidates = candidates.union(many.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    candidates = cut(candidates.distinct(), "candidates")
+    release(lines.sparkSession)
+    # texts of lines with a candidate only
+    few = cut(candidates.select(F.explode(F.array("a", "b")).alias("line_id")).distinct(), "few")
+    lines = cut(lines.hint("merge").join(few, "line_id", "left_semi"), "met")
+    left = lines.select(F.col("line_id").alias("a"), F.col("line").alias("x"))
+    right = lines.select(F.col("line_id").alias("b"), F.col("line").alias("y"))
     near = candidates.hint("merge").join(left, "a").hint("merge").join(right, "b").where(F.levenshtein("x", "y", k) >= 0)
     return near.select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
@@ -106,8 +126,8 @@ def line_classes(lines: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS) -
 
     Equal lines are one; class_id is the smallest line_id reachable by links.
     """
-    # the lines are dealt out by line_id once; index, probes and verification read that one exchange
-    distinct = lines.groupBy("line_id").agg(F.min("line").alias("line"))
+    distinct = cut(lines.select("line_id", "line").distinct(), "lines")
+    release(distinct.sparkSession)
     links = cut(edit_links(distinct, k, min_chars), "links")
     degree = links.select(F.explode(F.array("src", "dst")).alias("line_id")).groupBy("line_id").agg(F.count("*").alias("n_links"))
     components = connected_components(links).select(F.col("node").alias("line_id"), F.col("component").alias("class_id"))
@@ -144,7 +164,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(
         "id", F.coalesce("n_lines", zero).alias("n_lines"), F.size(places).cast("long").alias("n_kept"),
         F.coalesce("n_links", zero).alias("n_links"), places.alias("places"),
-        F.transform(places, lambda p: F.trim(F.translate(F.get(pieces, p), "\r\t", "  "))).alias("kept"),
+        F.transform(places, lambda p: F.btrim(F.get(pieces, p), F.lit(BLANKS))).alias("kept"),
     )
 
 
