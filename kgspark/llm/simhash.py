@@ -9,7 +9,7 @@ method: two fingerprints within two bits share a fingerprint within one bit of b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -144,13 +144,17 @@ def _ball(fp: Column, mask: int, threshold: int) -> Column:
     return F.array(key, *[key.bitwiseXOR(F.lit(x)) for x in flips])
 
 
+def _tagged(part: int) -> Callable[[Column], Column]:
+    return lambda key: F.struct(F.lit(part).alias("part"), key.alias("key"))
+
+
 def link_fingerprints(fps: DataFrame, k: int = 2, hot_key: int = HOT_KEY) -> DataFrame:
     """Edges (src, dst) between distinct fingerprints (column fp) whose components are those of all pairs within k = 2 bits."""
     if k != 2:
         raise ValueError("the exact way for hot keys is for two bits")
     parts = choose_partitions(fps, k)
     index = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, (m, _) in enumerate(parts)])
-    probe = F.concat(*[F.transform(_ball(F.col("fp"), m, t), lambda x, i=i: F.struct(F.lit(i).alias("part"), x.alias("key"))) for i, (m, t) in enumerate(parts)])
+    probe = F.concat(*[F.transform(_ball(F.col("fp"), m, t), _tagged(i)) for i, (m, t) in enumerate(parts)])
     index = fps.select("fp", F.inline(index))
     probe = fps.select("fp", F.inline(probe))
     hot = cut(index.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot_key).select("part", "key"), "hot")
