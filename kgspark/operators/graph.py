@@ -25,8 +25,9 @@ def expand(seeds: DataFrame, edges: DataFrame, hops: int = 2, limit: int = 50) -
     return seen
 
 
-def answer_confidence(n_support: Column, n_evidence: Column, mean_link: Column, fallback: Column) -> Column:
-    raw = F.least(n_support / 10, F.lit(1.0)) * 0.35 + F.least(n_evidence / 5, F.lit(1.0)) * 0.25 + mean_link * 0.30 - fallback.cast("int") * 0.15
+def answer_confidence(n_support: Column, n_evidence: Column, mean_link: Column, fallback: Column, disputed: Column) -> Column:
+    raw = F.least(n_support / 10, F.lit(1.0)) * 0.35 + F.least(n_evidence / 5, F.lit(1.0)) * 0.25 + mean_link * 0.30
+    raw = raw - fallback.cast("int") * 0.15 - disputed.cast("int") * 0.25
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))
 
 
