@@ -54,9 +54,9 @@ def link_mentions(mentions: DataFrame, entities: DataFrame, threshold: float = L
 
 
 def facts_in_scope(visited: DataFrame, facts: DataFrame, role: str, historical: bool = False) -> DataFrame:
-    """(question_id and the columns of facts) of visited nodes (question_id, node): current or disputed ones that the role may see, with
+    """(question_id and the columns of facts) of visited nodes (question_id, node): current ones that the role may see, with
     superseded ones too if historical."""
-    states = ["current", "disputed", *["superseded"] * historical]
+    states = ["current", *["superseded"] * historical]
     seen = facts.where(F.col("state").isin(states) & visible_to(F.col("access_level"), F.lit(role)))
     return visited.select("question_id", F.col("node").alias("subject_id")).distinct().join(seen, "subject_id")
 
