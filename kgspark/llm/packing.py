@@ -37,19 +37,34 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {"": b""}
+        #: Whether an id ends a word.
+        ends = [self.tokenizer.id_to_token(i).endswith("</w>") for i in range(self.tokenizer.get_vocab_size())]
+        self.ends = np.array(ends, bool)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.memo) > MAX_WORDS:
             self.memo = {"": b""}
         memo = self.memo
-        new = list({w for ws in words for w in ws if w not in memo})
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
+        new = {w for ws in words for w in ws if w not in memo}
+        plain = [w for w in new if w.isascii() and w.isalpha()]
+        mixed = list(new.difference(plain))
+        for i in range(0, len(mixed), 5000):
+            part = mixed[i : i + 5000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 memo[w] = np.array(e.ids, "<u4").tobytes()
+        for i in range(0, len(plain), 5000):
+            part = plain[i : i + 5000]
+            memo.update(zip(part, self.joined(part), strict=True))
         return [b"".join([memo[w] for w in ws]) for ws in words]
 
+    def joined(self, words: list[str]) -> list[bytes]:
+        """Ids of words of ASCII letters, encoded as one text: each gives one word end, which parts them again."""
+        found = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        cuts = 4 * (np.flatnonzero(self.ends[found]) + 1)
+        raw = found.tobytes()
+        return [raw[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+
 
 @lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
