@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kgspark.functions.scalars import visible_to
 from kgspark.functions.similarity import jaro_winkler
-from kgspark.operators.graph import answer_confidence
+from kgspark.operators.graph import answer_confidence, expand
 from kgspark.shared import cut
 
 #: Link and abstention thresholds, target probability of the calibration.
@@ -84,6 +84,35 @@ def decide_answers(links: DataFrame, facts: DataFrame, edges: DataFrame, thresho
     return out.select("question_id", "n_facts", "n_edges", "n_evidence", "mean_link", "confidence", abstained.alias("abstained"))
 
 
+def walked_edges(visited: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """(question_id and the columns of edges) of edges from a visited node (question_id, node, hop) that was passed on, hop below
+    hops, to a visited one; each different edge once for a question."""
+    ends = edges.select("*", F.explode(F.array(F.struct(F.col("src").alias("near"), F.col("dst").alias("far")), F.struct(F.col("dst").alias("near"), F.col("src").alias("far")))).alias("e"))
+    ends = ends.select(*edges.columns, F.col("e.near").alias("node"), "e.far")
+    passed = visited.where(F.col("hop") < hops).select("question_id", "node").distinct()
+    reached = visited.select("question_id", F.col("node").alias("far")).distinct()
+    met = ends.hint("merge").join(passed, "node").hint("merge").join(reached, ["question_id", "far"], "left_semi")
+    return met.select("question_id", *edges.columns).distinct()
+
+
+def answer(
+    mentions: DataFrame, entities: DataFrame, facts: DataFrame, edges: DataFrame, role: str, historical: bool = False,
+    hops: int = 2, limit: int = 50, link: float = LINK, threshold: float = ABSTAIN,
+) -> DataFrame:
+    """decide_answers for all questions of mentions in one job: links, expansion, facts that the role may see, decision.
+
+    Edges (src, dst, predicate, source_doc_id) with predicate HAS_STATE are bookkeeping and left out. A question whose mentions
+    have no entity abstains with confidence 0; one without any row in mentions has no row.
+    """
+    links = cut(link_mentions(mentions, entities, link), "links")
+    seeds = links.where("entity_id is not null").select("question_id", F.col("entity_id").alias("node"))
+    edges = edges.where(F.upper(F.trim(F.coalesce("predicate", F.lit("")))) != "HAS_STATE")
+    visited = cut(expand(seeds, edges, hops, limit), "visited")
+    found = facts_in_scope(visited, facts, role, historical).select("question_id", "source_doc_id", "state")
+    walked = walked_edges(visited, edges.select("src", "dst", "predicate", "source_doc_id"), hops)
+    return decide_answers(links.withColumn("fallback", F.lit(False)), found, walked, threshold)
+
+
 def threshold_for_target(coefficient: float, intercept: float, target: float = TARGET) -> float:
     """The confidence in [0, 1] from which on an answer is right with the target probability."""
     if abs(coefficient) < 1e-9:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgspark.operators.build import EXTRACTION
+
 DOCUMENT = ["source", "source_id", "author", "timestamp", "content", "container_id"]
 
 
@@ -36,3 +38,19 @@ def conform(df: DataFrame) -> DataFrame:
     if missing:
         raise ValueError(f"not documents: {sorted(missing)} missing")
     return df.select(*[F.col(c).cast("string") if c in df.columns else F.lit("").alias(c) for c in DOCUMENT])
+
+
+def read_extractions(spark: SparkSession, path: str) -> DataFrame:
+    """Extraction output files as the columns of DOCUMENT and the three arrays of EXTRACTION.
+
+    A file holds a list under results, a bare list, or one object; an object has document and extraction, or is flat.
+    Missing arrays are empty; without a document its columns are null.
+    """
+    record = f"document struct<{', '.join(f'{c}: string' for c in DOCUMENT)}>, extraction struct<{EXTRACTION}>, {EXTRACTION}"
+    raw = spark.read.schema(f"results array<struct<{record}>>, {record}").json(path, multiLine=True)
+    own = F.struct(*[c for c in raw.columns if c != "results"])
+    rows = raw.select(F.explode(F.coalesce("results", F.array(own))).alias("r"))
+    arrays = [c for c in raw.columns if c.startswith("candidate_")]
+    nested = F.exists(F.array(*[F.col(f"r.extraction.{c}").isNotNull() for c in arrays]), lambda x: x)
+    found = [F.when(nested, F.col(f"r.extraction.{c}")).otherwise(F.col(f"r.{c}")) for c in arrays]
+    return rows.select("r.document.*", *[F.coalesce(x, F.array()).alias(c) for c, x in zip(arrays, found, strict=True)])
