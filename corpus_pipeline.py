@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kgspark.llm.decontaminate import decontaminate
 from kgspark.llm.exact_dedup import exact_dedup
+from kgspark.llm.near_dedup import near_dedup
 from kgspark.llm.packing import pack
 from kgspark.llm.queries import CAPACITY, vocabulary
-from kgspark.llm.simhash import simhash_dedup
 from kgspark.llm.toxicity import drop_toxic
 from kgspark.shared import cut, table
 
@@ -25,7 +25,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_dedup(docs)
+    return near_dedup(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
