@@ -3,7 +3,8 @@
 Two lines within k edits: if the one is cut into k + 1 segments, some segment stands unchanged in the other, near its place.
 Segments are indexed by length of line, number and hash; each line probes the index with those of its substrings that the
 multi-match-aware rule leaves (12 for k = 2). Candidates are verified with Spark's thresholded edit distance, which computes
-a band of 2k + 1 diagonals.
+a band of 2k + 1 diagonals. Lines of up to k characters have no k + 1 segments: they are all within k edits of each other, and
+longer lines within k edits of them leave a common string if up to k characters of each are deleted.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from kgspark.operators.components import connected_components
 from kgspark.shared import cut, release
 
-#: Edits up to which lines are linked, and characters a line must have to be linked other than exactly.
-EDITS, MIN_CHARS = 2, 12
+#: Edits up to which lines are linked, and characters of the shortest line that has links: all have.
+EDITS, MIN_CHARS = 2, 1
 #: Lines that share a segment above which the join on it looks at a finer cut too.
 HOT_KEY = 64
 #: Segments of the finer cut.
@@ -83,13 +84,38 @@ def moved_keys(line: Column, length: Column, pieces: int, k: int) -> Column:
     return F.array_distinct(F.array(*keys))
 
 
-def edit_links(lines: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, hot_key: int = HOT_KEY) -> DataFrame:
-    """(src, dst) ids of all pairs of distinct lines within k edits. lines: line_id, line; both distinct.
+def remainders(line: Column, k: int) -> Column:
+    """What is left of a line of up to 2k characters if up to k of them are deleted."""
+    every = F.array(line)
+    for _ in range(k):
+        shorter = F.flatten(F.transform(every, lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda p: F.concat(F.substring(x, F.lit(1), p - 1), F.substring(x, p + 1, F.length(x))))))
+        every = F.array_distinct(F.concat(every, shorter))
+    return every
 
-    Lines under min_chars characters have no links. Where more than hot_key lines share a segment, the join on it also asks
-    for FINE - k of FINE short segments in common, as lines within k edits have, so that not all pairs of the key leave it.
+
+def short_links(lines: DataFrame, k: int = EDITS) -> DataFrame:
+    """(src, dst) of the pairs within k edits of a line of up to k characters and a longer one."""
+    near = lines.where(F.length("line") <= 2 * k).select("line_id", "line", F.explode(remainders(F.col("line"), k)).alias("rest"))
+    tiny = near.where(F.length("line") <= k).select(F.col("line_id").alias("a"), F.col("line").alias("x"), "rest")
+    other = near.where(F.length("line") > k).select(F.col("line_id").alias("b"), F.col("line").alias("y"), "rest")
+    pairs = tiny.hint("shuffle_hash").join(other, "rest").where(F.levenshtein("x", "y", k) >= 0)
+    return pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+
+
+def edit_links(lines: DataFrame, k: int = EDITS, hot_key: int = HOT_KEY) -> DataFrame:
+    """(src, dst) ids of all pairs of distinct lines within k edits. lines: line_id, line; both distinct, none empty."""
+    tiny = lines.where(F.length("line") <= k).select("line_id")
+    among = tiny.select(F.col("line_id").alias("src")).join(tiny.select(F.col("line_id").alias("dst")), F.col("src") < F.col("dst"))
+    return segment_links(lines, k, hot_key).union(short_links(lines, k)).union(among)
+
+
+def segment_links(lines: DataFrame, k: int = EDITS, hot_key: int = HOT_KEY) -> DataFrame:
+    """edit_links of the lines over k characters.
+
+    Where more than hot_key lines share a segment, the join on it also asks for FINE - k of FINE short segments in common, as
+    lines within k edits have, so that not all pairs of the key leave it.
     """
-    long_enough = lines.where(F.length("line") >= min_chars).withColumn("length", F.length("line"))
+    long_enough = lines.where(F.length("line") > k).withColumn("length", F.length("line"))
     indexed = long_enough.select(F.col("line_id").alias("a"), F.explode(index_keys(F.col("line"), F.col("length"), k)).alias("key"))
     probes = long_enough.select(F.col("line_id").alias("b"), F.explode(probe_keys(F.col("line"), F.col("length"), k)).alias("key"))
     hot = indexed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_key).select("key")
@@ -121,20 +147,26 @@ def edit_links(lines: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, hot
     return near.select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def line_classes(lines: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_classes(lines: DataFrame, k: int = EDITS) -> DataFrame:
     """(line_id, class_id, n_links) of the lines that have links; lines as of lines_of.
 
     Equal lines are one; class_id is the smallest line_id reachable by links.
     """
     distinct = cut(lines.select("line_id", "line").distinct(), "lines")
     release(distinct.sparkSession)
-    links = cut(edit_links(distinct, k, min_chars), "links")
-    degree = links.select(F.explode(F.array("src", "dst")).alias("line_id")).groupBy("line_id").agg(F.count("*").alias("n_links"))
-    components = connected_components(links).select(F.col("node").alias("line_id"), F.col("component").alias("class_id"))
+    links = cut(segment_links(distinct, k).union(short_links(distinct, k)), "links")
+    # lines of up to k characters are a clique: a star links them, and each has all others
+    tiny = cut(distinct.where(F.length("line") <= k).select("line_id"), "tiny")
+    n, least = tiny.agg(F.count("*"), F.min("line_id")).first()
+    least = F.lit(least).cast("long")
+    star = tiny.where(F.col("line_id") != least).select(least.alias("src"), F.col("line_id").alias("dst"))
+    degree = links.select(F.explode(F.array("src", "dst")).alias("line_id"), F.lit(1).alias("n")).union(tiny.select("line_id", F.lit(max(n - 1, 0))))
+    degree = degree.groupBy("line_id").agg(F.sum("n").alias("n_links"))
+    components = connected_components(links.union(star)).select(F.col("node").alias("line_id"), F.col("component").alias("class_id"))
     return cut(components.hint("merge").join(degree, "line_id"), "classes")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = EDITS) -> DataFrame:
     """One row for each row of docs: id, n_lines, n_kept, n_links, places (of the lines that stay, from 0), kept (those lines).
 
     A line stays if it is the first of its class: least id, then least place. Rows of equal id and equal text are one
@@ -144,7 +176,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     lines = lines_of(docs, id_col, text_col)
     at = cut(lines.select("id", "text_hash", "at", "line_id"), "at")
-    classes = line_classes(lines, k, min_chars)
+    classes = line_classes(lines, k)
     marked = at.hint("merge").join(classes, "line_id", "left")
     marked = marked.select("id", "text_hash", "at", "line_id", F.coalesce("class_id", "line_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     marked = cut(marked, "marked")
