@@ -20,7 +20,7 @@ from kgspark.shared import cut
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Labelled URLs to fit on, at most; taken by hash.
 FIT_ROWS = 20_000
-#: Host suffixes with statistics, at most: the most frequent ones.
+#: Host suffixes whose statistics are broadcast, at most: those with more than one in so many URLs. The others are joined by shuffle.
 SUFFIXES = 1_000
 FEATURES = ["length", "host_length", "depth", "digit_ratio", "entropy", "n_params", "hyphens", "suffix_share", "suffix_blocked", "has_www", "secure"]
 
@@ -63,6 +63,26 @@ def lexical(df: DataFrame) -> DataFrame:
     )
 
 
+def with_suffix_statistics(urls: DataFrame, suffixes: int = SUFFIXES) -> DataFrame:
+    """urls with suffix_share and suffix_blocked of their suffix among all of them; verdict and suffix (not null) must be there."""
+    label = (F.col("verdict") == "block").cast("double")
+    stats = urls.groupBy("suffix").agg(F.count("*").alias("n"), F.sum(label).alias("blocked"), F.count("verdict").alias("judged"))
+    total = float(max(1, urls.count()))
+    stats = cut(
+        stats.select(
+            "suffix", (F.col("n") > total / suffixes).alias("hot"), F.log1p((F.col("n") / F.lit(total)) * 1000).alias("suffix_share"),
+            ((F.coalesce("blocked", F.lit(0.0)) + 1) / (F.col("judged") + 2)).alias("suffix_blocked"),
+        ),
+        "suffixes",
+    )
+    hot, cold = stats.where("hot").drop("hot"), stats.where("not hot").drop("hot")
+    featured = urls.join(F.broadcast(hot), "suffix")
+    if cold.isEmpty():
+        return featured
+    rest = urls.join(F.broadcast(hot.select("suffix")), "suffix", "left_anti")
+    return featured.unionByName(rest.hint("merge").join(cold, "suffix"))
+
+
 def classify_urls(
     pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, id_col: str = "page_id", url_col: str = "url",
     fit_rows: int = FIT_ROWS, suffixes: int = SUFFIXES,
@@ -80,17 +100,7 @@ def classify_urls(
     urls = lexical(urls.select("id", "url", "host", "path", "hit.*"))
     urls = cut(urls, "urls")
     label = (F.col("verdict") == "block").cast("double")
-    stats = urls.groupBy("suffix").agg(F.count("*").alias("n"), F.sum(label).alias("blocked"), F.count("verdict").alias("judged"))
-    total = F.lit(float(max(1, urls.count())))
-    top = stats.orderBy(F.desc("n"), "suffix").limit(suffixes)  # bounded: it is broadcast
-    top = cut(
-        top.select(
-            "suffix", F.log1p((F.col("n") / total) * 1000).alias("suffix_share"),
-            ((F.coalesce("blocked", F.lit(0.0)) + 1) / (F.col("judged") + 2)).alias("suffix_blocked"),
-        ),
-        "suffixes",
-    )
-    featured = urls.join(F.broadcast(top), "suffix", "left").fillna({"suffix_share": 0.0, "suffix_blocked": 0.5})
+    featured = cut(with_suffix_statistics(urls, suffixes), "featured")
     labelled = urls.where("verdict is not null").groupBy("verdict").agg(F.count("*").alias("n")).collect()
     counts = {r["verdict"]: r["n"] for r in labelled}
     columns = ["id", "host", "path", "rule"]
