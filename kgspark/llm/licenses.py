@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from kgspark.llm.text import ALNUM, slices, utf8
+from kgspark.llm.text import ALNUM, free_names, slices, utf8
 
 #: Phrases of the contract and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -49,67 +49,81 @@ TAG = "spdx license identifier"
 BASE_WEIGHT, TAG_WEIGHT = 0.7, 0.95
 
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
-_TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
+_TOKEN = re.compile(r"[ \t]*(\(|\)|[A-Za-z0-9.+:-]+)")
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-def parse_expression(text: str) -> list[list[str]] | None:
-    """Alternatives of a license expression, each the licenses that hold together; None if it is malformed.
+def postfix_of(text: str) -> tuple[list[str], str] | None:
+    """An expression that text starts with, as postfix and as it stands; None if it is malformed.
 
-    Shunting-yard with precedence with > and > or, left-associative, parentheses. `x WITH e` is one license `x with e`.
-    The expression ends where a token can't continue it (at a word that follows a license without an operator).
+    Shunting-yard with precedence with > and > or, left-associative, parentheses. The expression ends where a token can't
+    continue it: at a word that follows a license without an operator, at another sign, or at the end.
     """
-    output: list[list[list[str]]] = []
+    output: list[str] = []
     operators: list[str] = []
-
-    def reduce_one() -> bool:
-        op = operators.pop()
-        if len(output) < 2:
-            return False
-        right, left = output.pop(), output.pop()
-        if op == "or":
-            output.append(left + right)
-        elif op == "and":
-            output.append([a + b for a in left for b in right])
-        elif len(left) == len(right) == len(left[0]) == len(right[0]) == 1:
-            output.append([[f"{left[0][0]} with {right[0][0]}"]])
-        else:
-            return False
-        return True
-
-    operand = True  # what may come next
-    for token in _TOKEN.findall(text):
+    seen: list[str] = []
+    opened, at, operand = 0, 0, True  # operand: what may come next
+    while found := _TOKEN.match(text, at):
+        token, at = found[1], found.end()
         low = token.lower()
         if low in _PRECEDENCE:
             if operand:
                 return None
             while operators and operators[-1] != "(" and _PRECEDENCE[operators[-1]] >= _PRECEDENCE[low]:
-                if not reduce_one():
-                    return None
+                output.append(operators.pop())
             operators.append(low)
             operand = True
+            low = low.upper()
         elif token == "(":
             if not operand:
                 break
             operators.append(token)
+            opened += 1
         elif token == ")":
-            if operand or "(" not in operators:
+            if operand:
                 return None
+            if not opened:  # closes something before the expression
+                break
             while operators[-1] != "(":
-                if not reduce_one():
-                    return None
+                output.append(operators.pop())
             operators.pop()
+            opened -= 1
         elif operand:
-            output.append([[low.rstrip(".:")]])
+            low = low.rstrip(".:")
+            output.append(low)
             operand = False
         else:
             break
-    if operand:
+        seen.append(low)
+    if operand or opened:
         return None
-    while operators:
-        if operators[-1] == "(" or not reduce_one():
-            return None
-    return output[0] if len(output) == 1 else None
+    return output + operators[::-1], " ".join(seen).replace("( ", "(").replace(" )", ")")
+
+
+def evaluate(postfix: list[str]) -> list[str] | None:
+    """The licenses of an expression in order; `x with e` is one. None if `with` does not stand between two names."""
+    stack: list[tuple[int, bool]] = []  # where an operand's names start, and whether it is one plain name
+    names: list[str] = []
+    for token in postfix:
+        if token not in _PRECEDENCE:
+            stack.append((len(names), True))
+            names.append(token)
+            continue
+        right, left = stack.pop(), stack.pop()
+        if token == "with":
+            if not (left[1] and right[1]):
+                return None
+            exception = names.pop()
+            names[-1] += f" with {exception}"
+        stack.append((left[0], False))
+    return list(dict.fromkeys(names))
+
+
+def parse_expression(text: str) -> tuple[list[str], str] | None:
+    """The licenses of the expression that text starts with, and the expression; None if it is malformed. Linear in its length."""
+    found = postfix_of(text)
+    names = evaluate(found[0]) if found else None
+    return (names, found[1]) if names else None
 
 
 def build_automaton(base: dict[str, str] | None = None) -> ahocorasick.Automaton:
@@ -144,12 +158,14 @@ def scan_text(raw: bytes, found: ahocorasick.Automaton) -> tuple:
             if kind == "tag":
                 if ends is None:
                     ends = [m.end() for m in _WORD.finditer(raw.lower())]
-                rest = raw[ends[at + TAG.count(" ")] :].lstrip(b" \t:=").split(b"\n", 1)[0][:1000].decode("utf-8", "replace")
+                start = ends[at + TAG.count(" ")]
+                line_end = raw.find(b"\n", start)
+                rest = raw[start : line_end if line_end >= 0 else len(raw)].lstrip(b" \t:=").decode("utf-8", "replace")
                 parsed = parse_expression(rest)
                 if parsed is None:
                     continue
-                expressions.append(" OR ".join(" AND ".join(x) for x in parsed))
-                labels.update(y for x in parsed for y in x)
+                expressions.append(parsed[1])
+                labels.update(parsed[0])
             else:
                 labels.add(label)
             miss *= 1 - weight
@@ -168,23 +184,26 @@ SCHEMA = T.StructType(
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` of docs and what scan_text finds in each whole text.
+    """The columns `keep` of docs and what scan_text finds in each whole text. An expression ends with its line at the latest.
 
     Null and empty texts have no words, no labels and score 0. Places count repeats and overlaps. score is one minus the
     product of (1 - weight) over all evidence: 0 without any, near 1 with much. A malformed expression adds no label.
     Rows are independent: repeated rows give repeated results; an empty table gives an empty one; columns not in `keep`
-    are ignored. Narrow: no shuffle.
+    are ignored, and one in `keep` that has the name of a result keeps it, the result getting a `_` more. Narrow: no shuffle.
     """
     kept = [f for f in docs.schema.fields if f.name in keep]
-    schema = T.StructType([*kept, *SCHEMA.fields])
+    (own,) = free_names(docs, "text")
+    chosen = docs.select(*[f.name for f in kept])
+    names = free_names(chosen, *SCHEMA.fieldNames())
+    schema = T.StructType([*kept, *[T.StructField(n, f.dataType) for n, f in zip(names, SCHEMA.fields, strict=True)]])
 
     def run(batches):
         found = build_automaton()
         arrow = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.string())]
         for whole in batches:
-            for batch in slices(whole, "__text"):
-                rows = [scan_text(x, found) for x in utf8(batch.column("__text"))]
+            for batch in slices(whole, own):
+                rows = [scan_text(x, found) for x in utf8(batch.column(own))]
                 new = [pa.array([r[i] for r in rows], t) for i, t in enumerate(arrow)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=schema.names)
 
-    return docs.select(*[f.name for f in kept], docs[text_col].alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[f.name for f in kept], docs[text_col].alias(own)).mapInArrow(run, schema)
