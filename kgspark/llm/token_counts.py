@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kgspark.llm.text import slices
+from kgspark.llm.text import free_names, slices
 
 #: White space of the tokenizers' patterns (the Unicode property).
 _WS = "\t-\r \x85\xa0  -     　"
@@ -26,8 +26,8 @@ _CHUNK = regex.compile(f"[{_WS}]*+[^{_WS}]++|[{_WS}]++")
 _PRETOKEN = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 )
-#: Characters of a block, states of a transducer and chunks in the memo. Beyond, tables are dropped and built anew.
-BLOCK_CHARS, MAX_STATES, MAX_CHUNKS = 1 << 16, 300_000, 500_000
+#: Characters of a block, states of a transducer, chunks in the memo and characters of one. Beyond, tables are dropped and built anew.
+BLOCK_CHARS, MAX_STATES, MAX_CHUNKS, MAX_CHUNK = 1 << 16, 300_000, 500_000, 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -136,7 +136,9 @@ class TokenCounter:
     def pretoken(self, text: str) -> int:
         found = self.memo.get(text)
         if found is None:
-            found = self.memo[text] = self.transducer.run(text.encode())
+            found = self.transducer.run(text.encode())
+            if len(text) <= MAX_CHUNK:
+                self.memo[text] = found
         return found
 
     def chunk(self, text: str) -> int:
@@ -161,10 +163,15 @@ class TokenCounter:
         except KeyError:
             if len(memo) > MAX_CHUNKS:
                 memo.clear()
+            total = 0
             for t in texts:
-                if t not in memo:
-                    memo[t] = self.chunk(t)
-            return sum(map(memo.__getitem__, texts))
+                n = memo.get(t)
+                if n is None:
+                    n = self.chunk(t)
+                    if len(t) <= MAX_CHUNK:
+                        memo[t] = n
+                total += n
+            return total
 
     def block_map(self, block: str) -> tuple:
         """(head, tokens, tail): head ends the chunk that is open before the block, tail opens the one after it.
@@ -213,10 +220,10 @@ def counter(vocabulary: str) -> TokenCounter:
 def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:
     """docs with out_col: the tokens of each whole text; a null text has none.
 
-    Columns of docs pass through (out_col must not be among them); repeated rows are counted each; an empty table stays
-    empty. Narrow: no shuffle. vocabulary: path of a byte-level vocabulary file that all executors have.
+    Columns of docs pass through; if out_col is among them, the count's name gets a `_` more; repeated rows are counted each;
+    an empty table stays empty. Narrow: no shuffle. vocabulary: path of a byte-level vocabulary file that all executors have.
     """
-    schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(free_names(docs, out_col)[0], T.LongType())])
 
     def run(batches):
         own = counter(vocabulary)
@@ -229,6 +236,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text", out_c
 
 
 def token_report(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFrame:
+    """count_tokens by doc_id, with the bytes of the text; a null text counts as empty, repeats are counted each, an empty
+    table gives an empty result, other columns are ignored."""
     counted = count_tokens(docs.select("doc_id", "text"), vocabulary)
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     return counted.select("doc_id", size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
