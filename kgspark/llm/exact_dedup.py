@@ -1,24 +1,37 @@
 """Exact deduplication by an extendible-hash index on shared files.
 
-The index holds (bucket, hash, nbytes, sha256, doc_id) entries. A directory of 2^depth slots maps the leading bits of a
-64-bit hash to a bucket; a bucket with too many entries is split, doubling the directory when its local depth has reached
-the global one. Each bucket is the key range of one owner. Rows of one key never meet in one task: they are counted before
-the shuffle, and texts are compared byte by byte with the representative of their chain in joins that Spark may split.
+Each task normalises its texts and keeps one entry for each different one it meets, so that of a text with very many copies
+only few entries leave it. A directory of 2^depth slots maps the leading bits of a 64-bit hash to buckets; a bucket with too
+many entries or bytes is split, doubling the directory when its local depth has reached the global one. Entries are dealt out
+to the owners of the buckets in the order of their hashes. An owner walks along its key range with the texts of one hash in
+memory: an entry whose bytes equal a text of that chain joins it, any other is chained as a text of its own. The index is
+written as one folder of files for each bucket, and rows find their chain in it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kgspark.llm.text import ASCII_LOWER, ASCII_UPPER
-from kgspark.shared import cut
+from kgspark.llm.text import ASCII_LOWER, ASCII_UPPER, LOWER, free_names, slices, utf8
+from kgspark.shared import cut, discard
 
-#: Entries that a bucket may hold before it is split, and the most bits of a directory.
-BUCKET_ROWS = 50_000
-MAX_DEPTH = 16
+#: Entries and bytes of text that a bucket may hold before it is split; a small index has at least this many buckets for each
+#: shuffle partition, so that all owners have work.
+BUCKET_ROWS, BUCKET_BYTES, BUCKETS = 200_000, 64 << 20, 2
+#: Bytes of different texts that a task remembers at once.
+HELD_BYTES = 64 << 20
+#: Bits of a hash; fewer make collisions, for tests.
+HASH_BITS = 64
 
 
 def normalised(text: Column) -> Column:
@@ -27,7 +40,7 @@ def normalised(text: Column) -> Column:
 
 
 def split_directory(histogram: dict[int, int], bits: int, capacity: int) -> tuple[int, list[int]]:
-    """(global depth, bucket of each slot). histogram: entries by the hash's leading `bits` bits."""
+    """(global depth, bucket of each slot). histogram: load by the hash's leading `bits` bits."""
     depth, directory, local = 0, [0], {0: 0}
     counts = {0: sum(histogram.values())}
     members = {0: dict(histogram)}
@@ -46,89 +59,127 @@ def split_directory(histogram: dict[int, int], bits: int, capacity: int) -> tupl
         right = {k: v for k, v in members[bucket].items() if k >> shift & 1}
         members[new], members[bucket] = right, {k: v for k, v in members[bucket].items() if not k >> shift & 1}
         counts[new], counts[bucket] = sum(right.values()), sum(members[bucket].values())
-        for slot, owner in enumerate(directory):
-            if owner == bucket and slot >> depth - local[bucket] & 1:
-                directory[slot] = new
+        # the bucket's slots are next to each other; the upper half of them goes to the new one
+        first = directory.index(bucket)
+        span = 1 << (depth - local[bucket] + 1)
+        directory[first + span // 2 : first + span] = [new] * (span // 2)
         queue += [bucket, new]
     return depth, directory
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """The written index: row, id, hash, nbytes, sha256 and bucket of every row of docs."""
-    text = normalised(F.col(text_col))
-    entries = docs.select(F.col(id_col).alias("id"), text.alias("norm"))
-    entries = entries.select(
-        F.monotonically_increasing_id().alias("row"), "id", F.xxhash64("norm").alias("hash"),
-        F.octet_length("norm").alias("nbytes"), F.sha2("norm", 256).alias("sha256"),
-    )
-    entries = cut(entries, "entries")
-    rows = entries.count()
-    bits = min(MAX_DEPTH, max(1, math.ceil(math.log2(max(1, rows / bucket_rows))) + 4))
+def entries(docs: DataFrame, id_col: str, text_col: str, hash_bits: int, held_bytes: int) -> DataFrame:
+    """(row, id, entry, hash, nbytes, norm) of every row: norm is there in the row that made the entry, else null."""
+    kind = docs.schema[id_col].dataType
+    fields = [("row", T.LongType()), ("id", kind), ("entry", T.LongType()), ("hash", T.LongType()), ("nbytes", T.LongType()), ("norm", T.StringType())]
+    schema = T.StructType([T.StructField(n, t) for n, t in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        base, row, size = TaskContext.get().partitionId() << 33, 0, 0
+        seen: dict[bytes, int] = {}
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                texts = [t.translate(LOWER) for t in utf8(batch.column("text"))]
+                own, norm = [], []
+                for i, t in enumerate(texts):
+                    entry = seen.get(t)
+                    if entry is None:
+                        if size > held_bytes:
+                            seen, size = {}, 0
+                        entry = seen[t] = base + row + i
+                        size += len(t) + 100
+                        norm.append(t)
+                    else:
+                        norm.append(None)
+                    own.append(entry)
+                hashes = np.array([xxhash.xxh64_intdigest(t) >> (64 - hash_bits) << (64 - hash_bits) for t in texts], "<u8").view("<i8")
+                numbers = [np.arange(base + row, base + row + len(texts)), own, hashes, list(map(len, texts))]
+                rows, own, hashes, sizes = (pa.array(x, pa.int64()) for x in numbers)
+                yield pa.RecordBatch.from_arrays([rows, batch.column("id"), own, hashes, sizes, pa.array(norm, pa.binary()).cast(pa.string())], names=schema.names)
+                row += len(texts)
+
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema)
+
+
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of entries in the order of bucket and hash: the chain of each, named by its first entry, and the text's SHA-256."""
+    key: tuple[int, int] | None = None
+    chain: dict[bytes, tuple[int, str]] = {}
+    for whole in batches:
+        for batch in slices(whole, "norm"):
+            out = []
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "hash", "entry")]
+            for bucket, own, entry, text in zip(*columns, utf8(batch.column("norm")), strict=True):
+                if (bucket, own) != key:
+                    key, chain = (bucket, own), {}
+                found = chain.get(text)  # equal hashes of the dictionary are told apart byte by byte
+                if found is None:
+                    found = chain[text] = (entry, hashlib.sha256(text).hexdigest())
+                out.append(found)
+            arrays = [batch.column(c) for c in ("bucket", "hash", "entry")]
+            arrays += [pa.array([c for c, _ in out], pa.int64()), pa.array([s for _, s in out], pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "hash", "entry", "chain", "sha256"])
+
+
+def build_index(
+    rows: DataFrame, bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES
+) -> DataFrame:
+    """The written index (hash, entry, chain, sha256, bucket) of entries()."""
+    spark = rows.sparkSession
+    made = rows.where("norm is not null").select("hash", "entry", "nbytes", "norm")
+    # load in units of bytes, an entry counting at least its share of the rows
+    load = F.greatest(F.col("nbytes"), F.lit(bucket_bytes // bucket_rows))
+    total = made.agg(F.coalesce(F.sum(load), F.lit(0))).first()[0]
+    capacity = max(1, min(bucket_bytes, total // (BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    bits = max(1, math.ceil(math.log2(max(1, total / capacity))) + 2)
     slot = F.shiftrightunsigned("hash", 64 - bits)
-    # at most 2^bits rows, whatever the input
-    histogram = {int(r["slot"]): r["n"] for r in entries.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).collect()}
-    depth, directory = split_directory(histogram, bits, bucket_rows)
-    if depth == 0:
-        return entries.withColumn("bucket", F.lit(0))
-    at = F.shiftrightunsigned("hash", 64 - depth).cast("int")
-    return entries.withColumn("bucket", F.element_at(F.array(*[F.lit(b) for b in directory]), at + 1))
-
-
-def chains(index: DataFrame) -> DataFrame:
-    """One entry for each distinct (hash, length, digest) of a bucket: its size and the row that stays."""
-    top = F.max(F.struct("id", "row"))
-    grouped = index.groupBy("bucket", "hash", "nbytes", "sha256").agg(F.count("*").alias("n"), top.alias("top"))
-    return cut(grouped.select("bucket", "hash", "nbytes", "sha256", "n", "top.*"), "chains")
-
-
-def compare_bytes(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, row-wise) texts that differ from the representative of their entry, byte by byte.
-
-    Only entries of several rows are compared. The representative is one text for each entry, so that a group of any
-    size is a join with one row on one side.
-    """
-    several = groups.where("n > 1").select(F.col("hash").alias("h"), F.col("sha256").alias("s"), F.col("id").alias("keep"))
-    texts = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
-    texts = texts.withColumn("h", F.xxhash64("norm"))
-    members = cut(texts.hint("merge").join(several, "h").where(F.sha2("norm", 256) == F.col("s")), "members")
-    chosen = members.where(F.col("id").eqNullSafe(F.col("keep"))).groupBy("s").agg(F.min("norm").alias("rep"))
-    chosen = cut(chosen, "reps")
-    return members.hint("merge").join(chosen, "s").where(F.col("norm") != F.col("rep")).select("id", "s", "norm")
+    # 4 to 8 slots for each bucket
+    loads = made.groupBy(slot.alias("slot")).agg(F.sum(load).alias("n")).toArrow()
+    histogram = dict(zip(loads.column("slot").to_pylist(), loads.column("n").to_pylist(), strict=True))
+    depth, directory = split_directory(histogram, bits, capacity)
+    at = F.shiftrightunsigned("hash", 64 - depth) if depth else F.lit(0).cast("long")
+    owner = spark.createDataFrame(list(enumerate(directory)), "slot long, bucket long")
+    if len(directory) <= 1 << 16:
+        made = made.withColumn("slot", at).join(F.broadcast(owner), "slot")
+    else:
+        made = made.withColumn("slot", at).hint("merge").join(owner, "slot")
+    # an owner works along the key ranges of its buckets
+    dealt = made.select("bucket", "hash", "entry", "norm").repartition("bucket").sortWithinPartitions("bucket", "hash")
+    chained = dealt.mapInArrow(_chained, "bucket long, hash long, entry long, chain long, sha256 string")
+    return cut(chained.select("hash", "entry", "chain", "sha256", "bucket"), "index", partition_by="bucket")
 
 
 def exact_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS
-) -> DataFrame:
-    """One row for each row of docs: id, row, keep_id, group_size, kept, text_sha256.
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES,
+    hash_bits: int = HASH_BITS, held_bytes: int = HELD_BYTES,
+) -> DataFrame:
+    """One row for each row of docs: id, row, keep_id, group_size, kept, text_sha256, bucket.
 
     Texts are equal if identical after lower-casing A-Z. The row with the largest id stays; of repeated rows with that id,
     exactly one. A null text is the empty text; a null id is the smallest. An empty table gives an empty result; other
-    columns are ignored. Entries are told apart by hash, length and digest; their bytes are then compared, and texts that
-    differ in spite of all three stop the run rather than be merged.
+    columns are ignored. Texts are told apart by their bytes: hashes only bring them together.
     """
-    index = build_index(docs, id_col, text_col, bucket_rows)
-    groups = chains(index)
-    if not compare_bytes(docs, groups, id_col, text_col).isEmpty():
-        raise RuntimeError("different texts share hash, length and SHA-256")
-    found = groups.select("hash", "nbytes", "sha256", "n", F.col("id").alias("keep_id"), F.col("row").alias("keep_row"))
-    out = index.hint("merge").join(found, ["hash", "nbytes", "sha256"])
-    return out.select(
-        "id", "row", "keep_id", F.col("n").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"),
-        F.col("sha256").alias("text_sha256"), "bucket",
-    )
+    rows = cut(entries(docs, id_col, text_col, hash_bits, held_bytes), "entries")
+    index = build_index(rows, bucket_rows, bucket_bytes)
+    marked = rows.select("row", "id", "entry").hint("merge").join(index.select("entry", "chain", "sha256", "bucket"), "entry")
+    marked = cut(marked.drop("entry"), "marked")
+    discard(rows)
+    top = marked.groupBy("chain").agg(F.count("*").alias("group_size"), F.max(F.struct("id", "row")).alias("top"))
+    top = cut(top.select("chain", "group_size", F.col("top.id").alias("keep_id"), F.col("top.row").alias("keep_row")), "chains")
+    out = marked.hint("merge").join(top, "chain")
+    return out.select("id", "row", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha256").alias("text_sha256"), "bucket")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_groups drops, with the columns of docs.
+    """docs without the rows that exact_groups drops, with the columns of docs, whatever their names.
 
-    Repeated rows (same id and same text) leave one row.
+    Repeated rows (same id and same text) leave one row. Nulls and empty tables as there.
     """
     marked = cut(exact_groups(docs, id_col, text_col), "marked")
-    stay = marked.where("kept").select(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    stay = marked.where("kept").select(F.col("id").alias("own"), F.col("text_sha256").alias("own_sha"))
     again = marked.where(F.col("id").eqNullSafe(F.col("keep_id")) & ~F.col("kept"))
-    keyed = docs.withColumn("__sha2", F.sha2(normalised(F.col(text_col)), 256))
-    match = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha2") == F.col("__sha"))
-    out = keyed.hint("merge").join(stay, match, "left_semi")
+    (sha,) = free_names(docs, "sha")
+    keyed = docs.withColumn(sha, F.sha2(normalised(F.col(text_col)), 256))
+    out = keyed.hint("merge").join(stay, keyed[id_col].eqNullSafe(stay["own"]) & (keyed[sha] == stay["own_sha"]), "left_semi")
     if not again.isEmpty():
-        out = out.dropDuplicates([id_col, "__sha2"])
+        out = out.dropDuplicates([id_col, sha])
     return out.select(*docs.columns)
