@@ -1,58 +1,116 @@
-"""String similarities without a built-in: Jaro-Winkler and the matching-blocks ratio, as Arrow-batched functions."""
+"""String similarities without a built-in: Jaro-Winkler over whole Arrow batches, and the matching-blocks ratio."""
 
 from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+#: Fixed values of the Winkler bonus: what a letter in common at the start is worth, and how many count.
+SCALE, PREFIX = 0.1, 4
 
-def jaro(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(0, max(len(a), len(b)) // 2 - 1)
-    taken = [False] * len(b)
-    matched = []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == c:
-                taken[j] = True
-                matched.append(c)
-                break
-    if not matched:
-        return 0.0
-    other = [c for c, t in zip(b, taken, strict=True) if t]
-    swaps = sum(x != y for x, y in zip(matched, other, strict=True)) / 2
-    m = len(matched)
-    return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
-
-
-def winkler(a: str, b: str, scale: float = 0.1) -> float:
-    a, b = (a or "").strip().lower(), (b or "").strip().lower()
-    base, prefix = jaro(a, b), 0
-    for x, y in zip(a[:4], b[:4], strict=False):
-        if x != y:
-            break
-        prefix += 1
-    return base + prefix * scale * (1 - base)
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of texts as a matrix of code points, zero behind the end of each, and the lengths."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    out = np.zeros((len(texts), max(1, int(sizes.max(initial=0)))), np.int32)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le"), "<i4")
+    return out, sizes
+
+
+def _in_order(codes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The chosen characters of each row moved to its start."""
+    row, column = np.nonzero(chosen)
+    out = np.zeros_like(codes)
+    out[row, (np.cumsum(chosen, axis=1) - 1)[row, column]] = codes[row, column]
+    return out
+
+
+def jaro_batch(left: list[str], right: list[str]) -> np.ndarray:
+    """Jaro similarity of each pair: all pairs advance together, a character of the left texts at a time."""
+    (a, n), (b, m) = _codes(left), _codes(right)
+    reach = np.maximum(np.maximum(n, m) // 2 - 1, 0)[:, None]
+    column = np.arange(b.shape[1])
+    free = column < m[:, None]
+    met = np.zeros(a.shape, bool)
+    rows = np.arange(len(left))
+    for i in range(a.shape[1]):
+        fits = free & (b == a[:, i : i + 1]) & (np.abs(column - i) <= reach) & (n > i)[:, None]
+        at = fits.argmax(axis=1)
+        met[:, i] = fits[rows, at]
+        free[rows[met[:, i]], at[met[:, i]]] = False
+    count = met.sum(axis=1)
+    x, y = _in_order(a, met), _in_order(b, (column < m[:, None]) & ~free)
+    width = min(x.shape[1], y.shape[1])  # no pair has more characters in common
+    halves = (x[:, :width] != y[:, :width]).sum(axis=1) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = (count / n + count / m + (count - halves) / count) / 3
+    return np.where((n == 0) & (m == 0), 1.0, np.where(count == 0, 0.0, score))
+
+
+def jaro_winkler_batch(left: list[str], right: list[str]) -> np.ndarray:
+    """Jaro-Winkler of pairs, trimmed and in lower case; null is empty. Texts of similar length are scored together."""
+    left, right = ([(t or "").strip().lower() for t in texts] for texts in (left, right))
+    out = np.zeros(len(left))
+    size = np.array([max(len(x), len(y)) for x, y in zip(left, right, strict=True)], np.int64)
+    order = np.argsort(size, kind="stable")
+    start = 0
+    while start < len(order):  # bounded cells of a matrix
+        end = start + 1
+        while end < len(order) and (end - start + 1) * (int(size[order[end]]) + 1) <= 1 << 20 and end - start < 1 << 14:
+            end += 1
+        part = order[start:end]
+        x, y = [left[i] for i in part], [right[i] for i in part]
+        base = jaro_batch(x, y)
+        heads = [_codes([t[:PREFIX].ljust(PREFIX, fill) for t in texts])[0] for texts, fill in ((x, "\0"), (y, "\1"))]
+        shared = np.cumprod(heads[0] == heads[1], axis=1).sum(axis=1)
+        out[part] = base + shared * SCALE * (1 - base)
+        start = end
+    return out
+
+
+def _distinct(score, a: pd.Series, b: pd.Series) -> pd.Series:
+    """score of a batch's different pairs, each computed once."""
+    pairs = pd.DataFrame({"a": a, "b": b})
+    different = pairs.drop_duplicates()
+    found = different.assign(score=score(different["a"].tolist(), different["b"].tolist()))
+    return pairs.merge(found, how="left", on=["a", "b"])["score"].astype("float64")
 
 
 @F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return _distinct(jaro_winkler_batch, a, b)
+
+
+def ratio(a: str | None, b: str | None) -> float:
+    return difflib.SequenceMatcher(None, a or "", b or "").ratio()
 
 
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    return _distinct(lambda x, y: [ratio(*p) for p in zip(x, y, strict=True)], a, b)
+
+
+@F.pandas_udf(DoubleType())
+def best_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The best Jaro-Winkler of any string of the one array with any of the other; 0 where one is empty or null."""
+    pairs = [(i, x, y) for i, (xs, ys) in enumerate(zip(a, b, strict=True)) for x in ([] if xs is None else xs) for y in ([] if ys is None else ys)]
+    out = np.zeros(len(a))
+    if pairs:
+        row, x, y = zip(*pairs, strict=True)
+        np.maximum.at(out, np.array(row), jaro_winkler_batch(list(x), list(y)))
+    return pd.Series(out)
 
 
 def register(spark: SparkSession) -> None:
-    """The similarities for SQL."""
+    """The similarities for SQL; stable_id and normalize_value are registered as SQL functions."""
     spark.udf.register("jaro_winkler", jaro_winkler)
     spark.udf.register("seq_ratio", sequence_ratio)
+    spark.sql(r"""CREATE OR REPLACE TEMPORARY FUNCTION normalize_value(v STRING) RETURNS STRING
+        RETURN regexp_replace(regexp_replace(trim(lower(v)), '\\s+', ' '), '[^a-z0-9 ._:/-]', '')""")
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION stable_id(parts ARRAY<STRING>) RETURNS STRING
+        RETURN substring(sha1(array_join(filter(parts, p -> p <> ''), '|')), 1, 24)""")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -49,7 +48,7 @@ def link_mentions(mentions: DataFrame, entities: DataFrame, threshold: float = L
     near = pairs.withColumn("score", jaro_winkler("m", "alias")).where(F.col("score") >= threshold).select("m", "entity_id", "score")
     best = exact.unionByName(near).groupBy("m").agg(F.min(F.struct((-F.col("score")).alias("worse"), "entity_id")).alias("best"))
     best = best.select("m", "best.entity_id", (-F.col("best.worse")).alias("score"))
-    out = mentions.join(best, tidy(F.col("mention")) == F.col("m"), "left")
+    out = mentions.hint("merge").join(best, tidy(F.col("mention")) == F.col("m"), "left")
     return out.select("question_id", "mention", "entity_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
@@ -114,13 +113,15 @@ def answer(
 
 
 def threshold_for_target(coefficient: float, intercept: float, target: float = TARGET) -> float:
-    """The confidence in [0, 1] from which on an answer is right with the target probability."""
-    if abs(coefficient) < 1e-9:
+    """The least confidence in [0, 1] at which the model's probability is the target or more; 1 where there is none, or where
+    confidence makes no difference."""
+    lowest, highest = 1 / (1 + np.exp(-(intercept + coefficient * np.array([0.0, 1.0]))))
+    if np.isclose(coefficient, 0.0, rtol=0, atol=1e-9):
         return 1.0
-    if coefficient < 0:
-        return 0.0 if 1 / (1 + math.exp(-intercept)) >= target else 1.0
-    bounded = min(max(target, 1e-6), 1 - 1e-6)
-    return min(1.0, max(0.0, (math.log(bounded / (1 - bounded)) - intercept) / coefficient))
+    if lowest >= target:
+        return 0.0
+    # between the ends the probability moves one way only, so that it reaches the target once or not at all
+    return float((np.log(target / (1 - target)) - intercept) / coefficient) if highest >= target else 1.0
 
 
 def calibrate(judged: DataFrame, target: float = TARGET) -> dict:
