@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgspark.functions.scalars import first_token
-from kgspark.functions.similarity import jaro_winkler
+from kgspark.functions.scalars import completeness, first_token, stable_id
+from kgspark.functions.similarity import best_similarity
 from kgspark.operators.components import connected_components
 from kgspark.shared import cut
 
@@ -15,54 +15,150 @@ from kgspark.shared import cut
 AUTO_MERGE, PENDING, MAX_BLOCK = 0.85, 0.60, 100
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows (block, id) with place: the number of the id within its block, from 0, by id. A block of any size is dealt to
+    several tasks: the rows are sorted as a whole and numbered by range."""
+    ranged = cut(rows.repartitionByRange("block", "id").withColumn("part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("block", "part").agg(F.count("*").alias("n"))  # a few rows for each block
+    before = F.coalesce(F.sum("n").over(W.partitionBy("block").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bases = cut(counts.select("block", "part", before.alias("base")), "bases")
+    own = F.row_number().over(W.partitionBy("block", "part").orderBy("id")) - 1
+    return ranged.withColumn("own", own).hint("merge").join(bases, ["block", "part"]).withColumn("place", F.col("base") + F.col("own")).drop("part", "own", "base")
+
+
+def block_keys(entities: DataFrame) -> DataFrame:
+    """(id, block, strict): entities (id, name, source_doc_id, doc_source_type and, if there, domains) by first name token, e-mail
+    domain and source document. strict: what an oversize block is keyed by besides."""
+    token = first_token(F.col("name"))
+    domains = F.col("domains") if "domains" in entities.columns else F.array().cast("array<string>")
+    named = F.when(token != "", F.concat(F.lit("name:"), token))
+    by_mail = F.transform(F.coalesce(domains, F.array().cast("array<string>")), lambda d: F.concat(F.lit("email_domain:"), F.lower(d)))
+    source = F.nullif(F.col("source_doc_id").cast("string"), F.lit(""))
+    keys = F.array_distinct(F.array_compact(F.concat(F.array(named, F.concat(F.lit("source_doc_id:"), source)), by_mail)))
+    strict = F.concat_ws("|", token, F.lower(F.coalesce(F.col("doc_source_type"), F.lit(""))))
+    return entities.select("id", strict.alias("strict"), F.explode(keys).alias("block"))
+
+
 def blocks(entities: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
-    """(id, block): entities (id, name, source_doc_id, doc_source_type) by first name token and by source document.
+    """(id, block, chunk, chunks): entities by block. A block of more than max_block members is keyed anew by first token and source
+    type besides, and cut into chunks of max_block ids in order; other blocks are one chunk."""
+    keyed = cut(block_keys(entities), "keys")
+    large = cut(keyed.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > max_block).select("block"), "large")
+    one = [F.lit(0).cast("long").alias("chunk"), F.lit(1).cast("long").alias("chunks")]
+    if large.isEmpty():
+        return keyed.select("id", "block", *one)
+    small = keyed.hint("merge").join(large, "block", "left_anti").select("id", "block", *one)
+    strict = keyed.hint("merge").join(large, "block", "left_semi").select("id", F.concat_ws("|", "block", "strict").alias("block"))
+    placed = cut(_placed(strict), "placed")
+    sizes = placed.groupBy("block").agg(F.ceil(F.count("*") / max_block).alias("chunks"))
+    chunk = F.floor(F.col("place") / max_block)
+    return small.unionByName(placed.hint("merge").join(sizes, "block").select("id", "block", chunk.alias("chunk"), "chunks"))
+
+
+def candidate_pairs(entities: DataFrame, max_block: int = MAX_BLOCK, across: bool = False) -> DataFrame:
+    """Distinct (a, b), a < b, of entities that share a chunk of a block: at most max_block - 1 partners in each.
+
+    across: the chunks of a block are compared with each other too, so that no pair of an oversize block is lost; that work
+    grows with the square of the block.
+    """
+    of = cut(blocks(entities, max_block), "blocks")
+    if across:
+        left = of.select(F.col("id").alias("a"), "block", F.col("chunk").alias("i"), F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("j"))
+        right = of.select(F.col("id").alias("b"), "block", F.explode(F.sequence(F.lit(0).cast("long"), "chunk")).alias("i"), F.col("chunk").alias("j"))
+        pairs = left.hint("merge").join(right, ["block", "i", "j"]).where((F.col("a") < F.col("b")) | ((F.col("i") < F.col("j")) & (F.col("a") != F.col("b"))))
+    else:
+        pairs = of.select(F.col("id").alias("a"), "block", "chunk").hint("merge").join(of.select(F.col("id").alias("b"), "block", "chunk"), ["block", "chunk"]).where("a < b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
 
-    A block of more than max_block members is keyed anew by token and source type and cut into chunks of max_block ids.
+def evidence_overlap(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """(a, b, overlap) of pairs that have facts in common: the Jaccard similarity of their subjects' (predicate, source_doc_id).
+
+    Facts without either are no evidence. Only joins and counts: a subject with very many facts is never gathered.
+    """
+    empty = F.lit("")
+    seen = facts.select("subject_id", F.coalesce("predicate", empty).alias("p"), F.coalesce(F.col("source_doc_id").cast("string"), empty).alias("d")).where("p <> '' or d <> ''").distinct()
+    seen = cut(seen, "evidence")
+    sizes = cut(seen.groupBy("subject_id").agg(F.count("*").alias("n")), "evidence-sizes")
+    left = pairs.select("a", "b").hint("merge").join(seen.withColumnRenamed("subject_id", "a"), "a")
+    common = left.hint("merge").join(seen.withColumnRenamed("subject_id", "b"), ["b", "p", "d"]).groupBy("a", "b").agg(F.count("*").alias("common"))
+    for x in ("a", "b"):
+        common = common.hint("merge").join(sizes.select(F.col("subject_id").alias(x), F.col("n").alias(f"n_{x}")), x)
+    return common.select("a", "b", (F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("overlap"))
+
+
+def score_pairs(entities: DataFrame, pairs: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """(a, b, name_similarity, exact_id_match, overlap, combined): 0.65 name + 0.35 evidence.
+
+    The name's part is the best similarity of any alias (array aliases, else the name) with any of the other. Evidence is
+    that of facts, or the Jaccard similarity of arrays `signature` where there are none. An identifier in common (arrays
+    identifiers) gives 0.85 + 0.15 name instead.
+    """
+    names = F.col("aliases") if "aliases" in entities.columns else F.array("name")
+    signature = F.col("signature") if "signature" in entities.columns else F.array().cast("array<string>")
+    side = lambda x: entities.select(F.col("id").alias(x), names.alias(f"n{x}"), signature.alias(f"s{x}"), F.col("identifiers").alias(f"i{x}"))
+    both = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b").withColumn("name_similarity", best_similarity("na", "nb"))
+    if facts is None:
+        union = F.size(F.array_union("sa", "sb"))
+        both = both.withColumn("overlap", F.when(union > 0, F.size(F.array_intersect("sa", "sb")) / union).otherwise(0.0))
+    else:
+        both = both.hint("merge").join(evidence_overlap(pairs, facts), ["a", "b"], "left").fillna(0.0, ["overlap"])
+    exact = F.coalesce(F.arrays_overlap("ia", "ib"), F.lit(False))
+    combined = F.when(exact, 0.85 + 0.15 * F.col("name_similarity")).otherwise(0.65 * F.col("name_similarity") + 0.35 * F.col("overlap"))
+    return both.select("a", "b", "name_similarity", exact.alias("exact_id_match"), "overlap", F.least(F.lit(1.0), combined).alias("combined"))
+
+
+def entity_completeness(entities: DataFrame) -> Column:
+    """Filled columns, plus one for each alias and two for each identifier."""
+    plain = [c for c in entities.columns if c not in ("id", "aliases", "identifiers", "signature", "domains")]
+    sizes = [F.coalesce(F.size(F.array_distinct(c)), F.lit(0)) * n for c, n in (("aliases", 1), ("identifiers", 2)) if c in entities.columns]
+    return sum(sizes, completeness(*plain))
+
+
+def resolve_entities(
+    entities: DataFrame, auto: float = AUTO_MERGE, pending: float = PENDING, facts: DataFrame | None = None, max_block: int = MAX_BLOCK, across: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(merges: id, merged_into; pending: the scored pairs between the thresholds, with merge_id).
+
+    Of a cluster the most complete member survives, of equally complete ones that with the smallest id.
     """
-    token = F.concat(F.lit("name:"), first_token(F.col("name")))
-    keys = F.array(F.struct(token.alias("block"), F.lit(True).alias("by_name")), F.struct(F.concat(F.lit("doc:"), F.col("source_doc_id").cast("string")).alias("block"), F.lit(False).alias("by_name")))
-    exploded = entities.select("id", "doc_source_type", F.inline(keys)).where("block is not null and block not in ('name:', 'doc:')")
-    sizes = exploded.groupBy("block").agg(F.count("*").alias("n"))
-    sized = exploded.join(sizes, "block")
-    small = sized.where(F.col("n") <= max_block).select("id", "block")
-    large = sized.where(F.col("n") > max_block).withColumn("block", F.concat_ws("|", "block", "doc_source_type"))
-    place = F.floor((F.row_number().over(W.partitionBy("block").orderBy("id")) - 1) / max_block)
-    return small.unionByName(large.select("id", F.concat_ws("#", "block", place.cast("string")).alias("block")))
+    scored = cut(score_pairs(entities, candidate_pairs(entities, max_block, across), facts), "pairs")
+    merged = cut(connected_components(scored.where(F.col("combined") >= auto), "a", "b"), "clusters")
+    filled = entities.groupBy(F.col("id").alias("node")).agg(F.max(entity_completeness(entities)).alias("filled"))
+    members = cut(merged.hint("merge").join(filled, "node"), "members")
+    survivors = members.groupBy("component").agg(F.min_by("node", F.struct(-F.col("filled"), F.col("node"))).alias("merged_into"))
+    merges = members.hint("merge").join(survivors, "component").where("node <> merged_into").select(F.col("node").alias("id"), "merged_into")
+    waiting = scored.where((F.col("combined") >= pending) & (F.col("combined") < auto))
+    return merges, waiting.withColumn("merge_id", F.concat(F.lit("candidate-merge-"), stable_id("a", "b")))
 
 
-def candidate_pairs(entities: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
-    """Distinct (a, b), a < b, of entities that share a block; at most max_block - 1 partners a block."""
-    b = blocks(entities, max_block)
-    return b.withColumnRenamed("id", "a").join(b.withColumnRenamed("id", "b"), "block").where("a < b").select("a", "b").distinct()
+def repoint_facts(facts: DataFrame, merges: DataFrame) -> DataFrame:
+    """facts with the survivor as subject where theirs was merged."""
+    return redirect(facts, merges, "subject_id")
 
 
-def score_pairs(entities: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, name_similarity, overlap, combined): 0.65 name + 0.35 evidence, the Jaccard similarity of `signature` arrays.
+def score_histogram(scored: DataFrame) -> DataFrame:
+    """(bin, n) of pair scores: five bins, empty ones too."""
+    edges = [(0.0, 0.2), (0.2, 0.4), (0.4, 0.6), (0.6, 0.85), (0.85, 1.0)]
+    counts = [F.count_if((F.col("combined") >= low) & ((F.col("combined") < high) if high < 1 else (F.col("combined") <= high))).alias(f"b{i}") for i, (low, high) in enumerate(edges)]
+    bins = F.array(*[F.struct(F.lit(f"{low:g}-{high:g}").alias("bin"), F.col(f"b{i}").alias("n")) for i, (low, high) in enumerate(edges)])
+    return scored.agg(*counts).select(F.inline(bins))
 
-    An identifier in common (arrays `identifiers`) gives 0.85 + 0.15 name instead.
-    """
-    left = entities.select(F.col("id").alias("a"), F.col("name").alias("na"), F.col("signature").alias("sa"), F.col("identifiers").alias("ia"))
-    right = entities.select(F.col("id").alias("b"), F.col("name").alias("nb"), F.col("signature").alias("sb"), F.col("identifiers").alias("ib"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("name_similarity", jaro_winkler("na", "nb"))
-    union = F.size(F.array_union("sa", "sb"))
-    overlap = F.when(union > 0, F.size(F.array_intersect("sa", "sb")) / union).otherwise(0.0)
-    combined = F.when(F.arrays_overlap("ia", "ib"), 0.85 + 0.15 * F.col("name_similarity")).otherwise(0.65 * F.col("name_similarity") + 0.35 * overlap)
-    return both.select("a", "b", "name_similarity", overlap.alias("overlap"), F.least(F.lit(1.0), combined).alias("combined"))
+
+def best_pairs(scored: DataFrame, k: int = 5) -> DataFrame:
+    return scored.orderBy(F.desc("combined"), "a", "b").limit(k)
 
 
-def resolve_entities(entities: DataFrame, auto: float = AUTO_MERGE, pending: float = PENDING) -> tuple[DataFrame, DataFrame]:
-    """(merges: id, merged_into; pending pairs). The member with the smallest id of a cluster survives."""
-    scored = cut(score_pairs(entities, candidate_pairs(entities)), "pairs")
-    merged = connected_components(scored.where(F.col("combined") >= auto), "a", "b")
-    merges = merged.where("node <> component").select(F.col("node").alias("id"), F.col("component").alias("merged_into"))
-    return merges, scored.where((F.col("combined") >= pending) & (F.col("combined") < auto))
+def resolution_summary(entities: DataFrame, merges: DataFrame, pending: DataFrame) -> DataFrame:
+    """One row: entities, auto_merges, pending_merges."""
+    return entities.agg(F.count("*").alias("entities")).crossJoin(merges.agg(F.count("*").alias("auto_merges"))).crossJoin(pending.agg(F.count("*").alias("pending_merges")))
 
 
-def redirect(links: DataFrame, merges: DataFrame, column: str = "entity_id", rounds: int = 32) -> DataFrame:
+def redirect(links: DataFrame, merges: DataFrame, column: str = "entity_id") -> DataFrame:
     """links with column followed along merges to the survivor; a cycle ends at its smallest id."""
-    ends = connected_components(merges.select(F.col("id").alias("src"), F.col("merged_into").alias("dst")))
-    roots = merges.select(F.col("merged_into").alias("root")).distinct().join(merges.select(F.col("id").alias("root")), "root", "left_anti")
-    named = ends.join(roots.withColumnRenamed("root", "node"), "node").groupBy("component").agg(F.min("node").alias("survivor"))
-    target = ends.join(named, "component", "left").select(F.col("node").alias(column), F.coalesce("survivor", "component").alias("__to"))
-    return links.join(target, column, "left").withColumn(column, F.coalesce("__to", column)).drop("__to")
+    ends = cut(connected_components(merges.select(F.col("id").alias("src"), F.col("merged_into").alias("dst"))), "ends")
+    roots = merges.select(F.col("merged_into").alias("node")).distinct().hint("merge").join(merges.select(F.col("id").alias("node")), "node", "left_anti")
+    named = ends.hint("merge").join(roots, "node").groupBy("component").agg(F.min("node").alias("survivor"))
+    target = ends.hint("merge").join(named, "component", "left").select(F.col("node").alias("redirect_from"), F.coalesce("survivor", "component").alias("redirect_to"))
+    out = links.hint("merge").join(target, links[column] == target["redirect_from"], "left")
+    return out.withColumn(column, F.coalesce("redirect_to", links[column])).select(*links.columns)
