@@ -3,14 +3,18 @@ group is current. Groups are only ever aggregated, so that one of any size is no
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.functions.scalars import OPEN_END, normalize_value
+from kgspark.functions.similarity import ratio
+from kgspark.shared import cut
 
 #: Weight by source type and predicate, `*` for any other, and what holds without an entry.
 WEIGHTS = [("github", "status", 0.9), ("github", "*", 0.7), ("jira", "status", 0.85), ("jira", "*", 0.6), ("gmail", "*", 0.4), ("fireflies", "*", 0.5)]
 DEFAULT_WEIGHT, MARGIN = 0.3, 0.15
+#: Rows by set of source types that truth discovery keeps on the driver, at most.
+MAX_SETS = 10_000
 GROUP = ["subject_id", "predicate"]
 
 
@@ -78,18 +82,122 @@ def apply_decisions(facts: DataFrame, decisions: DataFrame) -> DataFrame:
     return joined.withColumns({"state": state, "superseded_by": loser, "valid_to": F.coalesce(end, F.lit(OPEN_END))}).drop("method", "current_id")
 
 
+def value_buckets(facts: DataFrame, threshold: float = 0.92) -> DataFrame:
+    """(subject_id, predicate, value_key, bucket): each different normalised value of a group and the value that leads its bucket.
+
+    In the order of their first facts (valid_from, id), a value joins the first leader that it equals, or whose ratio to it
+    is the threshold or more, and else leads a bucket of its own. Groups are walked through in order, value by value: only a
+    group's leaders are held, so that one of any size passes. Empty values are one bucket.
+    """
+    key = F.coalesce(normalize_value(F.col("value").cast("string")), F.lit(""))
+    values = facts.where("subject_id <> '' and predicate <> ''").groupBy(*GROUP, key.alias("value_key")).agg(F.min(F.struct("valid_from", "id")).alias("first"))
+    values = values.repartition(*GROUP).sortWithinPartitions(*GROUP, "first").select(*GROUP, "value_key")
+
+    def run(batches):
+        group, leaders = None, []
+        for batch in batches:
+            out = []
+            for own, value in zip(zip(batch["subject_id"], batch["predicate"], strict=True), batch["value_key"], strict=True):
+                if own != group:
+                    group, leaders = own, []
+                found = value if not value else next((x for x in leaders if x == value or ratio(value, x) >= threshold), None)
+                if found is None:
+                    leaders.append(value)
+                    found = value
+                out.append(found)
+            yield batch.assign(bucket=out)
+
+    return values.mapInPandas(run, "subject_id string, predicate string, value_key string, bucket string")
+
+
+def with_similar_buckets(facts: DataFrame, threshold: float = 0.92) -> DataFrame:
+    """facts with the normalised value that leads their bucket in place of their value."""
+    found = cut(value_buckets(facts, threshold), "buckets").select(*[F.col(c).alias(f"own_{c}") for c in GROUP], "value_key", "bucket")
+    key = F.coalesce(normalize_value(F.col("value").cast("string")), F.lit(""))
+    same = (facts["subject_id"] == found["own_subject_id"]) & (facts["predicate"] == found["own_predicate"]) & (key == found["value_key"])
+    out = facts.hint("merge").join(found, same, "left")
+    return out.withColumn("value", F.coalesce("bucket", facts["value"].cast("string"))).select(*facts.columns)
+
+
+def with_corroboration(facts: DataFrame) -> DataFrame:
+    """facts with corroboration_count: the different source documents behind their value in its group, the facts where none has one."""
+    bucket = F.coalesce(normalize_value(F.col("value").cast("string")), F.lit(""))
+    sources = F.count_distinct(F.nullif(F.col("source_doc_id").cast("string"), F.lit("")))
+    live = facts.drop("corroboration_count").withColumn("value_bucket", bucket)
+    support = live.groupBy(*GROUP, "value_bucket").agg(F.when(sources > 0, sources).otherwise(F.count("*")).alias("corroboration_count"))
+    return live.hint("merge").join(support, [*GROUP, "value_bucket"], "left").drop("value_bucket")
+
+
+def _types(facts: DataFrame) -> DataFrame:
+    kind = F.coalesce(F.nullif(F.lower("doc_source_type"), F.lit("")), F.lit("unknown"))
+    return facts.withColumn("doc_source_type", kind)
+
+
+def with_learned_authority(facts: DataFrame, reliability: dict[str, float], unseen: float = 0.5) -> DataFrame:
+    """facts with the learned reliability of their source type as authority_weight."""
+    kind = F.coalesce(F.nullif(F.lower("doc_source_type"), F.lit("")), F.lit("unknown"))
+    held = [x for pair in sorted(reliability.items()) for x in map(F.lit, pair)]
+    found = F.try_element_at(F.create_map(*held), kind) if held else F.lit(None).cast("double")
+    return facts.withColumn("authority_weight", F.coalesce(found, F.lit(unseen)))
+
+
+def learned_against_fixed(spark: SparkSession, reliability: dict[str, float], weights: list[tuple[str, str, float]] | None = None) -> DataFrame:
+    """(doc_source_type, fixed, learned) of each source type; fixed is the weight for any predicate, or the default."""
+    fixed = {kind: w for kind, predicate, w in (WEIGHTS if weights is None else weights) if predicate == "*"}
+    rows = [(kind, float(fixed.get(kind, DEFAULT_WEIGHT)), float(x)) for kind, x in sorted(reliability.items())]
+    return spark.createDataFrame(rows, "doc_source_type string, fixed double, learned double")
+
+
+def resolve_conflicts(facts: DataFrame, disabled: bool = False, reliability: dict[str, float] | None = None, similar: bool = False) -> DataFrame:
+    """facts with authority_weight, corroboration_count, state, superseded_by and valid_to: the whole cascade.
+
+    disabled: the latest fact wins and weights stay. reliability: learned weights in place of the fixed ones. similar: values
+    count as equal as value_buckets says.
+    """
+    weighed = facts if disabled else with_authority(facts) if reliability is None else with_learned_authority(facts, reliability)
+    alike = with_similar_buckets(weighed) if similar else weighed
+    decisions = cut(last_write_wins(alike) if disabled else decide(alike), "decisions")
+    if disabled:
+        return apply_decisions(weighed, decisions)
+    counted = with_corroboration(alike).select(F.col("id").alias("own_id"), "corroboration_count")
+    weighed = weighed.drop("corroboration_count").hint("merge").join(counted, F.col("id") == F.col("own_id"), "left").drop("own_id")
+    return apply_decisions(weighed, decisions)
+
+
+def redecide(facts: DataFrame, batch: DataFrame) -> DataFrame:
+    """Of facts (with those of batch in them) the ones of groups that batch touches, decided anew; other groups are not read again."""
+    touched = batch.select(*GROUP).distinct()
+    return resolve_conflicts(facts.hint("merge").join(touched, GROUP, "left_semi"))
+
+
+def method_counts(decisions: DataFrame) -> DataFrame:
+    return decisions.groupBy("method").agg(F.count("*").alias("n"))
+
+
+def latest_facts(facts: DataFrame, n: int = 12) -> DataFrame:
+    """The n facts that hold from the latest time, of equals those with the largest id."""
+    return facts.orderBy(F.desc("valid_from"), F.desc("id")).limit(n)
+
+
+def fact_summaries(facts: DataFrame) -> DataFrame:
+    return facts.select("id", *GROUP, "value", "source_doc_id", "doc_source_type", "valid_from", "authority_weight")
+
+
 def discover_truth(facts: DataFrame, rounds: int = 8, delta: float = 0.01, start: float = 0.5) -> list[dict]:
     """Reliability of each source type by round: the mean confidence of its claims, a claim's confidence being the noisy-or of
     the reliabilities of the distinct source types behind it.
 
     Facts are aggregated once to (set of source types, number of claims of each), which is bounded by the few source types;
-    the rounds run on that.
+    the rounds run on that; more than MAX_SETS of them are an error. A missing source type is unknown.
     """
+    facts = _types(facts)
     bucket = F.coalesce(normalize_value(F.col("value").cast("string")), F.lit(""))
     claims = facts.where("subject_id <> '' and predicate <> ''").groupBy(*GROUP, bucket.alias("bucket"), "doc_source_type").agg(F.count("*").alias("n"))
     kinds = claims.groupBy(*GROUP, "bucket").agg(F.array_sort(F.collect_list(F.struct("doc_source_type", "n"))).alias("kinds"))
     names = kinds.withColumn("types", F.transform("kinds", lambda k: k["doc_source_type"])).select("types", F.inline("kinds"))
-    rows = names.groupBy("types", "doc_source_type").agg(F.sum("n").alias("n")).collect()
+    rows = names.groupBy("types", "doc_source_type").agg(F.sum("n").alias("n")).limit(MAX_SETS + 1).collect()
+    if len(rows) > MAX_SETS:
+        raise ValueError(f"more than {MAX_SETS} sets of source types")
     weight = {r["doc_source_type"]: start for r in rows}
     history = [dict(weight)]
     for _ in range(rounds):
