@@ -1,12 +1,30 @@
-"""Lexical retrieval: log term frequency times smoothed inverse document frequency, best k for each question."""
+"""Lexical retrieval: log term frequency times smoothed inverse document frequency, best k for each question.
+
+Questions are the small side. Their terms' document frequencies are counted first; each text is then scored once against all
+questions that share a term with it, and a task passes on its best k for each question only.
+"""
 
 from __future__ import annotations
 
+import heapq
+import math
+import re
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from kgspark.functions.scalars import retrieval_tokens
+from kgspark.functions.scalars import RETRIEVAL_TOKEN, retrieval_tokens
+from kgspark.shared import cut
+
+#: Different terms of questions, times questions that have them, that are scored in one pass over the documents.
+POSTINGS = 2_000_000
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -18,20 +36,160 @@ def document_frequencies(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def _frequencies_of(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
+    """(term, df) of some terms (a written table): their number is bounded by POSTINGS, so that they are broadcast."""
+    words = docs.select(F.explode(F.array_distinct(retrieval_tokens(F.col(text_col)))).alias("term"))
+    return words.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("df"))
+
+
+def _score_pass(asked: DataFrame, docs: DataFrame, n: int, k: int, doc_id: str, text: str) -> DataFrame:
+    """(question_id, doc_id, score) of each task's best k. asked: question_id, term, qtf, within POSTINGS."""
+    terms = cut(asked.select("term").distinct(), "terms")
+    weighted = asked.hint("merge").join(cut(_frequencies_of(docs, text, terms), "frequencies"), "term")
+    names: list = []
+    number: dict = {}
+    gathered: dict[str, tuple[list[int], list[float]]] = defaultdict(lambda: ([], []))
+    for r in weighted.collect():  # POSTINGS at most
+        q = number.setdefault(r["question_id"], len(names))
+        if q == len(names):
+            names.append(r["question_id"])
+        into = gathered[r["term"]]
+        into[0].append(q)
+        into[1].append(r["qtf"] * (math.log((n + 1.0) / (r["df"] + 1)) + 1))
+    postings = {t: (np.array(q), np.array(w)) for t, (q, w) in gathered.items()}
+    held = docs.sparkSession.sparkContext.broadcast((names, postings))
+    kinds = [asked.schema["question_id"].dataType, docs.schema[doc_id].dataType, T.DoubleType()]
+    schema = T.StructType([T.StructField(c, t) for c, t in zip(("question_id", "doc_id", "score"), kinds, strict=True)])
+    asked_kind = to_arrow_type(kinds[0])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        names, postings = held.value
+        best: list[list[tuple]] = [[] for _ in names]
+        floor = np.zeros(len(names))
+        token, kind = re.compile(RETRIEVAL_TOKEN), None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for own, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = [(postings[t], 1 + math.log(tf)) for t, tf in Counter(token.findall((body or "").lower())).items() if t in postings]
+                if not found:
+                    continue
+                at = np.concatenate([q for (q, _), _ in found])
+                score = np.round(np.bincount(at, np.concatenate([w * x for (_, w), x in found]), len(names)), 6)
+                for q in np.flatnonzero((score >= floor) & (score > 0)).tolist():
+                    heapq.heappush(best[q], (float(score[q]), _Last(own)))
+                    if len(best[q]) > k:
+                        heapq.heappop(best[q])
+                    if len(best[q]) == k:
+                        floor[q] = best[q][0][0]
+        if kind is not None:
+            rows = [(names[q], x.value, s) for q, found in enumerate(best) for s, x in found]
+            columns = list(zip(*rows, strict=True)) or [[]] * 3
+            arrow = [pa.array(columns[0], asked_kind), pa.array(columns[1], kind), pa.array(columns[2], pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrow, names=schema.names)
+
+    return docs.select(doc_id, text).mapInArrow(run, schema)
+
+
+class _Last:
+    """Orders ids the other way round, so that of equal scores the smallest id stays; a null is the largest."""
+
+    __slots__ = ("value",)
+
+    def __init__(self, value):
+        self.value = value
+
+    def __lt__(self, other: _Last) -> bool:
+        if self.value is None or other.value is None:
+            return self.value is None and other.value is not None
+        return self.value > other.value
+
+
 def retrieve(questions: DataFrame, docs: DataFrame, k: int = 5, question_id: str = "question_id", question: str = "question", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(question_id, doc_id, score, rank) of the k best documents of each question with a positive score.
 
-    Only the questions' terms are counted in documents; scores are rounded to six digits and ties go to
-    the smaller document id.
+    Scores are rounded to six digits and ties go to the smaller document id. Questions beyond POSTINGS terms are dealt to
+    several passes by hash. Null texts have no terms; an empty table of either gives an empty result.
     """
     asked = term_counts(questions, question_id, question).select(F.col("id").alias("question_id"), "term", F.col("tf").alias("qtf"))
-    counts = term_counts(docs, doc_id, text).select(F.col("id").alias("doc_id"), "term", "tf")
-    n = docs.count()
-    wanted = asked.select("term").distinct()
-    counts = counts.join(wanted, "term", "left_semi")
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = asked.join(df, "term").withColumn("idf", F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1)
-    score = F.sum(F.col("qtf") * (1 + F.log("tf")) * F.col("idf"))
-    scored = weighted.join(counts, "term").groupBy("question_id", "doc_id").agg(F.round(score, 6).alias("score")).where("score > 0")
+    asked = cut(asked, "asked")
+    n, passes = docs.count(), max(1, -(-asked.count() // POSTINGS))
+    scored = None
+    for i in range(passes):
+        part = asked if passes == 1 else asked.where(F.pmod(F.xxhash64("question_id"), F.lit(passes)) == i)
+        found = _score_pass(part, docs, n, k, doc_id, text)
+        scored = found if scored is None else scored.union(found)
+    rank = F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
+    return cut(scored, "scored").withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def context_blocks(found: DataFrame, docs: DataFrame, size: int = 1500) -> DataFrame:
+    """(question_id, rank, block): retrieved documents (question_id, doc_id, score, rank) as text under a heading, content cut to
+    size. docs: doc_id, source, content."""
+    both = found.hint("merge").join(docs, "doc_id")
+    heading = F.format_string("[%d] source_id=%s source=%s score=%.3f\n", F.col("rank"), F.col("doc_id").cast("string"), F.col("source"), F.col("score"))
+    return both.select("question_id", "rank", F.concat(heading, F.substring(F.coalesce("content", F.lit("")), 1, size)).alias("block"))
+
+
+def fallback_documents(found: DataFrame, docs: DataFrame, size: int = 2500) -> DataFrame:
+    """(question_id, doc_id, source, timestamp, content cut to size, score) of retrieved documents, for questions without an anchor."""
+    return found.hint("merge").join(docs, "doc_id").select("question_id", "doc_id", "source", "timestamp", F.substring("content", 1, size).alias("content"), "score", "rank")
+
+
+def search_vectors(questions: DataFrame, docs: DataFrame, filters: list[str], k: int = 5, dots: int = 20_000_000) -> DataFrame:
+    """(question_id, doc_id, score, rank) of the k documents (doc_id, vector and filter columns) nearest by cosine to each question
+    (question_id, vector, filters: a map of wanted values) among those that have the values it wants.
+
+    Questions are a query set, compared with all documents in blocks of about dots numbers; a task passes on its best k only.
+    Scores are rounded to six digits, ties go to the smaller id. Null and zero vectors are like nothing.
+    """
+    size = questions.select(F.size("vector")).agg(F.max("size(vector)")).first()[0] or 1
+    count = questions.count()
+    blocks = max(1, -(-count * size // dots))
+    out = None
+    kinds = [questions.schema["question_id"].dataType, docs.schema["doc_id"].dataType]
+    schema = T.StructType([T.StructField("question_id", kinds[0]), T.StructField("doc_id", kinds[1]), T.StructField("score", T.DoubleType())])
+    arrow = [to_arrow_type(t) for t in kinds]
+    for i in range(blocks):
+        part = questions if blocks == 1 else questions.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == i)
+        rows = part.where("vector is not null").collect()  # a block
+        names = [r["question_id"] for r in rows]
+        wanted = [dict(r["filters"] or {}) for r in rows]
+        matrix = _unit(np.array([r["vector"] for r in rows], float)) if rows else np.zeros((0, size))
+        held = docs.sparkSession.sparkContext.broadcast((names, wanted, matrix))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held):
+            names, wanted, matrix = held.value
+            best: list[list[tuple]] = [[] for _ in names]
+            for batch in batches:
+                keep = [j for j, v in enumerate(batch.column("vector").to_pylist()) if v]
+                if not keep or not names:
+                    continue
+                own = _unit(np.array([batch.column("vector")[j].as_py() for j in keep], float))
+                scores = np.round(matrix @ own.T, 6)
+                ids = [batch.column("doc_id")[j].as_py() for j in keep]
+                fits = np.ones(scores.shape, bool)
+                for c in filters:
+                    have = np.array([str(batch.column(c)[j].as_py()) for j in keep])
+                    for q, w in enumerate(wanted):
+                        if w.get(c) is not None:
+                            fits[q] &= have == str(w[c])
+                order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(np.array(ids))), scores.shape), -np.where(fits, scores, -2.0)), axis=1)[:, :k]
+                for q in range(len(names)):
+                    for j in order[q].tolist():
+                        if fits[q, j] and own[j].any() and matrix[q].any():
+                            heapq.heappush(best[q], (float(scores[q, j]), _Last(ids[j])))
+                            if len(best[q]) > k:
+                                heapq.heappop(best[q])
+            found = [(names[q], x.value, s) for q, rows in enumerate(best) for s, x in rows]
+            columns = list(zip(*found, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], arrow[0]), pa.array(columns[1], arrow[1]), pa.array(columns[2], pa.float64())], names=schema.names)
+
+        scored = docs.select("doc_id", "vector", *filters).mapInArrow(run, schema)
+        out = scored if out is None else out.union(scored)
     rank = F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("score"), "doc_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return cut(out, "nearest").withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
