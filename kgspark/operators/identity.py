@@ -35,10 +35,10 @@ def resolve_senders(messages: DataFrame, identities: DataFrame, employees: DataF
     key = ["collection", "platform", "platform_user_id"]
     sender = normalize_platform_id(F.col("platform"), F.col("platform_user_id"))
     links = identities.withColumn("platform_user_id", sender).groupBy(*key).agg(F.min("employee_id").alias("employee_id"))
-    roles = employees.groupBy("collection", "employee_id").agg(F.min("cortex_role").alias("cortex_role"))
+    roles = employees.groupBy("collection", "employee_id").agg(F.min("access_role").alias("access_role"))
     defaults = agents.groupBy("agent_id").agg(F.min("role_default").alias("role_default"))
     out = messages.withColumn("platform_user_id", sender).join(links, key, "left").join(roles, ["collection", "employee_id"], "left").join(defaults, "agent_id", "left")
-    return out.withColumns({"role": F.coalesce("cortex_role", "role_default"), "is_fallback": F.col("cortex_role").isNull()}).drop("cortex_role", "role_default")
+    return out.withColumns({"role": F.coalesce("access_role", "role_default"), "is_fallback": F.col("access_role").isNull()}).drop("access_role", "role_default")
 
 
 def resolve_roles(requests: DataFrame, users: DataFrame, grants: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def role_access(records: DataFrame) -> DataFrame:
 
 def people_access(employees: DataFrame, records: DataFrame, identities: DataFrame) -> DataFrame:
     """employees with what their role sees and their linked identities; unknown roles see nothing."""
-    out = employees.join(role_access(records).withColumnRenamed("role", "cortex_role"), "cortex_role", "left")
+    out = employees.join(role_access(records).withColumnRenamed("role", "access_role"), "access_role", "left")
     out = out.join(linked_identities(identities), ["collection", "employee_id"], "left")
     return out.fillna(0, ["documents", "facts"]).withColumn("identities", F.coalesce("identities", F.array().cast("array<string>")))
 
@@ -85,10 +85,10 @@ def agents_with_deployments(agents: DataFrame, deployments: DataFrame) -> DataFr
 
 
 def validate_employees(rows: DataFrame) -> DataFrame:
-    """rows (employee_id, name, work_email, cortex_role) with errors: an array of texts, empty if the row is good."""
+    """rows (employee_id, name, work_email, access_role) with errors: an array of texts, empty if the row is good."""
     missing = [F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.lit(f"{c} is missing")) for c in ("employee_id", "name", "work_email")]
     address = F.when((F.trim("work_email") != "") & normalize_email(F.col("work_email")).isNull(), F.lit("work_email is no address"))
-    role = F.when(~F.coalesce("cortex_role", F.lit("")).isin(list(ROLE_LEVELS)), F.lit("cortex_role is unknown"))
+    role = F.when(~F.coalesce("access_role", F.lit("")).isin(list(ROLE_LEVELS)), F.lit("access_role is unknown"))
     return rows.withColumn("errors", F.array_compact(F.array(*missing, address, role)))
 
 

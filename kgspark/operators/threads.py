@@ -35,3 +35,8 @@ def summarize_threads(messages: DataFrame) -> DataFrame:
     first = F.min(F.struct("date", "message_id", "sender", "subject")).alias("first")
     out = thread_of_messages(messages).groupBy("thread_id").agg(first, F.max("date").alias("last_at"), F.count("*").alias("n_messages"))
     return out.select("thread_id", "first.sender", "first.subject", F.col("first.date").alias("first_at"), "last_at", "n_messages")
+
+
+def summarize_turns(conversations: DataFrame) -> DataFrame:
+    """(conv_id, n, first_role, last_text) of chats (conv_id, turn, role, text), by turn."""
+    return conversations.groupBy("conv_id").agg(F.count("*").alias("n"), F.min_by("role", "turn").alias("first_role"), F.max_by("text", "turn").alias("last_text"))

@@ -1,26 +1,51 @@
-"""Streams: counts of the activity feed, and incremental upserts."""
+"""Streams: counts of the activity feed, repeats dropped within a watermark, and incremental upserts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from kgspark.operators.near_duplicates import keep_latest
-
 
 def activity_counts(events: DataFrame, window: str = "1 day", late: str = "1 day") -> DataFrame:
     """(window_start, event_type, n) of events (ts, event_type); works on batches and streams."""
-    grouped = events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"))
+    if "event_id" not in events.columns or not events.isStreaming:
+        events = events.withWatermark("ts", late)
+    grouped = events.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"))
     return grouped.select(F.col("w.start").alias("window_start"), "event_type", "n")
 
 
-def upsert_stream(stream: DataFrame, path: str, checkpoint: str, key: str = "id", order: str = "version") -> StreamingQuery:
-    """Keeps the latest row of each key in numbered snapshots under path; a batch that runs again writes the same snapshot."""
+def without_repeats(events: DataFrame, key: str = "event_id", late: str = "1 day") -> DataFrame:
+    """events (ts and the key) without those whose key came before, within the watermark."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+
+
+def upsert_stream(stream: DataFrame, path: str, checkpoint: str, key: str = "id", order: str = "version", buckets: int = 16, available_now: bool = False) -> StreamingQuery:
+    """Appends each micro-batch under path as a folder of its own, keyed by bucket, so that a batch costs its own size only.
+
+    read_upserts gives the latest row of each key. A batch that runs again replaces its own folder.
+    """
+
+    def append(batch: DataFrame, number: int) -> None:
+        rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))
+        last = batch.withColumn("place_of_row", rank).where("place_of_row = 1").drop("place_of_row")
+        dealt = last.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
+
+    writer = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def read_upserts(spark: SparkSession, path: str, key: str = "id", order: str = "version") -> DataFrame:
+    """The latest row of each key: the largest order, of equals that of the later batch."""
+    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    others = [c for c in rows.columns if c not in (key, "batch", "bucket")]
+    best = F.max_by(F.struct(*others), F.struct(order, "batch"))
+    return rows.groupBy(key).agg(best.alias("row")).select(key, *[F.col(f"row.{c}").alias(c) for c in others])
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.schema(batch.schema).parquet(f"{path}/v{number - 1}") if number else spark.createDataFrame([], batch.schema)
-        keep_latest(old, batch, key, order).write.mode("overwrite").parquet(f"{path}/v{number}")
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
+def compact_upserts(spark: SparkSession, path: str, to: str, key: str = "id", order: str = "version", buckets: int = 16) -> None:
+    """Writes what read_upserts gives as one batch under another path."""
+    rows = read_upserts(spark, path, key, order)
+    rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).write.partitionBy("bucket").parquet(f"{to}/batch=0")
