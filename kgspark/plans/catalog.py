@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.functions import scalars as S
-from kgspark.operators import conflicts, graph, near_duplicates, resolution, retrieval
+from kgspark.operators import conflicts, dashboard, evaluation, graph, identity, near_duplicates, resolution, retrieval, threads
 from kgspark.operators.components import connected_components
 from kgspark.shared import table
 from kgspark.streaming.feeds import activity_counts
@@ -54,7 +54,7 @@ def w07_apply_decisions(spark, sf):
 
 
 def a09_method_counts(spark, sf):
-    return w05_conflict_cascade(spark, sf).groupBy("method").agg(F.count("*").alias("n"))
+    return conflicts.method_counts(w05_conflict_cascade(spark, sf))
 
 
 def s47_authority(spark, sf):
@@ -87,9 +87,10 @@ def w02_mark_duplicates(spark, sf):
 
 
 def a02_components(spark, sf):
-    """Components of the referrals customer k -> k div 3, without every seventh customer."""
-    c = table(spark, sf, "customer").where("c_custkey % 7 <> 0")
-    return connected_components(c.select(F.col("c_custkey").alias("src"), F.expr("c_custkey div 3").alias("dst")))
+    """Components of the referrals customer k -> k div 3; every seventh customer refers to nobody but itself."""
+    key = F.col("c_custkey")
+    parent = F.when(key % 7 == 0, key).otherwise(F.expr("c_custkey div 3"))
+    return connected_components(table(spark, sf, "customer").select(key.alias("src"), parent.alias("dst")))
 
 
 def j05_blocking(spark, sf):
@@ -127,21 +128,18 @@ def a15_accuracy(spark, sf):
 def a16_ablation(spark, sf):
     rows = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id")
     config = F.when(F.col("doc_id") % 2 == 0, "full").otherwise("plain")
-    out = rows.withColumn("config", config).groupBy("lang").pivot("config", ["full", "plain"])
-    return out.agg(F.avg("quality")).fillna(0.0)
+    results = rows.select(F.col("lang").alias("category"), F.col("quality").cast("double").alias("score_value"), config.alias("config"))
+    return evaluation.comparison(results, "partial", ["full", "plain"]).withColumnRenamed("category", "lang")
 
 
 def a12_dashboard(spark, sf):
-    f = facts(spark, sf)
-    return f.groupBy("doc_source_type").agg(F.count_distinct("source_doc_id").alias("documents"), F.count("*").alias("facts"), F.max("valid_from").alias("latest"))
+    return dashboard.facts_by_source(facts(spark, sf))
 
 
 def a13_role_access(spark, sf):
-    levels = [(role, level) for role, seen in S.ROLE_LEVELS.items() for level in seen]
-    roles = spark.createDataFrame(levels, "role string, level string")  # fixed
     level = F.when(F.col("id") % 10 == 0, "restricted").when(F.col("id") % 3 == 0, "internal").otherwise("public")
-    counted = facts(spark, sf).withColumn("level", level).groupBy("level").agg(F.count("*").alias("n"))
-    return roles.join(counted, "level").groupBy("role").agg(F.sum("n").alias("facts"))
+    records = facts(spark, sf).select(F.when(F.col("id") % 2 == 0, "fact").otherwise("document").alias("kind"), (F.col("id") % 50).cast("string").alias("source_doc_id"), level.alias("access_level"))
+    return identity.role_access(records)
 
 
 def s42_access_filter(spark, sf):
@@ -154,7 +152,8 @@ def s17_stable_id(spark, sf):
 
 
 def s22_normalize_value(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", S.normalize_value(F.substring("lang", 1, 10)).alias("lang"), S.slug(F.col("source"), "-").alias("slug"))
+    p = table(spark, sf, "part")
+    return p.select("p_partkey", S.normalize_value(F.concat(F.lit("  "), "p_type", F.lit(" (A,  B) "), "p_name")).alias("value"), S.slug(F.concat_ws(" / ", "p_name", "p_brand"), "-").alias("slug"))
 
 
 def s26_shingles(spark, sf):
@@ -163,16 +162,15 @@ def s26_shingles(spark, sf):
 
 
 def s10_html_to_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.length(F.regexp_replace("html", "<[^>]+>", " ")).cast("long").alias("n_chars"), F.md5(F.regexp_replace("html", "<[^>]+>", " ")).alias("text_md5"))
+    return table(spark, sf, "pages").select("page_id", F.md5(S.html_to_text(F.col("html"))).alias("text_md5"))
 
 
 def a03_threads(spark, sf):
-    c = table(spark, sf, "conversations")
-    return c.groupBy("conv_id").agg(F.count("*").alias("n"), F.min_by("role", "turn").alias("first_role"), F.max_by("text", "turn").alias("last_text"))
+    return threads.summarize_turns(table(spark, sf, "conversations"))
 
 
 def w12_recent(spark, sf):
-    return facts(spark, sf).orderBy(F.desc("valid_from"), F.desc("id")).limit(12).select("id", "valid_from")
+    return conflicts.latest_facts(facts(spark, sf), 12).select("id", "valid_from")
 
 
 def st03_activity(spark, sf):
@@ -180,9 +178,11 @@ def st03_activity(spark, sf):
 
 
 def io20_upsert(spark, sf):
+    """Orders of even number are old, all others and every third new."""
     o = table(spark, sf, "orders")
     shape = lambda df, v: df.select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("version"), F.lit(v).alias("batch"))
-    return near_duplicates.keep_latest(shape(o.where("o_orderkey % 2 = 0"), "old"), shape(o.where("o_orderkey % 3 = 0"), "new"))
+    even = F.col("o_orderkey") % 2 == 0
+    return near_duplicates.keep_latest(shape(o.where(even), "old"), shape(o.where(~even | (F.col("o_orderkey") % 3 == 0)), "new"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -200,7 +200,7 @@ _FACTS = """f AS (
 w AS (
     SELECT *, CASE doc_source_type WHEN 'github' THEN 0.7 WHEN 'jira' THEN 0.6 WHEN 'gmail' THEN 0.4 ELSE 0.5 END::DOUBLE AS weight,
         lower(value) AS bucket FROM f)"""
-_DECIDED = f"""{_FACTS},
+DECIDED_SQL = _DECIDED = f"""{_FACTS},
 r AS (
     SELECT *, row_number() OVER (PARTITION BY subject_id, predicate ORDER BY weight DESC, id) AS by_weight,
         row_number() OVER (PARTITION BY subject_id, predicate ORDER BY valid_from DESC, id) AS by_time FROM w),
@@ -226,6 +226,17 @@ decided AS (
         WHEN 'corroboration' THEN pick WHEN 'recency' THEN latest END AS current_id, n_facts FROM d)"""
 _LABELLED = "l AS (SELECT lang, doc_id, quality, toxic FROM labels JOIN documents USING (doc_id))"
 
+_SIMILAR = """t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS gram FROM t),
+s AS (SELECT doc_id, count(*) AS n, md5(string_agg(gram, '|' ORDER BY gram)) AS h FROM g GROUP BY 1),
+h AS (SELECT *, min(doc_id) OVER (PARTITION BY h) AS head FROM s),
+u AS (SELECT g.* FROM g JOIN h ON g.doc_id = h.doc_id AND h.head = h.doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM u x JOIN u y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY 1, 2),
+pairs AS (
+    SELECT a, b, common / (m.n + o.n - common)::DOUBLE AS similarity FROM c JOIN s m ON m.doc_id = a JOIN s o ON o.doc_id = b WHERE 5 * common >= 4 * (m.n + o.n - common)
+    UNION ALL SELECT head, doc_id, 1.0 FROM h WHERE head <> doc_id)"""
+
 ORACLE_SQL = {
     "w05_conflict_cascade": f"WITH {_DECIDED} SELECT * FROM decided",
     "w06_last_write_wins": f"""WITH {_FACTS} SELECT subject_id, predicate, CASE WHEN count(*) = 1 THEN 'single' ELSE 'last_write_wins' END AS method,
@@ -249,7 +260,7 @@ ORACLE_SQL = {
             FROM q JOIN df USING (term) JOIN d USING (term), n GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
         SELECT question_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""",
-    "a02_components": """WITH RECURSIVE e AS (SELECT c_custkey AS src, c_custkey // 3 AS dst FROM customer WHERE c_custkey % 7 <> 0),
+    "a02_components": """WITH RECURSIVE e AS (SELECT c_custkey AS src, CASE WHEN c_custkey % 7 = 0 THEN c_custkey ELSE c_custkey // 3 END AS dst FROM customer),
         up AS (SELECT src AS node, dst AS top FROM e UNION SELECT dst, dst FROM e UNION SELECT up.node, e.dst FROM up JOIN e ON up.top = e.src)
         SELECT node, min(top) AS component FROM up GROUP BY 1""",
     "j05_blocking": """WITH p AS (
@@ -271,22 +282,33 @@ ORACLE_SQL = {
         FROM customer c LEFT JOIN customer m ON m.c_custkey = c.c_custkey // 10 WHERE c.c_custkey // 10 <> 0""",
     "a15_accuracy": f"""WITH {_LABELLED}, s AS (SELECT lang AS category, CASE WHEN quality = 0 THEN 0.0 WHEN toxic = 1 THEN 0.5 ELSE 1.0 END::DOUBLE AS v FROM l)
         SELECT category, count(*) AS n, avg(CASE WHEN v = 1 THEN 1.0 ELSE 0.0 END) AS strict, avg(v) AS partial FROM s GROUP BY ROLLUP (category)""",
-    "a16_ablation": f"""WITH {_LABELLED} SELECT lang, coalesce(avg(quality) FILTER (WHERE doc_id % 2 = 0), 0) AS "full",
-        coalesce(avg(quality) FILTER (WHERE doc_id % 2 = 1), 0) AS plain FROM l GROUP BY 1""",
+    "a16_ablation": f"""WITH {_LABELLED} SELECT CASE WHEN grouping(lang) = 1 THEN 'overall' ELSE lang END AS lang, coalesce(avg(quality) FILTER (WHERE doc_id % 2 = 0), 0) AS "full",
+        coalesce(avg(quality) FILTER (WHERE doc_id % 2 = 1), 0) AS plain FROM l GROUP BY ROLLUP (lang)""",
     "a12_dashboard": f"WITH {_FACTS} SELECT doc_source_type, count(DISTINCT source_doc_id) AS documents, count(*) AS facts, max(valid_from) AS latest FROM f GROUP BY 1",
-    "a13_role_access": f"""WITH {_FACTS}, r AS (SELECT * FROM (VALUES ('guest', 0), ('member', 1), ('admin', 2)) AS r(role, most))
-        SELECT role, count(*) AS facts FROM f JOIN r ON CASE WHEN id % 10 = 0 THEN 2 WHEN id % 3 = 0 THEN 1 ELSE 0 END <= most GROUP BY 1""",
+    "a13_role_access": """WITH r AS (SELECT * FROM (VALUES ('guest', 0), ('member', 1), ('admin', 2)) AS r(role, most))
+        SELECT role, count(DISTINCT CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey % 50 END) AS documents, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS facts
+        FROM orders JOIN r ON CASE WHEN o_orderkey % 10 = 0 THEN 2 WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END <= most GROUP BY 1""",
     "s42_access_filter": "SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 10 <> 0",
     "s17_stable_id": f"WITH {_FACTS} SELECT id, left(sha1(subject_id || '|' || predicate || '|' || value), 24) AS stable_id FROM f",
-    "s22_normalize_value": "SELECT doc_id, lower(trim(lang)) AS lang, source AS slug FROM documents",
+    "s22_normalize_value": r"""SELECT p_partkey, regexp_replace(regexp_replace(trim(lower('  ' || p_type || ' (A,  B) ' || p_name)), '\s+', ' ', 'g'), '[^a-z0-9 ._:/-]', '', 'g') AS value,
+        trim(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part""",
     "s26_shingles": """WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents)
         SELECT doc_id, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 5 THEN 1
             ELSE len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))) END::BIGINT AS n_shingles FROM t""",
-    "s10_html_to_text": """SELECT page_id, CAST(length(regexp_replace(html, '<[^>]+>', ' ', 'g')) AS BIGINT) AS n_chars, md5(regexp_replace(html, '<[^>]+>', ' ', 'g')) AS text_md5 FROM pages""",
+    "s10_html_to_text": r"""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'),
+        '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&#x27;', chr(39)), '&apos;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&'),
+        '[\s\x{a0}\x0B]+', ' ', 'g'))) AS text_md5 FROM pages""",
     "a03_threads": "SELECT conv_id, count(*) AS n, arg_min(role, turn) AS first_role, arg_max(text, turn) AS last_text FROM conversations GROUP BY 1",
     "w12_recent": f"WITH {_FACTS} SELECT id, valid_from FROM f ORDER BY valid_from DESC, id DESC LIMIT 12",
     "st03_activity": "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "io20_upsert": """WITH u AS (SELECT o_custkey AS id, o_orderkey AS version, 'old' AS batch FROM orders WHERE o_orderkey % 2 = 0
-        UNION ALL SELECT o_custkey, o_orderkey, 'new' FROM orders WHERE o_orderkey % 3 = 0),
+        UNION ALL SELECT o_custkey, o_orderkey, 'new' FROM orders WHERE o_orderkey % 2 = 1 OR o_orderkey % 3 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC, batch) AS k FROM u) SELECT id, version, batch FROM r WHERE k = 1""",
+    "j17_near_duplicates": f"WITH {_SIMILAR} SELECT a, b, round(similarity, 6) AS similarity FROM pairs",
+    "w02_mark_duplicates": f"""WITH RECURSIVE {_SIMILAR},
+        e AS (SELECT a AS x, b AS y FROM pairs UNION SELECT b, a FROM pairs), up AS (SELECT x AS node, x AS top FROM e UNION SELECT up.node, e.y FROM up JOIN e ON up.top = e.x),
+        k AS (SELECT node, min(top) AS cluster FROM up GROUP BY 1),
+        r AS (SELECT node AS id, cluster, first_value(node) OVER (PARTITION BY cluster ORDER BY CAST(coalesce(text, '') <> '' AS INT) + CAST(coalesce(lang, '') <> '' AS INT)
+            + CAST(coalesce(source, '') <> '' AS INT) + CAST(n_chars IS NOT NULL AS INT) DESC, length(coalesce(text, '')) DESC, node) AS best FROM k JOIN documents ON doc_id = node)
+        SELECT id, cluster, id = best AS is_canonical, CASE WHEN id <> best THEN best END AS near_duplicate_of FROM r""",
 }

@@ -25,7 +25,7 @@ def _employees(spark, sf):
     address = F.when(key % 10 == 0, "none").otherwise(F.concat(F.lit("u"), key.cast("string"), F.lit("@x.co")))
     return table(spark, sf, "customer").select(
         F.lit("c").alias("collection"), key.cast("string").alias("employee_id"), F.col("c_name").alias("name"), address.alias("work_email"),
-        F.lit("member").alias("cortex_role"), key.alias("row_no"), "c_mktsegment",
+        F.lit("member").alias("access_role"), key.alias("row_no"), "c_mktsegment",
     )
 
 
@@ -50,7 +50,7 @@ def j18_resolve_senders(spark, sf):
     o, people = table(spark, sf, "orders"), _employees(spark, sf)
     messages = o.select("o_orderkey", F.lit("c").alias("collection"), F.lit("slack").alias("platform"), F.col("o_custkey").cast("string").alias("platform_user_id"), F.col("o_orderpriority").alias("agent_id"))
     links = people.where("row_no % 3 <> 0").select("collection", F.lit("slack").alias("platform"), F.col("employee_id").alias("platform_user_id"), "employee_id")
-    roles = people.where("row_no % 2 = 0").select("collection", "employee_id", F.lower("c_mktsegment").alias("cortex_role"))
+    roles = people.where("row_no % 2 = 0").select("collection", "employee_id", F.lower("c_mktsegment").alias("access_role"))
     agents = o.select(F.col("o_orderpriority").alias("agent_id"), F.lit("guest").alias("role_default")).distinct()
     return identity.resolve_senders(messages, links, roles, agents).select("o_orderkey", "employee_id", "role", "is_fallback")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from kgspark.functions import scalars as S
-from kgspark.functions.similarity import jaro, jaro_winkler, sequence_ratio, winkler
+from kgspark.functions.similarity import best_similarity, jaro_batch, jaro_winkler, jaro_winkler_batch, register, sequence_ratio
 from kgspark.operators import conflicts, graph, near_duplicates, resolution
 from kgspark.operators.components import connected_components
 from kgspark.plans import catalog
@@ -77,8 +77,8 @@ def test_cascade_rules(spark):
 
 
 def test_similarities(spark):
-    assert jaro("martha", "marhta") == pytest.approx(0.944444, abs=1e-6)
-    assert winkler(" Dwayne", "duane") == pytest.approx(0.84, abs=1e-6)
+    assert jaro_batch(["martha", "", "a", "dixon"], ["marhta", "", "", "dicksonx"]).tolist() == pytest.approx([0.944444, 1.0, 0.0, 0.766667], abs=1e-6)
+    assert jaro_winkler_batch([" Dwayne", "CRATE", None], ["duane", "trace", "x"]).tolist() == pytest.approx([0.84, 0.733333, 0.0], abs=1e-6)
     df = spark.createDataFrame([("abc", "abd"), (None, "x")], "a string, b string")
     assert [round(r[0], 4) for r in df.select(jaro_winkler("a", "b")).collect()] == [0.8222, 0.0]
     assert [round(r[0], 4) for r in df.select(sequence_ratio("a", "b")).collect()] == [0.6667, 0.0]

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from kgspark.functions.similarity import winkler
+from kgspark.functions.similarity import jaro_winkler_batch
 from kgspark.operators import answering, build, identity, threads
 from kgspark.plans import people
 from kgspark.sources import chat, mail
@@ -76,7 +76,7 @@ def test_chat_export(spark, tmp_path):
 def test_identity(spark):
     messages = spark.createDataFrame([("c", "email", " A@x.co", "g1"), ("c", "whatsapp", "0 12-3", "g1"), ("c", "slack", "zz", "g9")], "collection string, platform string, platform_user_id string, agent_id string")
     ids = spark.createDataFrame([("c", "email", "a@X.co", "e1"), ("c", "whatsapp", "+0123", "e2")], "collection string, platform string, platform_user_id string, employee_id string")
-    people = spark.createDataFrame([("c", "e1", "admin")], "collection string, employee_id string, cortex_role string")
+    people = spark.createDataFrame([("c", "e1", "admin")], "collection string, employee_id string, access_role string")
     agents = spark.createDataFrame([("g1", "member")], "agent_id string, role_default string")
     got = {r["platform"]: (r["employee_id"], r["role"], r["is_fallback"]) for r in identity.resolve_senders(messages, ids, people, agents).collect()}
     assert got == {"email": ("e1", "admin", False), "whatsapp": ("e2", "member", True), "slack": (None, None, True)}
@@ -86,7 +86,7 @@ def test_identity(spark):
     assert {r["request_id"]: (r["user_id"], r["role"]) for r in identity.resolve_roles(asked, users, grants).collect()} == {1: ("u1", "admin"), 2: ("u2", "guest"), 3: (None, "guest")}
     rows = spark.createDataFrame(
         [("c", "e1", "A", "a@x.co", "admin", 1), ("c", "e1", "B", "a@x.co", "admin", 2), ("c", "e2", "C", "nope", "boss", 3), ("c", "e3", "D", "d@x.co", "guest", 4)],
-        "collection string, employee_id string, name string, work_email string, cortex_role string, row_no int",
+        "collection string, employee_id string, name string, work_email string, access_role string, row_no int",
     )
     got = {r["row_no"]: (r["outcome"], len(r["errors"])) for r in identity.register_employees(rows, people).collect()}
     assert got == {1: ("replaced", 0), 2: ("updated", 0), 3: ("error", 2), 4: ("added", 0)}
@@ -152,7 +152,7 @@ def test_links_against_all_pairs(spark):
     e = spark.createDataFrame([(i, [x]) for i, x in enumerate(names)], "id long, aliases array<string>")
     want = {}
     for i, x in enumerate(mentions):
-        score, k = max((winkler(x, n), -k) for k, n in enumerate(names))
+        score, k = max((v, -k) for k, v in enumerate(jaro_winkler_batch([x] * len(names), names)))
         want[i] = (-k, round(score, 9)) if score >= 0.75 else (None, 0.0)
     assert {r["question_id"]: (r["entity_id"], round(r["score"], 9)) for r in answering.link_mentions(m, e).collect()} == want
 
