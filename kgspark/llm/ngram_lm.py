@@ -2,8 +2,9 @@
 
 Words are 64-bit hashes. Each task counts the word pairs of its texts and sends, for each shard of contexts, sorted arrays
 of contexts, successors and counts; the owner of a shard merges them and writes sorted hash arrays into the shared folder.
-Continuation counts go to shards of words in the same way. Scoring workers map these files and look up a batch of pairs
-at a time. Nothing that grows with the corpus passes the driver.
+Contexts that are so frequent that one shard could not hold their successors are dealt over all shards by pair, and their
+partial sums are added up. Continuation counts go to shards of words in the same way. Scoring workers map these files and look up
+a batch of pairs at a time. Nothing that grows with the corpus passes the driver.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ BEGIN = xxhash.xxh64_intdigest(b" <s>").to_bytes(8, "little")
 END = xxhash.xxh64_intdigest(b" </s>").to_bytes(8, "little")
 #: Words of a task counted at once, words in a worker's memo, and bytes of text for each shard of the model.
 COUNT_WORDS, MEMO_WORDS, SHARD_BYTES = 2_000_000, 300_000, 8 << 20
+#: Texts looked at for the frequent contexts, at most; shares of a shard from which a context is dealt over all. They decide where
+#: counts are kept, and no count depends on them.
+SAMPLE_ROWS, HOT_SHARDS = 20_000, 4.0
 
 
 class Hashes(dict):
@@ -88,22 +92,34 @@ def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _send(v: np.ndarray, w: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    v, w, n = distinct_pairs(v, w)
+def pair_shards(v: np.ndarray, w: np.ndarray, bits: int, hot: np.ndarray) -> np.ndarray:
+    """The shard of each pair: its context's, or its own if the context is a hot one (hot: sorted)."""
     shard = shard_of(v, bits)
+    if len(hot):
+        many = np.isin(v, hot)
+        shard[many] = shard_of(pair_keys(v[many], w[many]), bits)
+    return shard
+
+
+def _send(v: np.ndarray, w: np.ndarray, bits: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    v, w, n = distinct_pairs(v, w)
+    shard = pair_shards(v, w, bits, hot)
+    order = np.argsort(shard, kind="stable")
+    v, w, n, shard = v[order], w[order], n[order], shard[order]
     cuts = np.searchsorted(shard, np.arange((1 << bits) + 1))
     rows: list[tuple] = []
     for s in np.flatnonzero(np.diff(cuts)):
         a, b = cuts[s], cuts[s + 1]
         context, at = runs(v[a:b])
         sizes = np.diff(np.append(at, b - a))
-        rows.append((int(s), context.tobytes(), sizes.astype("<u4").tobytes(), w[a:b].tobytes(), np.minimum(n[a:b], 2**32 - 1).astype("<u4").tobytes()))
+        # counts of a batch are below 2^32
+        rows.append((int(s), context.tobytes(), sizes.astype("<u4").tobytes(), w[a:b].tobytes(), n[a:b].astype("<u4").tobytes()))
     columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
     types = [pa.int32(), *[pa.binary()] * 4]
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["shard", "context", "sizes", "word", "n"])
 
 
-def _counter(bits: int):
+def _counter(bits: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, held_v, held_w, held = Hashes(), [], [], 0
         for whole in batches:
@@ -113,10 +129,10 @@ def _counter(bits: int):
                 held_w.append(w)
                 held += len(v)
                 if held >= COUNT_WORDS:
-                    yield from _send(np.concatenate(held_v), np.concatenate(held_w), bits)
+                    yield from _send(np.concatenate(held_v), np.concatenate(held_w), bits, hot)
                     held_v, held_w, held = [], [], 0
         if held:
-            yield from _send(np.concatenate(held_v), np.concatenate(held_w), bits)
+            yield from _send(np.concatenate(held_v), np.concatenate(held_w), bits, hot)
 
     return run
 
@@ -133,8 +149,8 @@ def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def _merge_pairs(folder: str, bits: int):
-    """Of a shard of contexts: writes its pairs and contexts, sends continuation counts and sums."""
+def _merge_pairs(folder: str, bits: int, hot: np.ndarray):
+    """Of a shard of contexts: writes its pairs and contexts, sends continuation counts, sums, and its part of hot contexts."""
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
@@ -149,8 +165,12 @@ def _merge_pairs(folder: str, bits: int):
         context, at = runs(v)
         total = np.add.reduceat(n, at)
         by = [np.add.reduceat(x.astype(np.int64), at) for x in (n == 1, n == 2, n >= 3)]
+        sums_of = np.stack((total, *by))
+        part = np.isin(context, hot)
+        hot_context, hot_sums = context[part], sums_of[:, part]
+        context, own_sums = context[~part], sums_of[:, ~part]
         save(f"{folder}/context-{shard}.npy", context)
-        save(f"{folder}/context-n-{shard}.npy", np.stack((total, *by)).astype("<u4" if total.max() < 2**32 else "<u8"))
+        save(f"{folder}/context-n-{shard}.npy", own_sums.astype("<u4" if own_sums.max(initial=0) < 2**32 else "<u8"))
         w = np.sort(w)
         word, at = runs(w)
         kinds = np.diff(np.append(at, len(w))).astype("<u4")
@@ -164,6 +184,8 @@ def _merge_pairs(folder: str, bits: int):
                 "shard": pa.array(full, pa.int32()),
                 "word": pa.array([word[cuts[s] : cuts[s + 1]].tobytes() for s in full], pa.binary()),
                 "n": pa.array([kinds[cuts[s] : cuts[s + 1]].tobytes() for s in full], pa.binary()),
+                "hot": pa.array([hot_context.tobytes()] + [b""] * (rows - 1), pa.binary()),
+                "hot_sums": pa.array([hot_sums.astype("<i8").tobytes()] + [b""] * (rows - 1), pa.binary()),
                 **{k: pa.array([x] + [0] * (rows - 1), pa.int64()) for k, x in sums.items()},
             }
         )
@@ -236,6 +258,11 @@ class Model:
         types, back = np.unique(flat, return_inverse=True)
         kind = shard_of(types, bits)
         context = self.find("context", kind, types, 4)
+        hot = self.array("hot")
+        if len(hot):
+            place = np.minimum(np.searchsorted(hot, types), len(hot) - 1)
+            hit = hot[place] == types
+            context[:, hit] = self.array("hot-n")[:, place[hit]]
         follows = self.find("word", kind, types, 1)[0]
         end, begin = (int.from_bytes(x, "little") for x in (END, BEGIN))
         count = context[0].copy()
@@ -246,7 +273,7 @@ class Model:
         lower = np.maximum(follows - d[np.minimum(follows, 3)], 0) / max(spec["pairs"], 1) + spare / (spec["types"] + 1)
         i = np.flatnonzero(np.concatenate(([False], flat[1:] != np.uint64(begin)))) if len(flat) else np.zeros(0, int)
         v, w = back[i - 1], back[i]
-        seen = self.find("pair", kind[v], pair_keys(types[v], types[w]), 1)[0]
+        seen = self.find("pair", pair_shards(types[v], types[w], bits, hot), pair_keys(types[v], types[w]), 1)[0]
         d = np.array(spec["d_pairs"])
         total = context[0][v]
         spare = d[1] * context[1][v] + d[2] * context[2][v] + d[3] * context[3][v]
@@ -262,7 +289,25 @@ def opened(folder: str, spec: tuple) -> Model:
     return Model(folder, dict(spec))
 
 
-def train(docs: DataFrame, text_col: str = "text") -> tuple[str, dict]:
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    memo = Hashes()
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            word, n = np.unique(sentences(utf8(batch.column("text")), memo)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word.view("<i8")), pa.array(n, pa.int64())], names=["word", "n"])
+
+
+def hot_contexts(texts: DataFrame, rows: int, shards: int, hot_shards: float = HOT_SHARDS) -> np.ndarray:
+    """Hashes, sorted, of the words (and marks) that are more than hot_shards shards' share of a sample of the texts."""
+    share = min(1.0, SAMPLE_ROWS / max(1, rows))
+    chosen = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    counts = cut(chosen.mapInArrow(_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "sample-words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.where(F.col("n") > total * hot_shards / shards).select("word").toArrow()  # shards / hot_shards at most
+    return np.sort(found.column("word").to_numpy().astype("<i8").view("<u8"))
+
+
+def train(docs: DataFrame, text_col: str = "text", hot_shards: float = HOT_SHARDS) -> tuple[str, dict]:
     """Counts docs; the model's folder (in the shared one) and its sums. Null and empty texts are a begin and an end."""
     spark = docs.sparkSession
     where = urlparse(shared_dir(spark))
@@ -273,10 +318,14 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[str, dict]:
     size = texts.agg(F.count("*").alias("texts"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     bits = max(4, int(np.ceil(np.log2(max(1, size["bytes"] / SHARD_BYTES)))))
     os.makedirs(folder, exist_ok=True)
-    counted = texts.mapInArrow(_counter(bits), "shard int, context binary, sizes binary, word binary, n binary")
+    hot = hot_contexts(texts, size["texts"], 1 << bits, hot_shards)
+    counted = texts.mapInArrow(_counter(bits, hot), "shard int, context binary, sizes binary, word binary, n binary")
     sums = "n1 long, n2 long, n3 long, n4 long, pairs long, tokens long, types long"
-    shards = cut(counted.groupBy("shard").applyInArrow(_merge_pairs(folder, bits), f"shard int, word binary, n binary, {sums}"), "continuations")
+    merged = counted.groupBy("shard").applyInArrow(_merge_pairs(folder, bits, hot), f"shard int, word binary, n binary, hot binary, hot_sums binary, {sums}")
+    shards = cut(merged, "continuations")
+    hot_types = _save_hot(shards, folder)
     total = shards.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "n3", "n4", "pairs", "tokens", "types")]).first().asDict()
+    total["types"] += hot_types
     words = shards.select("shard", "word", "n").groupBy("shard").applyInArrow(_merge_words(folder), "n1 long, n2 long, n3 long, n4 long, more long")
     own = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "n3", "n4", "more")]).first()
     spec = {
@@ -287,6 +336,25 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[str, dict]:
     return folder, spec
 
 
+def _save_hot(shards: DataFrame, folder: str) -> int:
+    """Adds up the parts of hot contexts and writes them; their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for context, sums in zip(batch.column("hot").to_pylist(), batch.column("hot_sums").to_pylist(), strict=True):
+                own = np.frombuffer(context, "<i8")
+                parts = np.frombuffer(sums, "<i8").reshape(4, -1) if len(own) else np.zeros((4, 0), "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (own, *parts)], names=["context", "s0", "s1", "s2", "s3"])
+
+    parts = shards.select("hot", "hot_sums").mapInArrow(run, "context long, s0 long, s1 long, s2 long, s3 long")
+    found = parts.groupBy("context").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(4)]).toArrow()  # a row for each hot context
+    context = found.column("context").to_numpy().astype("<i8").view("<u8")
+    order = np.argsort(context)
+    save(f"{folder}/hot.npy", context[order])
+    save(f"{folder}/hot-n.npy", np.stack([found.column(f"s{i}").to_numpy().astype("<i8") for i in range(4)])[:, order])
+    return len(context)
+
+
 def score(docs: DataFrame, model: tuple[str, dict], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' id and text with n_tokens, n_known, train_tokens, base_score, score; narrow. A null text is its end alone."""
     folder, spec = model
