@@ -80,13 +80,13 @@ def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
 
 def correlated_groups(n: int, both: np.ndarray, m: int) -> list[list[int]]:
     """m groups of about equal size, each grown by the bit most correlated with it."""
-    p = np.diag(both) / max(n, 1)
+    p, total = np.diag(both) / max(n, 1), len(both)
     deviation = np.sqrt(np.maximum(p * (1 - p), 1e-12))
     r = np.abs((both / max(n, 1) - np.outer(p, p)) / np.outer(deviation, deviation))
     np.fill_diagonal(r, 0)
-    free, groups = set(range(BITS)), []
+    free, groups = set(range(total)), []
     for k in range(m):
-        size = BITS // m + (k < BITS % m)
+        size = total // m + (k < total % m)
         group = [max(sorted(free), key=lambda b: sum(r[b, x] for x in free))]
         free.remove(group[0])
         while len(group) < size:
@@ -197,13 +197,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.hint("merge").join(named, "fp").select("id", "fp", "component_id")
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each near-duplicate group: the rows whose id names their component."""
-    found = near_duplicates(docs, id_col, text_col)
-    stay = cut(found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id")).distinct(), "stay")
-    return docs.hint("merge").join(stay, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").select(*docs.columns)
-
-
 def simhash_report(docs: DataFrame) -> DataFrame:
+    """near_duplicates by doc_id with the fingerprint as 16 hex digits; nulls, repeats, empty tables and other columns as there."""
     found = near_duplicates(docs)
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

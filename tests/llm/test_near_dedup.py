@@ -1,4 +1,4 @@
-"""The near-duplicate stage's join against brute force."""
+"""The near-duplicate stage against brute force over all pairs."""
 
 import random
 from itertools import combinations
@@ -59,5 +59,7 @@ def test_stage_keeps_one_of_each_group(spark):
     want, _ = roots({r["doc_id"]: words_of(r["text"]) or {()} for r in docs.collect()})
     assert {r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").collect()} == {i for i, x in want.items() if i == x}
     odd = spark.createDataFrame([(None, "Same text"), (6, "same text"), (6, "same text"), (7, "other")], "doc_id long, text string")
-    assert sorted(str(r["doc_id"]) for r in N.near_dedup(odd).collect()) == ["6", "6", "7"]
+    assert sorted(str(r["doc_id"]) for r in N.near_dedup(odd).collect()) == ["6", "7"]  # of repeated rows one stays
+    same = spark.createDataFrame([(2, "a b c d", 1), (5, "x y z w", 2), (5, "a b c d", 3)], "doc_id long, text string, t1 int")
+    assert sorted(r["t1"] for r in N.near_dedup(same).collect()) == [1, 2] and N.near_dedup(same).columns == same.columns
     assert N.near_dedup(odd.where(F.lit(False))).count() == 0
