@@ -17,22 +17,32 @@ ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that score 0.5 and more. Null and empty texts are scored as empty; repeated rows share their fate;
+    an empty table stays empty; other columns pass."""
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with the row of the largest id of each group of equal texts. Null is the empty text; repeated rows leave one; an
+    empty table stays empty; other columns pass."""
     return exact_dedup(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with the row of the least id of each group of near copies: five-word shingles, similarity of 0.8. Texts without words
+    are one group; repeated rows leave one; an empty table stays empty; other columns pass."""
     return near_dedup(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that hold a window of ten words of a benchmark item. Null and empty texts stay; repeated rows share
+    their fate; an empty table stays empty; other columns pass."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece of docs with its sequence and place. A null or empty text is one piece of length 1; repeated rows
+    are packed each; an empty table gives an empty result; other columns are ignored."""
     return pack(docs, vocabulary("word_bpe_49k.json"), CAPACITY).withColumnRenamed("id", "doc_id")
 
 
