@@ -49,7 +49,7 @@ def resolve_roles(requests: DataFrame, users: DataFrame, grants: DataFrame) -> D
     identity = F.col("identity")
     forms = F.array(*[F.struct(F.lit(i).alias("priority"), c.alias("form")) for i, c in enumerate((identity, normalize_email(identity), normalize_phone(identity)))])
     asked = requests.select("request_id", F.inline(forms)).where("form is not null")
-    matched = asked.join(users.select("user_id", F.col("identity").alias("form")), "form")
+    matched = asked.hint("merge").join(users.select("user_id", F.col("identity").alias("form")), "form")
     found = matched.groupBy("request_id").agg(F.min(F.struct("priority", "user_id"))["user_id"].alias("user_id"))
     granted = grants.groupBy("user_id", "collection_name").agg(F.min("role").alias("granted"))
     out = requests.join(found, "request_id", "left").join(granted, ["user_id", "collection_name"], "left")
@@ -74,7 +74,7 @@ def role_access(records: DataFrame) -> DataFrame:
 def people_access(employees: DataFrame, records: DataFrame, identities: DataFrame) -> DataFrame:
     """employees with what their role sees and their linked identities; unknown roles see nothing."""
     out = employees.join(role_access(records).withColumnRenamed("role", "access_role"), "access_role", "left")
-    out = out.join(linked_identities(identities), ["collection", "employee_id"], "left")
+    out = out.hint("merge").join(linked_identities(identities), ["collection", "employee_id"], "left")
     return out.fillna(0, ["documents", "facts"]).withColumn("identities", F.coalesce("identities", F.array().cast("array<string>")))
 
 
@@ -96,8 +96,30 @@ def register_employees(rows: DataFrame, existing: DataFrame, order: str = "row_n
     """(collection, employee_id, row_no, outcome, errors) of each row: added, updated, replaced (by a later row) or error."""
     key = ["collection", "employee_id"]
     checked = validate_employees(rows)
-    last = checked.where(F.size("errors") == 0).groupBy(*key).agg(F.max(order).alias("__last"))
-    known = existing.select(*key).distinct().withColumn("__known", F.lit(True))
+    last = checked.where(F.size("errors") == 0).groupBy(*key).agg(F.max(order).alias("last_row"))
+    known = existing.select(*key).distinct().withColumn("is_known", F.lit(True))
     out = checked.join(last, key, "left").join(known, key, "left")
-    outcome = F.when(F.size("errors") > 0, "error").when(F.col(order) < F.col("__last"), "replaced").when(F.col("__known"), "updated").otherwise("added")
+    outcome = F.when(F.size("errors") > 0, "error").when(F.col(order) < F.col("last_row"), "replaced").when(F.col("is_known"), "updated").otherwise("added")
     return out.select(*key, order, outcome.alias("outcome"), "errors")
+
+
+def route_messages(messages: DataFrame, identities: DataFrame, employees: DataFrame, agents: DataFrame) -> DataFrame:
+    """Question rows of inbound messages (message_id, raw_message, agent_id, collection, platform, platform_user_id): question,
+    collection, role, employee_id, is_fallback, error. A blank message and an unknown agent are errors and no questions.
+
+    agents: agent_id, collection, role_default.
+    """
+    known = agents.groupBy("agent_id").agg(F.min("collection").alias("agent_collection"))
+    sent = messages.hint("merge").join(known, "agent_id", "left").withColumn("collection", F.coalesce("agent_collection", "collection"))
+    out = resolve_senders(sent, identities, employees, agents.drop("collection"))
+    text = F.trim(F.coalesce("raw_message", F.lit("")))
+    error = F.when(text == "", "message is empty").when(F.col("agent_collection").isNull(), "agent is unknown")
+    return out.select("message_id", text.alias("question"), "collection", "agent_id", "employee_id", F.lower(F.trim("role")).alias("role"), "is_fallback", error.alias("error"))
+
+
+def employees_in_order(employees: DataFrame) -> DataFrame:
+    return employees.orderBy("collection", "employee_id")
+
+
+def grants_in_order(grants: DataFrame) -> DataFrame:
+    return grants.orderBy("user_id", "collection_name")

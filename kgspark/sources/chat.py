@@ -19,27 +19,46 @@ def user_names(users: DataFrame) -> DataFrame:
 
 
 def resolve_mentions(messages: DataFrame, names: DataFrame) -> DataFrame:
-    """messages with `<@id>` in text replaced by `@name`; unknown ids stay. Equal texts are looked up once."""
+    """messages with `<@id>` in text replaced by `@name`; unknown ids stay. Equal texts are looked up once.
+
+    Texts meet by two 64-bit hashes and are not sent along.
+    """
     found = F.array_distinct(F.regexp_extract_all("text", F.lit(MENTION), F.lit(1)))
-    asked = messages.where(F.col("text").rlike(MENTION)).select("text").distinct().select("text", F.explode(found).alias("user_id"))
-    known = asked.join(names, "user_id").groupBy(F.col("text").alias("__text")).agg(F.collect_list(F.struct("user_id", "user_name")).alias("__names"))
+    keys = lambda: [F.xxhash64(F.lit(i), "text").alias(f"text_{i}") for i in (1, 2)]
+    asked = messages.where(F.col("text").rlike(MENTION)).select(*keys(), found.alias("ids")).distinct().select("text_1", "text_2", F.explode("ids").alias("user_id"))
+    known = asked.hint("merge").join(names, "user_id").groupBy("text_1", "text_2").agg(F.collect_list(F.struct("user_id", "user_name")).alias("known_names"))
     tag = lambda n: F.concat(F.lit("<@"), n["user_id"], F.lit(">"))
-    replaced = F.aggregate("__names", F.col("text"), lambda t, n: F.replace(t, tag(n), F.concat(F.lit("@"), n["user_name"])))
-    out = messages.join(known, F.col("text") == F.col("__text"), "left").withColumn("text", F.coalesce(replaced, "text"))
-    return out.drop("__text", "__names")
+    replaced = F.aggregate("known_names", F.col("text"), lambda t, n: F.replace(t, tag(n), F.concat(F.lit("@"), n["user_name"])))
+    out = messages.select("*", *keys()).hint("merge").join(known, ["text_1", "text_2"], "left").withColumn("text", F.coalesce(replaced, "text"))
+    return out.select(*messages.columns)
 
 
 def shape_messages(raw: DataFrame, names: DataFrame, channels: DataFrame) -> DataFrame:
     """Messages of raw rows (RAW and channel) with names of users and ids of channels (id, name); blank texts are dropped."""
     raw = raw.where(F.trim("text") != "").withColumn("user_id", first_non_empty("user", "bot_id", "username"))
     ids = channels.groupBy(F.col("name").alias("channel")).agg(F.min("id").alias("channel_id"))
-    out = resolve_mentions(raw, names).join(names, "user_id", "left").join(ids, "channel", "left")
+    out = resolve_mentions(raw, names).hint("merge").join(names, "user_id", "left").hint("merge").join(ids, "channel", "left")
     return out.select(
         F.coalesce("channel_id", "channel").alias("channel_id"), "channel", "ts", "user_id", F.coalesce("user_name", "user_id").alias("user_name"),
         "text", F.coalesce("thread_ts", "ts").alias("thread_ts"), "subtype", F.greatest(F.size(F.coalesce("replies", F.array())), F.lit(0)).alias("reply_count"),
     )
 
 
+def shape_payloads(payloads: DataFrame) -> DataFrame:
+    """Messages of landed API payloads (channel, channel_name, messages: array of RAW, users: array of USERS): one row each, in
+    the same shape. The sender is user, else bot_id, else username; the payload's own users give the names."""
+    raw = payloads.select(F.col("channel_name").alias("channel"), F.inline("messages"))
+    users = payloads.select(F.inline("users"))
+    channels = payloads.select(F.col("channel").alias("id"), F.col("channel_name").alias("name"))
+    return shape_messages(raw, user_names(users), channels)
+
+
+def read_chat_payloads(spark: SparkSession, path: str) -> DataFrame:
+    """shape_payloads of JSON files, one payload each."""
+    schema = f"channel string, channel_name string, messages array<struct<{RAW}>>, users array<struct<{USERS}>>"
+    return shape_payloads(spark.read.schema(schema).json(path, multiLine=True))
+
+
 def read_chat_export(spark: SparkSession, path: str) -> DataFrame:
     """An export folder: users.json, channels.json and `<channel>/<day>.json`, each a JSON list."""
     days = spark.read.schema(RAW).json(f"{path}/*/*.json", multiLine=True)

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgspark.functions.scalars import html_to_text
+
 MESSAGE = "message_id string, refs array<string>, subject string, sender string, date string, body string"
 #: A landed payload: headers as a list, body parts already flattened to (mime_type, data in URL-safe base 64).
 PAYLOAD = "id string, threadId string, payload struct<headers: array<struct<name: string, value: string>>, parts: array<struct<mimeType: string, data: string>>>"
@@ -93,5 +95,5 @@ def messages_of_payloads(payloads: DataFrame) -> DataFrame:
         F.array_distinct(F.concat(ids(header("references")), ids(header("in-reply-to")))).alias("refs"), header("subject").alias("subject"),
         F.coalesce(F.nullif(name, F.lit("")), F.nullif(F.regexp_extract(shown, "<([^>]*)>", 1), F.lit("")), shown).alias("sender"),
         header("date").alias("date"),
-        F.coalesce(body("text/plain"), F.trim(F.regexp_replace(body("text/html"), "<[^>]+>", " ")), F.lit("")).alias("body"),
+        F.coalesce(body("text/plain"), html_to_text(body("text/html")), F.lit("")).alias("body"),
     )

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from kgspark.functions import scalars as S
 from kgspark.functions.similarity import register
-from kgspark.operators import build, conflicts, dashboard, evaluation, near_duplicates, packets, resolution, retrieval
+from kgspark.operators import build, conflicts, dashboard, evaluation, identity, packets, resolution, retrieval
 from kgspark.plans import records as queries
-from kgspark.sources import normalize, records
+from kgspark.sources import chat, hosts, normalize, records
 from kgspark.streaming import feeds
 
 SF = "/root/testdata/sf0.001"
@@ -177,3 +177,27 @@ def test_streams(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {(r["event_type"], r["n"]) for r in spark.table("feed").collect()} == {("x", 1), ("y", 1), ("z", 1)}
+
+
+def test_landed_payloads(spark):
+    raw = [("1", "u1", None, None, "hi <@u2> and <@u9>", None, None, None), ("2", None, "b1", None, "x", "1", None, [("u1", "3")]), ("3", "u1", None, None, " ", None, None, None)]
+    users = [("u1", "ann", ("", "Ann L")), ("u2", "bob", None)]
+    payload = spark.createDataFrame([("C1", "general", raw, users)], f"channel string, channel_name string, messages array<struct<{chat.RAW}>>, users array<struct<{chat.USERS}>>")
+    got = {r["ts"]: r for r in chat.shape_payloads(payload).collect()}
+    assert set(got) == {"1", "2"} and (got["1"]["text"], got["1"]["user_name"], got["1"]["channel_id"]) == ("hi @bob and <@u9>", "Ann L", "C1")
+    assert (got["2"]["user_id"], got["2"]["thread_ts"], got["2"]["reply_count"]) == ("b1", "1", 1)
+    talk = spark.createDataFrame([("a/b", 7, "T", "body", ("ann",), "2024", [(("bob",), "2024", "yes")]), ("a/b", 8, None, None, None, None, None)], hosts.DISCUSSION)
+    found = {r["number"]: (r["id"], r["body"], r["author"]) for r in hosts.discussion_records(talk).collect()}
+    assert found == {7: ("a/b#discussion-7", "body\n\nReplies:\n- bob: yes", "ann"), 8: ("a/b#discussion-8", "", "")}
+    tickets = spark.createDataFrame([("x", "b"), ("y", None)], "id string, body string")
+    notes = spark.createDataFrame([("x", "2", "second"), ("x", "1", "first")], "id string, created_at string, body string")
+    assert {r["id"]: r["body"] for r in hosts.with_comments(tickets, notes).collect()} == {"x": "b\n\nComments:\n- first\n- second", "y": ""}
+
+
+def test_routing(spark):
+    m = spark.createDataFrame([("m1", " hi ", "g1", None, "slack", "U1"), ("m2", "", "g1", None, "slack", "U2"), ("m3", "x", "g9", "c", "slack", "U1")], "message_id string, raw_message string, agent_id string, collection string, platform string, platform_user_id string")
+    links = spark.createDataFrame([("c", "slack", "U1", "e1")], "collection string, platform string, platform_user_id string, employee_id string")
+    people = spark.createDataFrame([("c", "e1", "Admin")], "collection string, employee_id string, access_role string")
+    agents = spark.createDataFrame([("g1", "c", "guest")], "agent_id string, collection string, role_default string")
+    got = {r["message_id"]: tuple(r)[1:] for r in identity.route_messages(m, links, people, agents).collect()}
+    assert got["m1"] == ("hi", "c", "g1", "e1", "admin", False, None) and got["m2"][-3:] == ("guest", True, "message is empty") and got["m3"][-1] == "agent is unknown"
