@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from kgspark.functions import scalars as S
 from kgspark.functions.similarity import register
 from kgspark.operators import build, conflicts, dashboard, evaluation, identity, packets, resolution, retrieval
+from kgspark.plans import ingest
 from kgspark.plans import records as queries
 from kgspark.sources import chat, hosts, normalize, records
 from kgspark.streaming import feeds
@@ -201,3 +202,23 @@ def test_routing(spark):
     agents = spark.createDataFrame([("g1", "c", "guest")], "agent_id string, collection string, role_default string")
     got = {r["message_id"]: tuple(r)[1:] for r in identity.route_messages(m, links, people, agents).collect()}
     assert got["m1"] == ("hi", "c", "g1", "e1", "admin", False, None) and got["m2"][-3:] == ("guest", True, "message is empty") and got["m3"][-1] == "agent is unknown"
+
+
+def test_ingestion_in_two_batches(spark):
+    shape = f"source_id string, source string, timestamp string, {build.EXTRACTION}"
+    person = lambda n, *a: (n, "person", list(a) or None, None)
+    fact = lambda s, v: (s, "role", v, None, None)
+    first = [
+        ("d1", "jira", "2024-01-01", [person("Ann Lee", "ann@x.co"), person("api")], [("Ann Lee", "knows", "Bob Roe")], [fact("Ann Lee", "lead")]),
+        ("d2", "gmail", "2024-01-02", [person("Ann Leigh", "ann@x.co"), person("Bob Roe")], None, [fact("Ann Leigh", "dev"), fact("Bob Roe", "ops")]), ("", "jira", "", [person("Skip Me")], None, None),
+    ]
+    graph = ingest.ingest(spark.createDataFrame(first, shape), 0)
+    row = graph.summary.first()
+    assert (row["documents"], row["skipped"], row["entities"], row["merges_made"], row["disputed"]) == (2, 1, 3, 1, 2)
+    merged = {r["canonical_name"]: r["state"] for r in graph.entities.collect()}
+    assert sorted(merged.values()) == ["candidate", "candidate", "resolved"] and len({r["subject_id"] for r in graph.facts.collect()}) == 2
+    second = [("d3", "jira", "2024-02-01", [person("Ann Lee", "ann@x.co")], None, [fact("Ann Lee", "lead")])]
+    again = ingest.ingest(spark.createDataFrame(second, shape), 0, known=graph)
+    states = {(r["source_doc_id"], r["value"]): r["state"] for r in again.facts.collect()}
+    assert states == {("d1", "lead"): "superseded", ("d3", "lead"): "current", ("d2", "dev"): "superseded", ("d2", "ops"): "current"}
+    assert set(again.reliability) == {"jira", "gmail"} and again.facts.count() == 4
