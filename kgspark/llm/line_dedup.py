@@ -5,42 +5,47 @@ Segments are indexed by length of line, number and hash; each line probes the in
 multi-match-aware rule leaves (12 for k = 2). Candidates are verified with Spark's thresholded edit distance, which computes
 a band of 2k + 1 diagonals. Lines of up to k characters have no k + 1 segments: they are all within k edits of each other, and
 longer lines within k edits of them leave a common string if up to k characters of each are deleted.
+
+Links serve to find classes, so that not all pairs of a dense group are needed: where many lines share a segment, they are
+compared with a few pivots first, and then only lines of different classes with each other.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgspark.operators.components import connected_components
-from kgspark.shared import cut, release
+from kgspark.shared import cut, discard, release
 
-#: Edits up to which lines are linked, and characters of the shortest line that has links: all have.
-EDITS, MIN_CHARS = 2, 1
-#: Lines that share a segment above which the join on it looks at a finer cut too.
-HOT_KEY = 64
-#: Segments of the finer cut.
+#: Edits up to which lines are linked.
+EDITS = 2
+#: Lines that share a segment above which they are compared with PIVOTS of them first.
+HOT_KEY, PIVOTS = 32, 2
+#: Segments of the finer cut that pairs of a hot segment are looked at with before their edit distance is computed.
 FINE = 8
 #: What is trimmed from both ends of a line.
 BLANKS = " \t\r"
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_hash, at, line, line_id): the lines of each text, trimmed; blank ones are left out. A null text has none.
+    """(id, text_hash, at, line, h1, h2): the lines of each text, trimmed; blank ones are left out. A null text has none.
 
-    line_id is the line's 64-bit hash; two different lines among n share one with odds of about n^2 / 2^65.
+    h1 and h2 are 64-bit hashes of the line, together its identity: among 10^12 different lines two share both with odds
+    of about 10^-15.
     """
     parts = F.posexplode(F.split(F.col("text"), "\n"))
     out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("text is not null")
     out = out.select("id", F.xxhash64("text").alias("text_hash"), parts.alias("at", "raw"))
     out = out.withColumn("line", F.btrim("raw", F.lit(BLANKS))).where("line <> ''")
-    return out.select("id", "text_hash", "at", "line", F.xxhash64("line").alias("line_id"))
+    return out.select("id", "text_hash", "at", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
     """Start (from 0) and size of segment i (from 0) of k + 1: the last ones are one longer if the length needs it."""
-    rest = length % (k + 1)
-    base = ((length - rest) / (k + 1)).cast("int")
+    rest = F.pmod(length, F.lit(k + 1))
+    base = F.floor(length / (k + 1)).cast("int")
     longer = F.greatest(F.lit(0), F.lit(i) - (F.lit(k + 1) - rest))
     return F.lit(i) * base + longer, base + (F.lit(i) >= F.lit(k + 1) - rest).cast("int")
 
@@ -49,31 +54,29 @@ def _key(line: Column, length: Column, i: int, start: Column, size: Column) -> C
     return F.xxhash64(length, F.lit(i), F.substring(line, start + 1, size))
 
 
-def _near(line: Column, length: Column, i: int, k: int) -> tuple[Column, Column]:
-    """A window of the line that holds all candidates for segment i, and where it starts: short to cut again."""
-    start, size = segment(length, i, k)
-    low = F.greatest(start - 2 * k - 1, F.lit(0))
-    return F.substring(line, low + 1, size + 4 * k + 4), low
-
+def index_keys(line: Column, length: Column, k: int) -> list[Column]:
+    return [_key(line, length, i, *segment(length, i, k)) for i in range(k + 1)]
 
-def index_keys(line: Column, length: Column, k: int) -> Column:
-    return F.array(*[_key(line, length, i, *segment(length, i, k)) for i in range(k + 1)])
 
+def probe_keys(line: Column, length: Column, k: int) -> list[Column]:
+    """Keys of the substrings that can equal a segment of a line of the same length or up to k shorter.
 
-def probe_keys(line: Column, length: Column, k: int) -> Column:
-    """Keys of the substrings that can equal a segment of a line of the same length or up to k shorter."""
+    They are cut from windows of the line that hold all candidates for one segment: short to cut again.
+    """
     keys = []
     for i in range(k + 1):
-        window, low_at = _near(line, length, i, k)
+        start, size = segment(length, i, k)
+        low_at = F.greatest(start - 2 * k - 1, F.lit(0))
+        window = F.substring(line, low_at + 1, size + 4 * k + 4)
         for shorter in range(k + 1):
             other = length - shorter
             start, size = segment(other, i, k)
             low, high = max(-i, shorter - (k - i)), min(i, shorter + (k - i))
             keys += [_key(window, other, i, start + move - low_at, size) for move in range(low, high + 1)]
-    return F.array(*keys)
+    return keys
 
 
-def moved_keys(line: Column, length: Column, pieces: int, k: int) -> Column:
+def moved_keys(line: Column, length: Column, pieces: int, k: int) -> list[Column]:
     """Keys of all substrings that can equal one of so many segments of a line up to k edits away and not longer."""
     keys = []
     for shorter in range(k + 1):
@@ -81,7 +84,13 @@ def moved_keys(line: Column, length: Column, pieces: int, k: int) -> Column:
             start, size = segment(length - shorter, i, pieces - 1)
             moves = [m for m in range(-k, k + 1) if abs(m) + abs(shorter - m) <= k]
             keys += [_key(line, length - shorter, i, start + m, size) for m in moves]
-    return F.array_distinct(F.array(*keys))
+    return keys
+
+
+def _exploded(lines: DataFrame, name: str, keys: list[Column]) -> DataFrame:
+    """(name, key) rows. The keys are columns of their own first, which Spark compiles to much faster code than one array of them."""
+    wide = lines.select(F.col("n").alias(name), *[x.alias(f"k{i}") for i, x in enumerate(keys)])
+    return wide.select(name, F.explode(F.array(*[f"k{i}" for i in range(len(keys))])).alias("key"))
 
 
 def remainders(line: Column, k: int) -> Column:
@@ -93,113 +102,163 @@ def remainders(line: Column, k: int) -> Column:
     return every
 
 
+def _ordered(a: str = "a", b: str = "b") -> tuple[Column, Column]:
+    return F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")
+
+
 def short_links(lines: DataFrame, k: int = EDITS) -> DataFrame:
     """(src, dst) of the pairs within k edits of a line of up to k characters and a longer one."""
-    near = lines.where(F.length("line") <= 2 * k).select("line_id", "line", F.explode(remainders(F.col("line"), k)).alias("rest"))
-    tiny = near.where(F.length("line") <= k).select(F.col("line_id").alias("a"), F.col("line").alias("x"), "rest")
-    other = near.where(F.length("line") > k).select(F.col("line_id").alias("b"), F.col("line").alias("y"), "rest")
-    pairs = tiny.hint("shuffle_hash").join(other, "rest").where(F.levenshtein("x", "y", k) >= 0)
-    return pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+    near = lines.where(F.length("line") <= 2 * k).select("n", "line", F.explode(remainders(F.col("line"), k)).alias("rest"))
+    tiny = near.where(F.length("line") <= k).select(F.col("n").alias("a"), F.col("line").alias("x"), "rest")
+    other = near.where(F.length("line") > k).select(F.col("n").alias("b"), F.col("line").alias("y"), "rest")
+    return tiny.hint("shuffle_hash").join(other, "rest").where(F.levenshtein("x", "y", k) >= 0).select(*_ordered()).distinct()
 
 
-def edit_links(lines: DataFrame, k: int = EDITS, hot_key: int = HOT_KEY) -> DataFrame:
-    """(src, dst) ids of all pairs of distinct lines within k edits. lines: line_id, line; both distinct, none empty."""
-    tiny = lines.where(F.length("line") <= k).select("line_id")
-    among = tiny.select(F.col("line_id").alias("src")).join(tiny.select(F.col("line_id").alias("dst")), F.col("src") < F.col("dst"))
-    return segment_links(lines, k, hot_key).union(short_links(lines, k)).union(among)
+def tiny_star(lines: DataFrame, k: int = EDITS) -> DataFrame:
+    """(src, dst) that link all lines of up to k characters, which are within k edits of each other, to the first of them."""
+    tiny = lines.where(F.length("line") <= k).select("n")
+    least = tiny.agg(F.min("n")).first()[0]
+    return tiny.where(F.col("n") != least).select(F.lit(least).cast("long").alias("src"), F.col("n").alias("dst"))
 
 
-def segment_links(lines: DataFrame, k: int = EDITS, hot_key: int = HOT_KEY) -> DataFrame:
-    """edit_links of the lines over k characters.
+def edit_links(lines: DataFrame, k: int = EDITS, hot_key: int = HOT_KEY) -> DataFrame:
+    """(src, dst): pairs of different lines within k edits whose components are those of all such pairs.
 
-    Where more than hot_key lines share a segment, the join on it also asks for FINE - k of FINE short segments in common, as
-    lines within k edits have, so that not all pairs of the key leave it.
+    lines: n (unique), line (distinct, none empty).
     """
-    long_enough = lines.where(F.length("line") > k).withColumn("length", F.length("line"))
-    indexed = long_enough.select(F.col("line_id").alias("a"), F.explode(index_keys(F.col("line"), F.col("length"), k)).alias("key"))
-    probes = long_enough.select(F.col("line_id").alias("b"), F.explode(probe_keys(F.col("line"), F.col("length"), k)).alias("key"))
-    hot = indexed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_key).select("key")
-    hot = cut(hot, "hot")
-    some_hot = not hot.isEmpty()
-    plain = indexed.hint("merge").join(hot, "key", "left_anti") if some_hot else indexed
-    candidates = plain.hint("shuffle_hash").join(probes, "key").where("a <> b")
-    candidates = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return segment_links(lines, k, hot_key).union(short_links(lines, k)).union(tiny_star(lines, k))
+
 
+def segment_links(lines: DataFrame, k: int = EDITS, hot_key: int = HOT_KEY) -> DataFrame:
+    """edit_links of the lines over k characters. All pairs are compared that share a segment which at most hot_key lines share."""
+    spark = lines.sparkSession
+    longer = lines.where(F.length("line") > k).withColumn("length", F.length("line"))
+    indexed = _exploded(longer, "a", index_keys(F.col("line"), F.col("length"), k))
+    probes = _exploded(longer, "b", probe_keys(F.col("line"), F.col("length"), k))
+    hot = cut(indexed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_key).select("key"), "hot")
+    some_hot = not hot.isEmpty()
+    few_keys = hot.hint("shuffle_hash")  # so that the many rows of the other side need no sort
+    plain = indexed.join(few_keys, "key", "left_anti") if some_hot else indexed
+    # probes are dealt out once: a mark for each hot key lets its probes through too
+    left = plain.select("a", "key").union(hot.select(F.lit(-1).cast("long").alias("a"), "key")) if some_hot else plain
+    joined = cut(left.hint("shuffle_hash").join(probes, "key").where("a <> b").select("a", "b", "key"), "joined")
+    release(spark)
+    candidates = cut(joined.where("a >= 0").select(*_ordered()).distinct(), "candidates")
+    few = candidates.select(F.explode(F.array("src", "dst")).alias("n"))
     if some_hot:
-        fine = long_enough.select(
-            F.col("line_id").alias("id"), index_keys(F.col("line"), F.col("length"), FINE - 1).alias("own"),
-            moved_keys(F.col("line"), F.col("length"), FINE, k).alias("moved"),
-        )
-        hot_left = indexed.hint("merge").join(hot, "key", "left_semi").hint("merge").join(fine.select(F.col("id").alias("a"), "own"), "a")
-        hot_right = probes.hint("merge").join(hot, "key", "left_semi").hint("merge").join(fine.select(F.col("id").alias("b"), "moved"), "b")
-        hot_left = hot_left.select(F.col("key").alias("key_a"), "a", "own")
-        alike = F.size(F.array_intersect("own", "moved")) >= FINE - k
-        many = hot_left.hint("merge").join(hot_right, (F.col("key_a") == F.col("key")) & (F.col("a") != F.col("b")) & alike)
-        candidates = candidates.union(many.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    candidates = cut(candidates.distinct(), "candidates")
-    release(lines.sparkSession)
-    # texts of lines with a candidate only
-    few = cut(candidates.select(F.explode(F.array("a", "b")).alias("line_id")).distinct(), "few")
-    lines = cut(lines.hint("merge").join(few, "line_id", "left_semi"), "met")
-    left = lines.select(F.col("line_id").alias("a"), F.col("line").alias("x"))
-    right = lines.select(F.col("line_id").alias("b"), F.col("line").alias("y"))
-    near = candidates.hint("merge").join(left, "a").hint("merge").join(right, "b").where(F.levenshtein("x", "y", k) >= 0)
-    return near.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        rows = indexed.join(few_keys, "key", "left_semi").select("key", F.col("a").alias("n"), F.lit(True).alias("own"))
+        rows = cut(rows.union(joined.where("a < 0").select("key", F.col("b").alias("n"), F.lit(False).alias("own"))), "hot-rows")
+        few = few.union(rows.select("n"))
+    release(spark)
+    # the texts of lines that are compared leave the table once
+    met = cut(lines.select("n", "line").join(cut(few.distinct(), "few").hint("shuffle_hash"), "n", "left_semi"), "met")
+    release(spark)
+    links = cut(_verified(candidates, met, k), "links")
+    discard(candidates)
+    return links.union(_hot_links(rows, met, k)).distinct() if some_hot else links
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, k: int) -> DataFrame:
+    """Those of pairs (src, dst) that are within k edits."""
+    left, right = (lines.select(F.col("n").alias(c), F.col("line").alias(x)) for c, x in (("src", "x"), ("dst", "y")))
+    near = pairs.hint("merge").join(left, "src").hint("merge").join(right, "dst").where(F.levenshtein("x", "y", k) >= 0)
+    return near.select("src", "dst")
+
+
+def _hot_links(rows: DataFrame, lines: DataFrame, k: int) -> DataFrame:
+    """Links within hot segments. rows: key, n, own (whether the line is indexed under the key, or probes it).
+
+    First every line is compared with PIVOTS indexed ones of each key. Then, for keys that still hold several components,
+    lines are compared across components only, and lines of a key's largest component only with those outside it.
+    """
+    spark = rows.sparkSession
+    rank = F.row_number().over(W.partitionBy("key").orderBy(F.xxhash64("n"), "n"))
+    pivots = cut(rows.where("own").withColumn("rank", rank).where(F.col("rank") <= PIVOTS).select("key", F.col("n").alias("a")), "pivots")
+    pairs = pivots.hint("merge").join(rows.select("key", F.col("n").alias("b")), "key").where("a <> b").select(*_ordered()).distinct()
+    near = cut(_verified(cut(pairs, "pivot-pairs"), lines, k), "pivot-links")
+    release(spark)
+    components = connected_components(near).select(F.col("node").alias("n"), "component")
+    rows = cut(rows.hint("merge").join(components, "n", "left").withColumn("component", F.coalesce("component", "n")), "hot-rows")
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("rows"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("rows", "component")).getField("component").alias("main"), F.count("*").alias("parts"))
+    rows = rows.hint("merge").join(sizes.where("parts > 1").select("key", "main"), "key").withColumn("outside", F.col("component") != F.col("main"))
+    met = lines.select("n", "line", F.length("line").alias("length")).hint("merge").join(rows.select("n").distinct(), "n", "left_semi")
+    met = met.select(
+        "n", "line", F.array(*index_keys(F.col("line"), F.col("length"), FINE - 1)).alias("fine"),
+        F.array_distinct(F.array(*moved_keys(F.col("line"), F.col("length"), FINE, k))).alias("moved"),
+    )
+    rows = cut(rows.hint("merge").join(met, "n"), "hot-texts")
+    release(spark)
+    left = rows.where("own").select(F.col("key").alias("key_a"), F.col("n").alias("a"), F.col("line").alias("x"), "fine", F.col("component").alias("c"), F.col("outside").alias("o"))
+    right = rows.where("not own").select("key", F.col("n").alias("b"), F.col("line").alias("y"), "moved", F.col("component").alias("d"), F.col("outside").alias("p"))
+    apart = (F.col("key_a") == F.col("key")) & (F.col("c") != F.col("d"))
+    alike = (F.size(F.array_intersect("fine", "moved")) >= FINE - k) & (F.levenshtein("x", "y", k) >= 0)
+    parts = [left.where(o).hint("merge").join(right.where(p), apart & alike).select(*_ordered()) for o, p in (("o", "true"), ("not o", "p"))]
+    return near.union(parts[0]).union(parts[1])
 
 
-def line_classes(lines: DataFrame, k: int = EDITS) -> DataFrame:
-    """(line_id, class_id, n_links) of the lines that have links; lines as of lines_of.
+def line_classes(lines: DataFrame, k: int = EDITS, hot_key: int = HOT_KEY) -> DataFrame:
+    """(h1, h2, class_id) of the lines that have links. lines: n, line, h1, h2; one row for each different line.
 
-    Equal lines are one; class_id is the smallest line_id reachable by links.
+    class_id names the least (h1, h2) of the lines reachable by links, as 32 hex digits.
     """
-    distinct = cut(lines.select("line_id", "line").distinct(), "lines")
-    release(distinct.sparkSession)
-    links = cut(segment_links(distinct, k).union(short_links(distinct, k)), "links")
-    # lines of up to k characters are a clique: a star links them, and each has all others
-    tiny = cut(distinct.where(F.length("line") <= k).select("line_id"), "tiny")
-    n, least = tiny.agg(F.count("*"), F.min("line_id")).first()
-    least = F.lit(least).cast("long")
-    star = tiny.where(F.col("line_id") != least).select(least.alias("src"), F.col("line_id").alias("dst"))
-    degree = links.select(F.explode(F.array("src", "dst")).alias("line_id"), F.lit(1).alias("n")).union(tiny.select("line_id", F.lit(max(n - 1, 0))))
-    degree = degree.groupBy("line_id").agg(F.sum("n").alias("n_links"))
-    components = connected_components(links.union(star)).select(F.col("node").alias("line_id"), F.col("component").alias("class_id"))
-    return cut(components.hint("merge").join(degree, "line_id"), "classes")
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = EDITS) -> DataFrame:
-    """One row for each row of docs: id, n_lines, n_kept, n_links, places (of the lines that stay, from 0), kept (those lines).
-
-    A line stays if it is the first of its class: least id, then least place. Rows of equal id and equal text are one
-    document and share its result; of other texts with an equal id the one with the least hash comes first. Blank lines are
-    left out, null and empty texts have no lines. A null id comes first. n_links: pairs of a distinct line of the text with
-    different lines within k edits. Other columns are ignored; an empty table gives an empty result.
+    links = cut(edit_links(lines, k, hot_key), "links")
+    components = cut(connected_components(links), "components")
+    release(lines.sparkSession)
+    members = lines.select("n", "h1", "h2").hint("merge").join(components.select(F.col("node").alias("n"), "component"), "n")
+    members = cut(members, "members")
+    least = members.groupBy("component").agg(F.min(F.struct("h1", "h2")).alias("least"))
+    named = members.hint("merge").join(least, "component").select("h1", "h2", class_name("least.h1", "least.h2").alias("class_id"))
+    return cut(named, "classes")
+
+
+def class_name(h1: str, h2: str) -> Column:
+    return F.lower(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in (h1, h2)]))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = EDITS, hot_key: int = HOT_KEY) -> DataFrame:
+    """One row for each row of docs: id, n_lines, n_kept, classes (of its lines in order, with copies), places (of the lines
+    that stay, from 0), kept (those lines).
+
+    Equal lines, and lines linked by chains of at most k edits, are one class. A line stays if it is the first of its class:
+    least id, then least place. Rows of equal id and equal text are one document and share its result; of other texts with an
+    equal id the one with the least hash comes first. Blank lines are left out, null and empty texts have no lines. A null id
+    comes first. Other columns are ignored; an empty table gives an empty result.
     """
-    lines = lines_of(docs, id_col, text_col)
-    at = cut(lines.select("id", "text_hash", "at", "line_id"), "at")
-    classes = line_classes(lines, k)
-    marked = at.hint("merge").join(classes, "line_id", "left")
-    marked = marked.select("id", "text_hash", "at", "line_id", F.coalesce("class_id", "line_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    marked = cut(marked, "marked")
+    spark = docs.sparkSession
+    lines = cut(lines_of(docs, id_col, text_col), "lines")
+    distinct = cut(lines.select("h1", "h2", "line").distinct().withColumn("n", F.monotonically_increasing_id()), "distinct")
+    at = cut(lines.select("id", "text_hash", "at", "h1", "h2"), "at")
+    discard(lines)
+    release(spark)
+    classes = line_classes(distinct, k, hot_key)
+    discard(distinct)
+    marked = at.hint("merge").join(classes, ["h1", "h2"], "left")
+    marked = cut(marked.select("id", "text_hash", "at", F.coalesce("class_id", class_name("h1", "h2")).alias("class_id")), "marked")
+    release(spark)
     first = marked.groupBy("class_id").agg(F.min(F.struct("id", "text_hash", "at")).alias("first")).select("first.*")
-    links = F.aggregate(F.collect_set(F.struct("line_id", "n_links")), F.lit(0).cast("long"), lambda s, x: s + x["n_links"])
-    counted = marked.groupBy("id", "text_hash").agg(F.count_distinct("at").alias("n_lines"), links.alias("n_links"))
-    kept = first.groupBy("id", "text_hash").agg(F.array_sort(F.collect_list("at")).alias("places"))
+    every = marked.withColumn("stays", F.lit(False)).unionByName(first.withColumn("class_id", F.lit(None).cast("string")).withColumn("stays", F.lit(True)))
+    of = every.groupBy("id", "text_hash").agg(
+        F.array_sort(F.collect_set(F.when(~F.col("stays"), F.struct("at", "class_id")))).alias("all"),
+        F.array_sort(F.collect_set(F.when(F.col("stays"), F.col("at")))).alias("places"),
+    )
+    of = of.select(F.col("id").alias("own_id"), F.col("text_hash").alias("own_hash"), F.col("all.class_id").alias("classes"), "places")
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    out = rows
-    for part, names in ((counted, ["n_lines", "n_links"]), (kept, ["places"])):
-        part = part.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), *names)
-        same = out["id"].eqNullSafe(part["__id"]) & (out["text_hash"] == part["__hash"])
-        out = out.hint("merge").join(part, same, "left").drop("__id", "__hash")
-    none, zero = F.array().cast("array<int>"), F.lit(0).cast("long")
-    places = F.coalesce("places", none)
+    out = rows.hint("merge").join(of, rows["id"].eqNullSafe(of["own_id"]) & (rows["text_hash"] == of["own_hash"]), "left")
+    none, nobody = F.array().cast("array<int>"), F.array().cast("array<string>")
+    places, classes = F.coalesce("places", none), F.coalesce("classes", nobody)
     pieces = F.split(F.coalesce("text", F.lit("")), "\n")
     return out.select(
-        "id", F.coalesce("n_lines", zero).alias("n_lines"), F.size(places).cast("long").alias("n_kept"),
-        F.coalesce("n_links", zero).alias("n_links"), places.alias("places"),
-        F.transform(places, lambda p: F.btrim(F.get(pieces, p), F.lit(BLANKS))).alias("kept"),
+        "id", F.size(classes).cast("long").alias("n_lines"), F.size(places).cast("long").alias("n_kept"), classes.alias("classes"),
+        places.alias("places"), F.transform(places, lambda p: F.btrim(F.get(pieces, p), F.lit(BLANKS))).alias("kept"),
     )
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    """dedup_lines by doc_id, with the places of the kept lines instead of their text."""
-    return dedup_lines(docs).select(F.col("id").alias("doc_id"), "n_lines", "n_kept", "n_links", F.array_join("places", ",").alias("kept_lines"))
+    """dedup_lines by doc_id: the number of lines, of those that stay and of different classes, the places of the kept lines
+    and the classes of all lines, comma-joined. Nulls, ties, repeats, empty tables and other columns as there."""
+    found = dedup_lines(docs)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_lines", "n_kept", F.size(F.array_distinct("classes")).cast("long").alias("n_classes"),
+        F.array_join("places", ",").alias("kept_lines"), F.array_join("classes", ",").alias("classes"),
+    )
