@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,10 @@ from pyspark.sql import Window as W
 from kgspark.llm.text import slices
 from kgspark.shared import cut
 
+#: Words that a worker remembers.
 MAX_WORDS = 800_000
+#: ASCII characters that are neither letters nor digits nor white space: a run of them is a pre-token.
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
 class WordTokenizer:
@@ -41,27 +45,80 @@ class WordTokenizer:
         ends = [self.tokenizer.id_to_token(i).endswith("</w>") for i in range(self.tokenizer.get_vocab_size())]
         self.ends = np.array(ends, bool)
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text starts in them; at last, where all end.
+
+        The words are coded by Arrow, so that a word that stands often in a batch is looked up once.
+        """
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        found = self.lookup(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool = np.frombuffer(b"".join(found), "<u4")
+        codes = coded.indices.to_numpy()
+        many = sizes[codes]
+        ends = np.cumsum(many)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - many), many) + np.arange(total)
+        offsets = words.offsets.to_numpy()
+        return pool[at], np.concatenate(([0], ends))[offsets - offsets[0]]
+
+    def lookup(self, words: list[str]) -> list[bytes]:
         if len(self.memo) > MAX_WORDS:
             self.memo = {"": b""}
-        memo = self.memo
-        new = {w for ws in words for w in ws if w not in memo}
-        plain = [w for w in new if w.isascii() and w.isalpha()]
-        mixed = list(new.difference(plain))
+        found = list(map(self.memo.get, words))
+        new = [i for i, x in enumerate(found) if x is None]
+        if new:
+            self.learn([words[i] for i in new])
+            for i in new:
+                found[i] = self.memo[words[i]]
+        return found
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        flat, starts = self.flat(pa.array(texts, pa.string()))
+        raw = flat.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+
+    def learn(self, words: list[str]) -> None:
+        """Remembers new words. One of letters and then marks is the ids of both; case makes no difference to ASCII letters."""
+        memo, split = self.memo, []
+        wanted: set[str] = set()
+        for w in words:
+            stem = w.rstrip(MARKS)
+            low = stem.lower()
+            if low.isalpha():  # letters that lower-casing leaves letters
+                low = low if stem.isascii() else stem
+                split.append((w, low, w[len(stem) :]))
+                wanted.update((low, w[len(stem) :]))
+            else:
+                wanted.add(w)
+        wanted = {w for w in wanted if w not in memo}
+        letters = [w for w in wanted if w.lower().isalpha()]
+        for i in range(0, len(letters), 5000):
+            part = letters[i : i + 5000]
+            memo.update(zip(part, self.joined(part), strict=True))
+        mixed = list(wanted.difference(letters))
         for i in range(0, len(mixed), 5000):
             part = mixed[i : i + 5000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
-        for i in range(0, len(plain), 5000):
-            part = plain[i : i + 5000]
-            memo.update(zip(part, self.joined(part), strict=True))
-        return [b"".join([memo[w] for w in ws]) for ws in words]
+            memo.update(zip(part, self.each(part), strict=True))
+        for w, low, marks in split:
+            memo[w] = memo[low] + memo[marks]
+
+    def each(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def joined(self, words: list[str]) -> list[bytes]:
-        """Ids of words of ASCII letters, encoded as one text: each gives one word end, which parts them again."""
-        found = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        """Ids of words of letters, encoded as one text: each gives one word end, which parts them again.
+
+        Where normalisation makes more than one pre-token of a word, the number of ends shows it and each is encoded alone.
+        """
+        found = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         cuts = 4 * (np.flatnonzero(self.ends[found]) + 1)
+        if len(cuts) != len(words):
+            if len(words) == 1:
+                return self.each(words)
+            half = len(words) // 2
+            return self.joined(words[:half]) + self.joined(words[half:])
         raw = found.tobytes()
         return [raw[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
 
@@ -84,19 +141,28 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, id_col: str, text_col: str
         own, seen = word_tokenizer(vocabulary), Counter()
         part = TaskContext.get().partitionId()
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
-                rows = []
-                keys = batch.column("id").to_pylist()
-                for key, ids in zip(keys, own.ids([t or "" for t in batch.column("text").to_pylist()]), strict=True):
-                    ids += b"\0\0\0\0"
-                    for k in range(0, len(ids), 4 * capacity):
-                        piece = ids[k : k + 4 * capacity]
-                        n = len(piece) // 4
-                        rows.append((key, k // (4 * capacity), k // 4, n, zlib.crc32(piece), part, seen[n], piece))
-                        seen[n] += 1
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
-                types = [batch.schema.field("id").type, pa.int32(), *[pa.int64()] * 5, pa.binary()]
-                arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)][: len(fields)]
+            for batch in slices(whole, "text"):
+                flat, starts = own.flat(pc.fill_null(batch.column("text").cast(pa.string()), ""))
+                rows = np.arange(batch.num_rows)
+                ended = np.zeros(len(flat) + len(rows), "<u4")  # every document with its id 0
+                ended[np.arange(len(flat)) + np.repeat(rows, np.diff(starts))] = flat
+                sizes = np.diff(starts) + 1
+                pieces = -(-sizes // capacity)
+                row = np.repeat(rows, pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(sizes[row] - start, capacity)
+                at = (starts[:-1] + rows)[row] + start
+                raw = memoryview(ended.tobytes())
+                cuts = list(zip((4 * at).tolist(), (4 * (at + length)).tolist(), strict=True))
+                places = []
+                for n in length.tolist():
+                    places.append(seen[n])
+                    seen[n] += 1
+                numbers = (start, length, np.array([zlib.crc32(raw[a:b]) for a, b in cuts], np.int64), np.full(len(row), part), np.array(places, np.int64))
+                arrays = [batch.column("id").take(pa.array(row)), pa.array(piece, pa.int32()), *[pa.array(x, pa.int64()) for x in numbers]]
+                if with_ids:
+                    arrays.append(pa.array([bytes(raw[a:b]) for a, b in cuts], pa.binary()))
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema)
