@@ -1,48 +1,58 @@
-"""Near duplicates by an exact set-similarity join: every pair of texts whose word shingles have a Jaccard similarity of at
-least 0.8 is found, whatever their fingerprints.
-
-Two sets of x and y shingles with that similarity have at least 0.8 max(x, y) in common. So if all sets are sorted in one
-order, the first x - ceil(0.8 x) + 3 shingles of the one and the first y - ceil(0.8 y) + 3 of the other share three (or all
-that the sets have in common). These prefixes are joined; their number in common, sizes and places rule out pairs, and the
-others are verified on their whole sets. The order has the shingles last that are frequent in a sample: it decides the work
-only. Where very many sets share a prefix shingle, they are compared with a few of them first, and then across components
-only, since links are transitive.
+"""SimHash near-dedup at a similarity of 0.8: wide fingerprints of five-word shingle sets, probed by the generalised pigeonhole
+principle and verified on the sets themselves.
+
+Two sets with Jaccard similarity s differ in about a share arccos(2s / (1 + s)) / pi of their SimHash bits: 15 % at 0.8. With
+64 bits no partition of such a pair would be alike, so fingerprints have BITS bits. They are grouped into partitions of
+correlated bits; integer thresholds with sum(t_i) = RADIUS - m + 1 are allocated to the m partitions by dynamic programming on
+estimated candidate counts. All pairs within RADIUS bits share a key within t_i bits of some partition; of pairs beyond it most
+do (estimated_recall). Candidates whose fingerprints are too far apart are left, and the others are verified exactly.
+
+Links serve to find components. So all sets that meet under a key are compared with one of them first, and then only with sets of
+other components: a group of near copies of any size takes work in proportion. Where many sets of several components share a
+key, those that have a rare shingle in common are compared: two sets with similarity s have one among the first x - sx + 1 of
+each, x being its size, in any one order of all shingles.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kgspark.llm.text import LOWER, slices, utf8
+from kgspark.llm.simhash import allocate, correlated_groups
+from kgspark.llm.text import LOWER, free_names, slices, utf8
 from kgspark.operators.components import connected_components
-from kgspark.shared import cut, release
+from kgspark.shared import cut, discard, release
 
 #: Words of a shingle and least similarity of near duplicates.
 WIDTH, THRESHOLD = 5, 0.8
-#: Sets that share a prefix shingle above which they are compared with PIVOTS of them first.
-HOT_KEY, PIVOTS = 64, 4
-#: Prefix shingles that similar sets have in common.
-COMMON = 3
-#: Documents looked at for the order, and frequent shingles it holds, at most. No result depends on them.
-ORDER_ROWS, ORDER_SIZE = 20_000, 200_000
+#: Bits of a fingerprint, and bits within which all pairs are candidates.
+BITS, RADIUS = 256, 24
+#: Numbers of partitions that the dynamic program chooses from.
+PARTITIONS = (8, 10, 12, 14, 16)
+#: Most bits in which the first 128 of a candidate pair differ, and all of them: pairs with a similarity of 0.8 exceed the one with
+#: odds of 1 in 1,500 and the other of 1 in 10,000, more similar ones hardly ever.
+SKETCH, FAR = 33, 62
+#: Sets that share a key above which they are joined by their rarest shingles instead of each with each; more where keys have
+#: more than a quarter of that on average.
+HOT_KEY = 16
 #: Against rounding of 0.8 times a whole number.
 SLACK = 1e-9
+_WORDS = [f"f{i}" for i in range(BITS // 64)]
 
 
 def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct XXH64 (seed 42) of the text's word shingles; a text of fewer words is one, one without words none."""
     words = text.translate(LOWER).split()
     if not words:
-        return np.zeros(0, "<i8")
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     ends = np.append(np.flatnonzero(np.frombuffer(joined, np.uint8) == 32), len(joined))
     n = max(1, len(words) - width + 1)
@@ -51,174 +61,320 @@ def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
     digest, parts = xxhash.xxh64_intdigest, []
     for k in range(0, n, 1 << 16):
         part = zip(starts[k : k + (1 << 16)].tolist(), ends[k : k + (1 << 16)].tolist(), strict=True)
-        parts.append(np.array([digest(joined[a:b], 42) for a, b in part], "<u8").view("<i8"))
+        parts.append(np.array([digest(joined[a:b], 42) for a, b in part], "<u8"))
     return np.unique(np.concatenate(parts))
 
 
-def prefix_size(n: int, threshold: float = THRESHOLD) -> int:
-    return min(n, n - math.ceil(threshold * n - SLACK) + COMMON)
+def mixed(x: np.ndarray, word: int) -> np.ndarray:
+    """Further hashes of hashes; word 0 is x itself."""
+    if not word:
+        return x
+    with np.errstate(over="ignore"):
+        x = x + np.uint64(word) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
 
 
-def shingles(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(id, grams) of docs (id, text)."""
-    schema = T.StructType([docs.schema["id"], T.StructField("grams", T.ArrayType(T.LongType()))])
+def wide_fingerprint(grams: np.ndarray) -> np.ndarray:
+    """BITS // 64 words: a bit is 1 if set in over half of the shingles' hashes. No shingles: all zero."""
+    total = np.zeros(BITS, np.int64)
+    for k in range(0, len(grams), 1 << 14):
+        part = grams[k : k + (1 << 14)]
+        hashes = np.stack([mixed(part, w) for w in range(BITS // 64)], axis=1)
+        total += np.unpackbits(hashes.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * total > len(grams), bitorder="little").view("<i8")
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                found = pa.array([shingle_set(x, width) for x in utf8(batch.column("text"))], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), found], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+def bits_of(words: np.ndarray) -> np.ndarray:
+    """(n, BITS) of 0 and 1 from (n, BITS // 64) words."""
+    return np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
 
 
-def frequent(docs: DataFrame, width: int = WIDTH, rows: int = ORDER_ROWS, size: int = ORDER_SIZE) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are frequent in a sample, sorted, and how often they are there."""
-    share = min(1.0, rows / max(1, docs.count()))
-    chosen = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    counts = shingles(chosen, width).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    top = counts.where("n > 2").orderBy(F.desc("n"), "gram").limit(size).toArrow()  # bounded
-    gram, n = (top.column(c).to_numpy().astype("<i8") for c in ("gram", "n"))
-    order = np.argsort(gram)
-    return gram[order], n[order]
+def names_of(grams: np.ndarray) -> tuple[int, int]:
+    raw = grams.tobytes()
+    return xxhash.xxh64_intdigest(raw, 1), xxhash.xxh64_intdigest(raw, 2)
 
 
-def prefixes(docs: DataFrame, width: int, threshold: float, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, class, n, prefix) of docs (id, text): equal sets are one class; n is the set's size."""
-    fields = [("class", T.LongType()), ("n", T.LongType()), ("prefix", T.ArrayType(T.LongType()))]
-    schema = T.StructType([docs.schema["id"], *[T.StructField(n, t) for n, t in fields]])
-    sent = docs.sparkSession.sparkContext.broadcast(order)
+def mark(docs: DataFrame, width: int) -> DataFrame:
+    """(id, t1, t2, c1, c2, f0...) of docs (id, text): hashes of the text and of its shingle set, and the fingerprint."""
+    fields = ["t1", "t2", "c1", "c2", *_WORDS]
+    schema = T.StructType([docs.schema["id"], *[T.StructField(n, T.LongType()) for n in fields]])
 
     def run(batches: Iterator[pa.RecordBatch]):
-        known, often = sent.value
         for whole in batches:
             for batch in slices(whole, "text"):
-                names, sizes, firsts = [], [], []
-                for text in utf8(batch.column("text")):
+                rows = np.zeros((batch.num_rows, len(fields) - 2), "<i8")
+                for i, text in enumerate(utf8(batch.column("text"))):
                     grams = shingle_set(text, width)
-                    names.append(xxhash.xxh64_intdigest(grams.tobytes(), 1))
-                    sizes.append(len(grams))
-                    if len(known) and len(grams):
-                        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-                        weight = np.where(known[at] == grams, often[at], 0)
-                        if weight.any():
-                            grams = grams[np.lexsort((grams, weight))]
-                    firsts.append(grams[: prefix_size(len(grams), threshold)])
-                arrays = [pa.array(np.array(names, "<u8").view("<i8")), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays], names=schema.names)
+                    rows[i, :2] = np.array(names_of(grams), "<u8").view("<i8")
+                    rows[i, 2:] = wide_fingerprint(grams)
+                arrays = [batch.column("id"), batch.column("t1"), batch.column("t2"), *[pa.array(np.ascontiguousarray(c)) for c in rows.T]]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.select("id", *text_hashes("text"), "text").mapInArrow(run, schema)
 
 
-def _possible(threshold: float) -> Column:
-    """Whether sets a and b that share a prefix shingle at places at_a and at_b (from 0) can be similar: true where it is their first."""
-    least = F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - SLACK
-    return F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= least
+def text_hashes(text: str) -> list[Column]:
+    return [F.xxhash64(F.lit(i), F.coalesce(text, F.lit(""))).alias(f"t{i}") for i in (1, 2)]
 
 
-def _side(met: DataFrame, x: str, *more: str) -> DataFrame:
-    return met.select("gram", F.col("class").alias(x), F.shiftright("place", 31).alias(f"n_{x}"), (F.col("place") % (1 << 31)).alias(f"at_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in more])
+def bit_statistics(classes: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of fingerprints and of those with bits i and j set, over all of them."""
 
+    def run(batches: Iterator[pa.RecordBatch]):
+        both, n = np.zeros((BITS, BITS)), 0
+        for batch in batches:
+            bits = bits_of(_matrix(batch)).astype(np.float32)
+            both += bits.T @ bits
+            n += len(bits)
+        sums = np.append(both.ravel(), n).astype(np.int64)
+        yield pa.RecordBatch.from_pydict({"part": pa.array([0]), "sums": pa.array([sums.tobytes()], pa.binary())})
 
-def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Those of pairs (a, b) of classes whose sets (class, grams) have at least that similarity."""
-    left, right = (sets.select(F.col("class").alias(c), F.col("grams").alias(g)) for c, g in (("a", "x"), ("b", "y")))
-    common = F.size(F.array_intersect("x", "y"))
-    both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b")
-    return both.where(common >= F.lit(threshold) * (F.size("x") + F.size("y") - common) - SLACK).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in table.column("sums").to_pylist())
+        return pa.table({"part": table.column("part")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+    found = classes.select(*_WORDS).mapInArrow(run, "part long, sums binary")  # one row for each task
+    found = found.groupBy("part").applyInArrow(add, "part long, sums binary").first()
+    if found is None:
+        return 0, np.zeros((BITS, BITS))
+    sums = np.frombuffer(found["sums"], np.int64)
+    return int(sums[-1]), sums[:-1].reshape(BITS, BITS).astype(float)
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy() for c in _WORDS], axis=1)
+
+
+def key_of(bits: np.ndarray, part: int, group: list[int]) -> np.ndarray:
+    return bits[:, group].astype(np.int64) @ (1 << np.arange(len(group), dtype=np.int64)) | part << 56
+
+
+def flips(size: int, threshold: int) -> list[tuple[int, ...]]:
+    """Positions that are flipped to reach the other keys within threshold bits, the highest first."""
+    return [x[::-1] for t in range(1, threshold + 1) for x in combinations(range(size), t)]
+
+
+def estimated_recall(parts: list[tuple[list[int], int]], threshold: float = THRESHOLD) -> float:
+    """Odds that two sets of that similarity share a key of some partition, bits taken as independent."""
+    p = math.acos(2 * threshold / (1 + threshold)) / math.pi
+    miss = 1.0
+    for group, t in parts:
+        miss *= 1 - sum(math.comb(len(group), d) * p**d * (1 - p) ** (len(group) - d) for d in range(t + 1))
+    return 1 - miss
+
+
+def choose_partitions(classes: DataFrame, radius: int = RADIUS) -> list[tuple[list[int], int]]:
+    """(bits, threshold) of each partition in use: the cheapest allocation by candidates and probes over all fingerprints."""
+    n, both = bit_statistics(classes)
+    p = np.diag(both) / max(n, 1)
+    agree = np.clip(p * p + (1 - p) ** 2, 0.05, 1)
+    plans = {m: correlated_groups(n, both, m) for m in PARTITIONS}
+    cells = [(m, i) for m, groups in plans.items() for i in range(len(groups))]
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            bits = bits_of(_matrix(batch))
+            for c, (m, i) in enumerate(cells):
+                key, many = np.unique(key_of(bits, c, plans[m][i]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(many)], names=["key", "n"])
+
+    counts = classes.select(*_WORDS).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    pairs = counts.groupBy(F.shiftright("key", 56).alias("c")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"))
+    pairs = {r["c"]: float(r["pairs"] or 0) for r in pairs.collect()}  # a row for each partition of a plan
+    best: tuple[float, list[tuple[list[int], int]]] | None = None
+    for m, groups in plans.items():
+        costs = []
+        for i, group in enumerate(groups):
+            same = pairs.get(cells.index((m, i)), 0.0)
+            odds = np.array([(1 - agree[b]) / agree[b] for b in group])
+            cost, near = {-1: 0.0}, np.zeros(5)
+            near[0] = same
+            for x in odds:  # pairs that differ in 0 to 4 bits of the partition
+                near[1:] += near[:-1] * x
+            for t in range(5):
+                probes = 1 + sum(math.comb(len(group), d) for d in range(1, t + 1)) / 2
+                cost[t] = float(near[: t + 1].sum()) * 0.05 + n * probes  # a comparison is that much of a row's work
+            costs.append(cost)
+        found = allocate(costs, radius - m + 1)
+        if best is None or found[0] < best[0]:
+            best = (found[0], [(g, t) for g, t in zip(groups, found[1], strict=True) if t >= 0])
+    return best[1]
+
+
+def keyed(classes: DataFrame, parts: list[tuple[list[int], int]], own: bool) -> DataFrame:
+    """(key, n, s0, s1, component) rows: of each partition the key itself (own), or the keys within its threshold.
+
+    Of two keys that differ, the one that has the highest differing bit set probes the other.
+    """
+    names = ["key", "n", "s0", "s1", "component"]
 
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            bits, rows = bits_of(_matrix(batch)), [batch.column(c).to_numpy() for c in ("n", "f0", "f1", "component")]
+            for part, (group, threshold) in enumerate(parts):
+                key = key_of(bits, part, group)
+                if own:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, *rows)], names=names)
+                    continue
+                for flip in flips(len(group), threshold):
+                    at = np.flatnonzero(bits[:, group[flip[0]]])
+                    other = key[at] ^ np.int64(sum(1 << b for b in flip))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (other, *(r[at] for r in rows))], names=names)
+
+    return classes.select("n", "component", *_WORDS).mapInArrow(run, "key long, n long, s0 long, s1 long, component long")
+
+
+def _meet(left: DataFrame, right: DataFrame, apart: bool) -> DataFrame:
+    """Pairs (a, b) of different sets under one key with near sketches; apart: of different components only."""
+    sides = [rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("n", "s0", "s1", "component")]) for rows, x in ((left, "a"), (right, "b"))]
+    wanted = F.col("component_a") != F.col("component_b") if apart else F.col("n_a") != F.col("n_b")
+    wanted &= F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) <= SKETCH
+    met = sides[0].hint("merge").join(sides[1], "key").where(wanted)
+    return met.select(F.least("n_a", "n_b").alias("a"), F.greatest("n_a", "n_b").alias("b"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, threshold: float) -> DataFrame:
+    """(src, dst): those of pairs whose sets are similar. All bits are compared first, then the sets."""
+    pairs = cut(pairs.distinct(), "pairs")
+    release(docs.sparkSession)
+    sides = [classes.select(F.col("n").alias(x), *[F.col(c).alias(f"{c}{x}") for c in _WORDS]) for x in ("a", "b")]
+    bits = sum((F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in _WORDS), F.lit(0))
+    near = cut(pairs.hint("merge").join(sides[0], "a").hint("merge").join(sides[1], "b").where(bits <= FAR).select("a", "b"), "near")
+    discard(pairs)
+    release(docs.sparkSession)
+    few = cut(near.select(F.explode(F.array("a", "b")).alias("n")).distinct(), "few")
+    sets = cut(sets_of(docs, classes, few, width), "sets")
+    release(docs.sparkSession)
+    links = cut(similar(near, sets, threshold), "links")
+    discard(sets)
+    release(docs.sparkSession)
+    return links
 
-def _sets_of(docs: DataFrame, marked: DataFrame, few: DataFrame, width: int) -> DataFrame:
-    """(class, grams) of some classes, from the text of one document of each."""
-    ids = marked.hint("merge").join(few, "class", "left_semi").groupBy("class").agg(F.min("id").alias("__id")).select("__id").distinct()
-    texts = docs.hint("merge").join(ids, docs["id"].eqNullSafe(ids["__id"]), "left_semi")
-    schema = "class long, grams array<long>"
+
+def sets_of(docs: DataFrame, classes: DataFrame, few: DataFrame, width: int) -> DataFrame:
+    """(n, grams) of some classes, from the text of one document of each. docs: id, text."""
+    chosen = classes.hint("merge").join(few, "n", "left_semi").select("n", "c1", "c2", "least")
+    chosen = cut(chosen, "chosen")
+    ids = chosen.select("least").distinct()
+    texts = docs.hint("merge").join(ids, docs["id"].eqNullSafe(ids["least"]), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]):
         for whole in batches:
             for batch in slices(whole, "text"):
                 found = [shingle_set(x, width) for x in utf8(batch.column("text"))]
-                names = np.array([xxhash.xxh64_intdigest(x.tobytes(), 1) for x in found], "<u8").view("<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(found, pa.list_(pa.int64()))], names=["class", "grams"])
-
-    return texts.mapInArrow(run, schema).groupBy("class").agg(F.first("grams").alias("grams"))
-
-
-def _met(marked: DataFrame, hot_key: int) -> DataFrame:
-    """(gram, class, place: n and at in one number, shared) of the prefix shingles that several sets have."""
-    classes = marked.groupBy("class").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    postings = classes.select("class", "n", F.posexplode("prefix").alias("at", "gram"))
-    postings = postings.select("gram", "class", (F.shiftleft("n", 31) + F.col("at")).alias("place"))
-    return cut(postings.withColumn("shared", F.count("*").over(W.partitionBy("gram"))).where("shared > 1"), "met")
-
-
-def _cool_pairs(cool: DataFrame, hot: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) that may be similar, if their first prefix shingle in common is a cool one. Common hot ones count as if there."""
-    held = hot.groupBy("class").agg(F.count("*").alias("hot"))
-    cool = cool.hint("merge").join(held.withColumnRenamed("class", "__class"), F.col("class") == F.col("__class"), "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
-    cool = cut(cool.drop("__class"), "cool")
-    larger, smaller = F.greatest("n_a", "n_b"), F.least("n_a", "n_b")
-    fits = (F.col("a") < F.col("b")) & (smaller >= F.lit(threshold) * larger - SLACK)
-    pairs = _side(cool, "a", "hot").hint("merge").join(_side(cool, "b", "hot"), "gram").where(fits)
-    least = pairs.groupBy("a", "b").agg(
-        F.count("*").alias("common"), F.min("at_a").alias("at_a"), F.min("at_b").alias("at_b"), F.first("n_a").alias("n_a"),
-        F.first("n_b").alias("n_b"), F.least(F.first("hot_a"), F.first("hot_b")).alias("hot"),
-    )
-    wanted = F.least(F.lit(COMMON), F.ceil(F.lit(threshold) * larger - SLACK))
-    return least.where(_possible(threshold) & (F.col("common") + F.col("hot") >= wanted)).select("a", "b")
-
-
-def link_sets(docs: DataFrame, marked: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, hot_key: int = HOT_KEY) -> DataFrame:
-    """Edges (src, dst) between classes whose components are those of all pairs of similar sets. marked: prefixes of docs."""
-    met = _met(marked, hot_key)
-    release(docs.sparkSession)
-    cool, hot = met.where(F.col("shared") <= hot_key), met.where(F.col("shared") > hot_key)
-    pairs = cut(_cool_pairs(cool, hot, threshold), "pairs")
+                names = np.array([names_of(x) for x in found], "<u8").view("<i8").reshape(-1, 2)
+                arrays = [*[pa.array(np.ascontiguousarray(c)) for c in names.T], pa.array([x.view("<i8") for x in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["c1", "c2", "grams"])
+
+    grams = texts.mapInArrow(run, "c1 long, c2 long, grams array<long>")
+    return chosen.select("n", "c1", "c2").hint("merge").join(grams, ["c1", "c2"]).groupBy("n").agg(F.first("grams").alias("grams"))
+
+
+def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(src, dst): those of pairs (a, b) of classes whose sets have at least that similarity."""
+    left, right = (sets.select(F.col("n").alias(c), F.col("grams").alias(g)) for c, g in (("a", "x"), ("b", "y")))
+    common = F.size(F.array_intersect("x", "y"))
+    smaller, larger = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
+    alike = (smaller >= F.lit(threshold) * larger - SLACK) & (common >= F.lit(threshold) * (smaller + larger - common) - SLACK)
+    return pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").where(alike).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def link_sets(
+    docs: DataFrame, classes: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, radius: int = RADIUS, hot_key: int = HOT_KEY
+) -> DataFrame:
+    """Edges (src, dst) between classes (n, c1, c2, least, f0...) with similar sets."""
+    parts = choose_partitions(classes, radius)
+    alone = classes.withColumn("component", F.col("n"))
+    own, near = keyed(alone, parts, own=True), keyed(alone, parts, own=False)
+    first = own.groupBy("key").agg(F.min(F.struct(F.xxhash64("n").alias("h"), "n", "s0", "s1", "component")).alias("p")).select("key", "p.n", "p.s0", "p.s1", "p.component")
+    edges = _verified(_meet(first, own.union(near), apart=False), docs, classes, width, threshold)
+    components = cut(connected_components(edges).select(F.col("node").alias("own_n"), "component"), "components")
+    grouped = classes.hint("merge").join(components, F.col("n") == F.col("own_n"), "left").withColumn("component", F.coalesce("component", "n"))
+    grouped = cut(grouped.select("n", "component", *_WORDS), "grouped")
     release(docs.sparkSession)
-    some_hot = not hot.isEmpty()
-    few = pairs.select(F.explode(F.array("a", "b")).alias("class"))
-    few = cut((few.union(hot.select("class")) if some_hot else few).distinct(), "few")
-    sets = cut(_sets_of(docs, marked, few, width), "sets")
+    own, near = keyed(grouped, parts, own=True), keyed(grouped, parts, own=False)
+    hot_key = max(hot_key, 4 * classes.count() >> min(len(g) for g, _ in parts))
+    hot = cut(own.groupBy("key").agg(F.count("*").alias("sets")).where(F.col("sets") > hot_key).select("key"), "hot")
+    if hot.isEmpty():
+        return edges.union(_verified(_meet(own, own.union(near), apart=True), docs, classes, width, threshold))
+    plain = own.hint("merge").join(hot, "key", "left_anti")
+    links = edges.union(_verified(_meet(plain, own.union(near), apart=True), docs, classes, width, threshold))
+    every = own.union(near).hint("merge").join(hot, "key", "left_semi")
+    mixed_keys = every.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
+    every = every.hint("merge").join(cut(mixed_keys, "mixed"), "key", "left_semi")
+    return links.union(_rare_links(docs, classes, cut(every.select("n", "component").distinct(), "unsettled"), width, threshold))
+
+
+def _rare_links(docs: DataFrame, classes: DataFrame, few: DataFrame, width: int, threshold: float) -> DataFrame:
+    """(src, dst): the similar pairs of different components among few (n, component), by a join on their rarest shingles.
+
+    Sets travel with their rare shingles, so that the join verifies and only similar pairs leave it.
+    """
+    sets = cut(sets_of(docs, classes, few.select("n"), width).hint("merge").join(few, "n"), "sets")
     release(docs.sparkSession)
-    edges = cut(similar(pairs, sets, threshold), "links")
+    grams = sets.select("n", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    counts = cut(grams.groupBy("gram").agg(F.count("*").alias("sets")), "counts")
+    ranked = grams.hint("merge").join(counts, "gram").groupBy("n", "size").agg(F.array_sort(F.collect_list(F.struct("sets", "gram"))).alias("ranked"))
+    length = (F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - SLACK) + 1).cast("int")
+    rows = ranked.select("n", "size", F.posexplode(F.slice("ranked", 1, length)).alias("at", "r")).where("r.sets > 1")
+    rows = cut(rows.select("n", "size", "at", "r.gram"), "rare").hint("merge").join(sets, "n")
+    sides = [rows.select(F.col("gram").alias(f"gram_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "size", "at", "component", "grams")]) for x in ("a", "b")]
+    least = F.lit(threshold / (1 + threshold)) * (F.col("size_a") + F.col("size_b")) - SLACK
+    fits = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= least  # true where the first shingle in common stands
+    fits &= F.least("size_a", "size_b") >= F.lit(threshold) * F.greatest("size_a", "size_b") - SLACK
+    apart = (F.col("gram_a") == F.col("gram_b")) & (F.col("n_a") < F.col("n_b")) & (F.col("component_a") != F.col("component_b"))
+    alike = F.size(F.array_intersect("grams_a", "grams_b")) >= least
+    links = sides[0].hint("merge").join(sides[1], apart & fits & alike)
+    return cut(links.select(F.col("n_a").alias("src"), F.col("n_b").alias("dst")).distinct(), "links")
+
+
+def _named(
+    docs: DataFrame, width: int, threshold: float, radius: int, hot_key: int
+) -> DataFrame:
+    """(id, t1, t2, component) of docs (id, text)."""
+    marked = cut(mark(docs, width), "marked")
+    firsts = [F.first(c).alias(c) for c in _WORDS]
+    classes = marked.groupBy("c1", "c2").agg(F.min("id").alias("least"), *firsts).withColumn("n", F.monotonically_increasing_id())
+    classes = cut(classes, "set-classes")
     release(docs.sparkSession)
-    if not some_hot:
-        return edges
-    rank = F.row_number().over(W.partitionBy("gram").orderBy(F.xxhash64("class"), "class"))
-    pivots = cut(_side(hot.withColumn("rank", rank).where(F.col("rank") <= PIVOTS), "a"), "pivots")
-    near = pivots.hint("merge").join(_side(hot, "b"), "gram").where((F.col("a") != F.col("b")) & _possible(threshold))
-    near = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
-    edges = cut(edges.union(similar(near, sets, threshold)), "links")
-    components = connected_components(edges).select(F.col("node").alias("class"), "component")
-    rest = hot.hint("merge").join(components, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    rest = cut(rest, "rest")
-    across = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & _possible(threshold)
-    far = _side(rest, "a", "component").hint("merge").join(_side(rest, "b", "component").withColumnRenamed("gram", "gram_b"), (F.col("gram") == F.col("gram_b")) & across)
-    far = cut(far.select("a", "b").distinct(), "far")
-    return edges.union(similar(far, sets, threshold))
+    components = connected_components(link_sets(docs, classes, width, threshold, radius, hot_key))
+    of = classes.select("n", "c1", "c2").hint("merge").join(components.withColumnRenamed("node", "n"), "n", "left")
+    of = cut(of.select("c1", "c2", F.coalesce("component", "n").alias("component")), "of")
+    return cut(marked.select("id", "t1", "t2", "c1", "c2").hint("merge").join(of, ["c1", "c2"]).select("id", "t1", "t2", "component"), "documents")
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, hot_key: int = HOT_KEY
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, radius: int = RADIUS,
+    hot_key: int = HOT_KEY,
+) -> DataFrame:
     """One row for each row of docs: id, component_id (the smallest id among all texts reachable).
 
-    Texts whose shingle sets have a Jaccard similarity of at least threshold (above 0) are linked and links are transitive.
-    Texts without words are like each other. A null id never names a component unless all ids in it are null; repeated rows
-    give repeated results; an empty table gives an empty result; other columns are ignored.
+    Texts found whose shingle sets have a Jaccard similarity of at least threshold (above 0) are linked and links are
+    transitive. Texts without words are like each other. A null id never names a component unless all ids in it are null;
+    repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
     """
-    docs = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    marked = cut(prefixes(docs, width, threshold, frequent(docs, width)), "prefixes")
-    components = connected_components(link_sets(docs, marked, width, threshold, hot_key))
-    named = marked.select("id", "class").hint("merge").join(components.withColumnRenamed("node", "class"), "class", "left")
-    named = cut(named.select("id", F.coalesce("component", "class").alias("root")), "roots")
-    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    return named.hint("merge").join(least, "root").select("id", "component_id")
+    named = _named(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), width, threshold, radius, hot_key)
+    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    return named.hint("merge").join(least, "component").select("id", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each near-duplicate group: the rows whose id names their component."""
-    found = near_duplicates(docs, id_col, text_col)
-    stay = cut(found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id")).distinct(), "stay")
+    """docs with one document of each near-duplicate group, with the columns of docs.
+
+    The row with the least id stays (nulls last); of several texts with that id the one with the least hash, and of repeated
+    rows (same id and same text) one. Null, empty and blank texts are one group. An empty table stays empty. Other columns
+    pass through, whatever their names.
+    """
+    named = _named(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), WIDTH, THRESHOLD, RADIUS, HOT_KEY)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")
+    stay = cut(named.groupBy("component").agg(F.min(order).alias("row")).select("row.id", "row.t1", "row.t2"), "stay")
     release(docs.sparkSession)
-    return docs.hint("merge").join(stay, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").select(*docs.columns)
+    t1, t2 = free_names(docs, "t1", "t2")
+    keyed_docs = docs.withColumns(dict(zip((t1, t2), text_hashes(text_col), strict=True)))
+    match = keyed_docs[id_col].eqNullSafe(stay["id"]) & (keyed_docs[t1] == stay["t1"]) & (keyed_docs[t2] == stay["t2"])
+    out = keyed_docs.hint("merge").join(stay, match, "left_semi")
+    if named.hint("merge").join(stay, named["id"].eqNullSafe(stay["id"]) & (named["t1"] == stay["t1"]) & (named["t2"] == stay["t2"]), "left_semi").count() > stay.count():
+        out = out.dropDuplicates([id_col, t1, t2])
+    return out.select(*[out[c] for c in docs.columns])
