@@ -43,6 +43,8 @@ SKETCH, FAR = 33, 62
 #: Sets that share a key above which they are joined by their rarest shingles instead of each with each; more where keys have
 #: more than a quarter of that on average.
 HOT_KEY = 16
+#: Tasks that add up the statistics of bits, at most: each reads fingerprints only, and one task adds up theirs.
+STATISTICS_TASKS = 64
 #: Against rounding of 0.8 times a whole number.
 SLACK = 1e-9
 _WORDS = [f"f{i}" for i in range(BITS // 64)]
@@ -135,7 +137,7 @@ def bit_statistics(classes: DataFrame) -> tuple[int, np.ndarray]:
         total = sum(np.frombuffer(x, np.int64) for x in table.column("sums").to_pylist())
         return pa.table({"part": table.column("part")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
-    found = classes.select(*_WORDS).mapInArrow(run, "part long, sums binary")  # one row for each task
+    found = classes.select(*_WORDS).coalesce(STATISTICS_TASKS).mapInArrow(run, "part long, sums binary")  # half a megabyte from each task
     found = found.groupBy("part").applyInArrow(add, "part long, sums binary").first()
     if found is None:
         return 0, np.zeros((BITS, BITS))

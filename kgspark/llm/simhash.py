@@ -84,14 +84,15 @@ def correlated_groups(n: int, both: np.ndarray, m: int) -> list[list[int]]:
     deviation = np.sqrt(np.maximum(p * (1 - p), 1e-12))
     r = np.abs((both / max(n, 1) - np.outer(p, p)) / np.outer(deviation, deviation))
     np.fill_diagonal(r, 0)
-    free, groups = set(range(total)), []
+    free, groups = np.ones(total, bool), []
     for k in range(m):
         size = total // m + (k < total % m)
-        group = [max(sorted(free), key=lambda b: sum(r[b, x] for x in free))]
-        free.remove(group[0])
-        while len(group) < size:
-            group.append(max(sorted(free), key=lambda b: sum(r[b, x] for x in group)))
-            free.remove(group[-1])
+        score, group = r[:, free].sum(axis=1), []
+        for i in range(size):
+            bit = int(np.argmax(np.where(free, score, -1.0)))
+            free[bit] = False
+            score = r[:, bit].copy() if i == 0 else score + r[:, bit]
+            group.append(bit)
         groups.append(sorted(group))
     return groups
 
