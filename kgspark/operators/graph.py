@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kgspark.functions.scalars import stable_id
 from kgspark.shared import cut
 
 
@@ -38,6 +39,33 @@ def manager_edges(employees: DataFrame) -> DataFrame:
     return out.select("manager_id", "employee_id", F.coalesce("known", F.lit(False)).alias("known"))
 
 
+def org_graph(employees: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities, edges) of a directory: employees (collection, employee_id, name, work_email, manager_employee_id).
+
+    Edges are `manages`, with context and known (whether the manager is in the directory). A manager who isn't is the source
+    of the edge under an id of its own, and no entity. Of rows with one employee_id the one with the least address is the
+    manager meant.
+    """
+    own = F.concat(F.lit("entity-"), stable_id(F.lit("org"), "collection", "work_email"))
+    document = F.concat(F.lit("org-directory:"), "collection")
+    entities = employees.select(
+        own.alias("id"), F.col("name").alias("canonical_name"), F.lit("Person").alias("entity_type"), F.array("name", "work_email").alias("aliases"), "employee_id",
+        document.alias("source_doc_id"), F.lit(0.9).alias("confidence"), F.lit("candidate").alias("state"), F.lit("internal").alias("access_level"),
+    )
+    heads = employees.groupBy("collection", F.col("employee_id").alias("manager_employee_id")).agg(F.min(F.struct("work_email", "name")).alias("m"))
+    led = employees.where("manager_employee_id <> ''").hint("merge").join(heads, ["collection", "manager_employee_id"], "left")
+    known = F.col("m").isNotNull()
+    source = F.when(known, stable_id(F.lit("org"), "collection", "m.work_email")).otherwise(stable_id(F.lit("org"), "collection", F.lit("person"), "manager_employee_id"))
+    context = F.concat(F.coalesce("m.name", "manager_employee_id"), F.lit(" manages "), "name", F.when(known, "").otherwise(" (manager not in directory)"))
+    edges = led.select(F.concat(F.lit("entity-"), source).alias("src"), F.lit("manages").alias("predicate"), own.alias("dst"), context.alias("context"), document.alias("source_doc_id"), known.alias("known"))
+    return entities, edges
+
+
+def org_summary(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: entities_created, edges_created, skipped_missing_manager."""
+    return entities.agg(F.count("*").alias("entities_created")).crossJoin(edges.agg(F.count("*").alias("edges_created"), F.count_if(~F.col("known")).alias("skipped_missing_manager")))
+
+
 def accuracy(results: DataFrame) -> DataFrame:
     """Strict and partial-credit accuracy by category and overall (category null) of results (category, score_value)."""
     return results.rollup("category").agg(F.count("*").alias("n"), F.avg((F.col("score_value") == 1).cast("double")).alias("strict"), F.avg("score_value").alias("partial"))

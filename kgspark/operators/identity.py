@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgspark.functions.scalars import ROLE_LEVELS
+from kgspark.functions.scalars import ROLE_LEVELS, ascii_slug
 
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 
@@ -123,3 +124,21 @@ def employees_in_order(employees: DataFrame) -> DataFrame:
 
 def grants_in_order(grants: DataFrame) -> DataFrame:
     return grants.orderBy("user_id", "collection_name")
+
+
+def unique_names(organisations: DataFrame, existing: DataFrame) -> DataFrame:
+    """organisations (id, org_name) with collection_name: the slug of the name, or with the least suffix -2, -3 .. that is free.
+
+    existing: names in use (name), in any case. Organisations of one slug are served by id; each takes the next free suffix.
+    """
+    base = organisations.select("id", "org_name", ascii_slug(F.col("org_name")).alias("slug"))
+    used = existing.select(F.lower("name").alias("name")).distinct()
+    parts = used.select("name", F.regexp_extract("name", r"^(.*)-([0-9]+)$", 1).alias("stem"), F.regexp_extract("name", r"-([0-9]+)$", 1).try_cast("int").alias("suffix"))
+    taken = parts.select(F.col("name").alias("slug"), F.lit(1).alias("suffix")).union(parts.where("suffix >= 2 and stem <> ''").select(F.col("stem").alias("slug"), "suffix"))
+    taken = taken.groupBy("slug").agg(F.array_sort(F.collect_set("suffix")).alias("taken"))
+    place = F.row_number().over(W.partitionBy("slug").orderBy("id"))
+    asked = base.withColumn("place", place).hint("merge").join(taken, "slug", "left")
+    # the place-th number from 1 on that is not taken: one up for each taken number that it reaches
+    number = F.aggregate(F.coalesce("taken", F.array().cast("array<int>")), F.col("place"), lambda n, t: F.when(t <= n, n + 1).otherwise(n))
+    name = F.when(number == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), number.cast("string")))
+    return asked.select("id", "org_name", name.alias("collection_name"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kgspark.functions import scalars as S
-from kgspark.operators import build, conflicts, dashboard, evaluation, near_duplicates, packets, resolution, retrieval, threads
+from kgspark.operators import build, conflicts, dashboard, evaluation, graph, identity, near_duplicates, packets, resolution, retrieval, threads
 from kgspark.plans.catalog import DECIDED_SQL, facts
 from kgspark.shared import cut, table
 from kgspark.sources import normalize
@@ -270,6 +270,29 @@ def j14_fallback(spark, sf):
     return packets.fallback_links(q, found, e)
 
 
+def _directory(spark, sf):
+    key = F.col("c_custkey")
+    return table(spark, sf, "customer").select(
+        F.lit("c").alias("collection"), key.cast("string").alias("employee_id"), F.col("c_name").alias("name"), F.concat(F.lit("u"), key.cast("string"), F.lit("@x.co")).alias("work_email"),
+        F.when(key % 7 == 0, F.lit("gone")).otherwise(F.nullif(F.expr("c_custkey div 10"), F.lit(0)).cast("string")).alias("manager_employee_id"),
+    )
+
+
+def p10_org_edges(spark, sf):
+    return graph.org_graph(_directory(spark, sf))[1].select("src", "dst", "context", "known")
+
+
+def p10_org_summary(spark, sf):
+    return graph.org_summary(*graph.org_graph(_directory(spark, sf)))
+
+
+def s18_unique_names(spark, sf):
+    """Segments and brands as organisations; two names are in use."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.initcap("c_mktsegment"), F.lit(" Öl & Co")).alias("org_name"))
+    used = table(spark, sf, "customer").select(F.concat(F.lower("c_mktsegment"), F.lit("-ol-co-3")).alias("name")).distinct()
+    return identity.unique_names(c, used).select("id", "collection_name")
+
+
 def st03_feed(spark, sf):
     return activity_counts(table(spark, sf, "events"), "1 hour").groupBy("event_type").agg(F.count("*").alias("windows"), F.sum("n").alias("events"))
 
@@ -279,7 +302,7 @@ QUERIES = {f.__name__: f for f in (
     j04_fact_subjects, s40_candidates, j05_mail_blocks, j05_whole_blocks, j06_evidence, j09_repoint, a19_histogram, a08_corroboration, a11_reliability,
     a27_learned_weights, p05_learned_cascade, p05_disabled, w08_value_buckets, st02_redecide, w01_canonical, a03_summaries,
     a18_coverage, j13_answerable, a16_comparison, a17_abstention, p09_system_report, a25_calibration_sample, a12_collection,
-    a12_source_types, a14_status, w13_browse, u02_activity, a31_overview, a30_suggestions, io19_search, p07_context, j14_fallback, st03_feed,
+    a12_source_types, a14_status, w13_browse, u02_activity, a31_overview, a30_suggestions, io19_search, p07_context, j14_fallback, p10_org_edges, p10_org_summary, s18_unique_names, st03_feed,
 )}
 
 _FACTS = """f AS (
@@ -383,6 +406,14 @@ ORACLE_SQL = {
         s AS (SELECT q.vec_id AS question_id, d.vec_id AS doc_id, round(list_cosine_similarity(q.v, d.v), 6) AS score FROM e q JOIN e d ON q.label = d.label WHERE q.vec_id % 20 = 0),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 5""",
     "j14_fallback": "SELECT item_id AS question_id, item_id AS entity_id, 0.8::DOUBLE AS score, true AS fallback FROM benchmark",
+    "p10_org_edges": """WITH e AS (SELECT c_custkey AS k, c_name AS name, CASE WHEN c_custkey % 7 = 0 THEN 'gone' WHEN c_custkey >= 10 THEN CAST(c_custkey // 10 AS VARCHAR) END AS m FROM customer)
+        SELECT 'entity-' || left(sha1(CASE WHEN h.k IS NOT NULL THEN 'org|c|u' || h.k || '@x.co' ELSE 'org|c|person|' || e.m END), 24) AS src,
+            'entity-' || left(sha1('org|c|u' || e.k || '@x.co'), 24) AS dst, coalesce(h.name, e.m) || ' manages ' || e.name || CASE WHEN h.k IS NULL THEN ' (manager not in directory)' ELSE '' END AS context,
+            h.k IS NOT NULL AS known FROM e LEFT JOIN e h ON CAST(h.k AS VARCHAR) = e.m WHERE e.m IS NOT NULL""",
+    "p10_org_summary": """SELECT count(*) AS entities_created, count(*) FILTER (WHERE c_custkey % 7 = 0 OR c_custkey >= 10) AS edges_created,
+        count(*) FILTER (WHERE c_custkey % 7 = 0 OR c_custkey >= 10 AND c_custkey // 10 NOT IN (SELECT c_custkey FROM customer)) AS skipped_missing_manager FROM customer""",
+    "s18_unique_names": """WITH r AS (SELECT c_custkey AS id, lower(c_mktsegment) || '-ol-co' AS slug, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS p FROM customer)
+        SELECT id, CASE WHEN p = 1 THEN slug ELSE slug || '-' || CASE WHEN p >= 3 THEN p + 1 ELSE p END END AS collection_name FROM r""",
     "st03_feed": """WITH w AS (SELECT event_type, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY 1, 2)
         SELECT event_type, count(*) AS windows, CAST(sum(n) AS BIGINT) AS events FROM w GROUP BY 1""",
     "w01_canonical": """WITH d AS (
