@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kgspark.functions import scalars as S
 from kgspark.operators import build, conflicts, dashboard, evaluation, graph, identity, near_duplicates, packets, resolution, retrieval, threads
 from kgspark.plans.catalog import DECIDED_SQL, facts
+from kgspark.plans.catalog import ORACLE_SQL as CATALOG_SQL
 from kgspark.shared import cut, table
 from kgspark.sources import normalize
 from kgspark.streaming.feeds import activity_counts
@@ -405,6 +406,9 @@ ORACLE_SQL = {
     "io19_search": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings),
         s AS (SELECT q.vec_id AS question_id, d.vec_id AS doc_id, round(list_cosine_similarity(q.v, d.v), 6) AS score FROM e q JOIN e d ON q.label = d.label WHERE q.vec_id % 20 = 0),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 5""",
+    "p07_context": f"""WITH f AS ({CATALOG_SQL["j16_retrieve"]}),
+        h AS (SELECT question_id, rank, format('[{{}}] source_id={{}} source={{}} score={{:.3f}}', rank, doc_id, source, score) AS heading, text FROM f JOIN documents USING (doc_id) WHERE rank <= 2)
+        SELECT question_id, rank, heading, CAST(length(heading) + 1 + least(1500, length(coalesce(text, ''))) AS INTEGER) AS size FROM h""",
     "j14_fallback": "SELECT item_id AS question_id, item_id AS entity_id, 0.8::DOUBLE AS score, true AS fallback FROM benchmark",
     "p10_org_edges": """WITH e AS (SELECT c_custkey AS k, c_name AS name, CASE WHEN c_custkey % 7 = 0 THEN 'gone' WHEN c_custkey >= 10 THEN CAST(c_custkey // 10 AS VARCHAR) END AS m FROM customer)
         SELECT 'entity-' || left(sha1(CASE WHEN h.k IS NOT NULL THEN 'org|c|u' || h.k || '@x.co' ELSE 'org|c|person|' || e.m END), 24) AS src,
