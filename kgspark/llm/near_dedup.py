@@ -40,9 +40,9 @@ PARTITIONS = (8, 10, 12, 14, 16)
 #: Most bits in which the first 128 of a candidate pair differ, and all of them: pairs with a similarity of 0.8 exceed the one with
 #: odds of 1 in 1,500 and the other of 1 in 10,000, more similar ones hardly ever.
 SKETCH, FAR = 33, 62
-#: Sets that share a key above which they are joined by their rarest shingles instead of each with each; more where keys have
-#: more than a quarter of that on average.
-HOT_KEY = 16
+#: Sets that share a key above which they are joined by their rarest shingles instead of each with each; 16 times as many as a
+#: key has on average if that is more.
+HOT_KEY = 8
 #: Tasks that add up the statistics of bits, at most: each reads fingerprints only, and one task adds up theirs.
 STATISTICS_TASKS = 64
 #: Against rounding of 0.8 times a whole number.
@@ -297,7 +297,7 @@ def link_sets(
     grouped = cut(grouped.select("n", "component", *_WORDS), "grouped")
     release(docs.sparkSession)
     own, near = keyed(grouped, parts, own=True), keyed(grouped, parts, own=False)
-    hot_key = max(hot_key, 4 * classes.count() >> min(len(g) for g, _ in parts))
+    hot_key = max(hot_key, 16 * classes.count() >> min(len(g) for g, _ in parts))
     hot = cut(own.groupBy("key").agg(F.count("*").alias("sets")).where(F.col("sets") > hot_key).select("key"), "hot")
     if hot.isEmpty():
         return edges.union(_verified(_meet(own, own.union(near), apart=True), docs, classes, width, threshold))
@@ -320,8 +320,14 @@ def _rare_links(docs: DataFrame, classes: DataFrame, few: DataFrame, width: int,
     counts = cut(grams.groupBy("gram").agg(F.count("*").alias("sets")), "counts")
     ranked = grams.hint("merge").join(counts, "gram").groupBy("n", "size").agg(F.array_sort(F.collect_list(F.struct("sets", "gram"))).alias("ranked"))
     length = (F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - SLACK) + 1).cast("int")
-    rows = ranked.select("n", "size", F.posexplode(F.slice("ranked", 1, length)).alias("at", "r")).where("r.sets > 1")
-    rows = cut(rows.select("n", "size", "at", "r.gram"), "rare").hint("merge").join(sets, "n")
+    prefix = F.transform(F.slice("ranked", 1, length), lambda r, i: F.struct(i.alias("at"), r["gram"].alias("gram"), r["sets"].alias("sets")))
+    shared = F.filter(prefix, lambda r: r["sets"] > 1)
+    rows = ranked.select("n", "size", F.explode(shared).alias("r"))
+    rows = cut(rows.select("n", "size", "r.at", "r.gram").hint("merge").join(few, "n"), "rare")
+    # only shingles that several components have among their rare ones bring pairs together
+    met = rows.groupBy("gram").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("gram")
+    rows = cut(rows.drop("component").hint("merge").join(cut(met, "met"), "gram", "left_semi"), "rare").hint("merge").join(sets, "n")
+    release(docs.sparkSession)
     sides = [rows.select(F.col("gram").alias(f"gram_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "size", "at", "component", "grams")]) for x in ("a", "b")]
     least = F.lit(threshold / (1 + threshold)) * (F.col("size_a") + F.col("size_b")) - SLACK
     fits = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= least  # true where the first shingle in common stands
