@@ -10,6 +10,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from functools import lru_cache
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -86,7 +87,8 @@ class WordTokenizer:
         for w in words:
             stem = w.rstrip(MARKS)
             low = stem.lower()
-            if low.isalpha():  # letters that lower-casing leaves letters
+            # letters that neither lower-casing nor composition turns into letters and marks, which would go on in what follows
+            if low.isalpha() and (stem.isascii() or normalize("NFC", stem).isalpha()):
                 low = low if stem.isascii() else stem
                 split.append((w, low, w[len(stem) :]))
                 wanted.update((low, w[len(stem) :]))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from functools import lru_cache
+from unicodedata import category
 
 import pyarrow as pa
 import regex
@@ -132,6 +133,8 @@ class TokenCounter:
         self.transducer = Transducer(ranks, tokens)
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.memo: dict[str, int] = {}
+        self.vocabulary, self.library = vocabulary, None
+        self.classes: dict[str, str] = {}
 
     def pretoken(self, text: str) -> int:
         found = self.memo.get(text)
@@ -154,7 +157,26 @@ class TokenCounter:
         if self.cut and any(s in text for s in self.special):
             parts = self.cut.split(text)
             extra = len(parts) - 1
-        return extra + sum(self.transducer.run(p.encode()) for part in parts for p in _PRETOKEN.findall(part))
+        return extra + sum(self.transducer.run(p.encode()) for part in parts for p in self.pretokens(part))
+
+    def pretokens(self, text: str) -> list[str]:
+        """The pre-tokens of text. Versions of Unicode differ in the characters they know, and the library's decides: one that
+        this Python doesn't know is looked for as a letter, digit or mark of the library's class."""
+        if text.isascii() or not any(category(c) == "Cn" for c in set(text)):
+            return _PRETOKEN.findall(text)
+        like = "".join(self.stand_in(c) if category(c) == "Cn" else c for c in text)
+        return [text[m.start() : m.end()] for m in _PRETOKEN.finditer(like)]
+
+    def stand_in(self, char: str) -> str:
+        found = self.classes.get(char)
+        if found is None:
+            if self.library is None:
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_file(self.vocabulary).pre_tokenizer
+            joins = lambda c: len(self.library.pre_tokenize_str(c + char)) == 1
+            found = self.classes[char] = "a" if joins("a") else "1" if joins("1") else "!"
+        return found
 
     def chunks(self, texts: list[str]) -> int:
         memo = self.memo
