@@ -28,21 +28,32 @@ from kgspark.shared import shared_dir
 MAX_CHUNKS, MAX_CHUNK = 600_000, 64
 #: Bytes of a row group, of a page and of a dictionary, and documents of a page.
 ROW_GROUP, PAGE, DICTIONARY, PAGE_ROWS = 32 << 20, 256 << 10, 1 << 20, 256
-_ASCII_SPACE = np.zeros(256, bool)
-_ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: White space beyond ASCII by its UTF-8 bytes (the Unicode property White_Space, a fixed list).
 _WIDE_SPACE = [c.encode() for c in "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))]
 
 
-def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where chunks of texts laid end to end start: at each text's start, and where ASCII white space follows anything else.
+#: Classes of ASCII bytes: white space, letters, digits, the apostrophe, other characters. Bytes beyond have none.
+_SPACE, _LETTER, _DIGIT, _APOSTROPHE, _MARK = range(1, 6)
+_CLASS = np.array([0 if c > 127 else _SPACE if c in (9, 10, 11, 12, 13, 32) else _LETTER if chr(c).isalpha() else _DIGIT if chr(c).isdigit() else _APOSTROPHE if c == 39 else _MARK for c in range(256)], np.uint8)
+#: Pairs of classes between which a pre-token always ends: between letters, digits and others, but not behind an apostrophe, which
+#: may begin a contraction; and white space behind anything but white space.
+_ENDS = np.zeros((6, 6), bool)
+_ENDS[:, _SPACE] = [True, False, True, True, True, True]
+_ENDS[_LETTER, [_DIGIT, _APOSTROPHE, _MARK]] = _ENDS[_DIGIT, [_LETTER, _APOSTROPHE, _MARK]] = _ENDS[_MARK, [_LETTER, _DIGIT]] = True
 
-    A byte-level tokenizer's pre-tokens and special tokens never reach over such a place, so that the ids of a text are those of
-    its chunks. White space after white space opens no chunk, as a run of it may be one pre-token.
+
+def chunk_starts(data: np.ndarray, offsets: np.ndarray, whole: list[bytes]) -> np.ndarray:
+    """Where chunks of texts laid end to end start: at each text's start, and where a byte-level tokenizer's pre-tokens always end,
+    so that the ids of a text are those of its chunks. White space behind white space opens no chunk, as a run of it may be one
+    pre-token. Where one of whole (added tokens) is in data, chunks start at white space only, which these have none of.
     """
-    space = _ASCII_SPACE[data]
+    kind = _CLASS[data]
     begin = np.zeros(len(data) + 1, bool)
-    begin[1:-1] = space[1:] & ~space[:-1]
+    raw = data.tobytes() if whole else b""
+    if any(w in raw for w in whole):
+        begin[1:-1] = (kind[1:] == _SPACE) & (kind[:-1] != _SPACE)
+    else:
+        begin[1:-1] = _ENDS.ravel()[kind[:-1] * np.uint8(6) + kind[1:]]
     doubtful = np.flatnonzero(begin[:-1])
     doubtful = doubtful[data[doubtful - 1] >= 0x80]
     for wide in _WIDE_SPACE:
@@ -76,6 +87,11 @@ class ChunkTokenizer:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memo: dict[bytes, bytes] = {}
+        self.added = [t["content"].encode() for t in spec["added_tokens"]]
+        # an id's bytes: a character of the vocabulary stands for one, but added tokens stand for themselves
+        self.sizes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64)
+        for t in spec["added_tokens"]:
+            self.sizes[t["id"]] = len(t["content"].encode())
 
     def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text starts in them; at last, where all end."""
@@ -88,7 +104,7 @@ class ChunkTokenizer:
         offsets = offsets - offsets[0]
         if not len(data):
             return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
-        starts = chunk_starts(data, offsets)
+        starts = chunk_starts(data, offsets, self.added)
         bounds = pa.py_buffer(np.append(starts, len(data)).astype(np.int64))
         chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, bounds, pa.py_buffer(data)])
         coded = chunks.dictionary_encode()
@@ -104,18 +120,37 @@ class ChunkTokenizer:
     def lookup(self, chunks: list[bytes]) -> list[bytes]:
         if len(self.memo) > MAX_CHUNKS:
             self.memo = {}
-        memo = self.memo
-        found = list(map(memo.get, chunks))
+        found = list(map(self.memo.get, chunks))
         new = [i for i, x in enumerate(found) if x is None]
-        for a in range(0, len(new), 5000):
-            part = new[a : a + 5000]
-            texts = [chunks[i].decode() for i in part]
-            for i, e in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                ids = found[i] = np.array(e.ids, "<u4").tobytes()
-                if len(chunks[i]) <= MAX_CHUNK:
-                    memo[chunks[i]] = ids
+        together, alone = [], []
+        for i in new:
+            c = chunks[i]
+            (together if c[0] in b" \t\n" and c[-1] < 128 and c[-1:].strip() else alone).append(i)
+        for group, encode in ((together, self.joined), (alone, self.each)):
+            for a in range(0, len(group), 2000):
+                part = [chunks[i] for i in group[a : a + 2000]]
+                for i, c, ids in zip(group[a : a + 2000], part, encode(part), strict=True):
+                    found[i] = ids
+                    if len(c) <= MAX_CHUNK:
+                        self.memo[c] = ids
         return found
 
+    def each(self, chunks: list[bytes]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+
+    def joined(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of chunks that begin with white space and end with an ASCII character that is none, encoded as one text, in
+        which they are chunks as well, and parted by the bytes that ids stand for."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b"".join(chunks).decode()], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum(self.sizes[ids])
+        wanted = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))
+        at = np.searchsorted(ends, wanted)
+        if len(ends) == 0 or ends[-1] != wanted[-1] or (ends[at] != wanted).any():
+            return self.each(chunks)
+        cuts, raw = [0, *(4 * (at + 1)).tolist()], ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
 
 @lru_cache(maxsize=2)
 def chunk_tokenizer(path: str) -> ChunkTokenizer:
