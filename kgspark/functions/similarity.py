@@ -6,8 +6,10 @@ import difflib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import DoubleType
 
 #: Fixed values of the Winkler bonus: what a letter in common at the start is worth, and how many count.
@@ -106,6 +108,28 @@ def best_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def ratio_batch(left: list[str], right: list[str]) -> list[float]:
+    return [ratio(*pair) for pair in zip(left, right, strict=True)]
+
+
+def at_least(pairs: DataFrame, left: str, right: str, score, threshold: float, digits: int | None = None) -> DataFrame:
+    """The rows of pairs for which score (of lists of strings) is the threshold or more, with it as `score`, rounded to digits.
+
+    Unlike a filter by a function, it isn't moved below what makes pairs distinct, and scores each once.
+    """
+    schema = T.StructType([*pairs.schema.fields, T.StructField("score", T.DoubleType())])
+    at = pairs.columns.index(left), pairs.columns.index(right)
+
+    def run(batches):
+        for batch in batches:
+            found = np.array(score(*(batch.column(i).to_pylist() for i in at)), float)
+            found = found if digits is None else np.round(found, digits)
+            kept = pa.array(np.flatnonzero(found >= threshold))
+            yield pa.RecordBatch.from_arrays([*[c.take(kept) for c in batch.columns], pa.array(found[found >= threshold])], names=schema.names)
+
+    return pairs.mapInArrow(run, schema)
+
+
 def register(spark: SparkSession) -> None:
     """The similarities for SQL; stable_id and normalize_value are registered as SQL functions."""
     spark.udf.register("jaro_winkler", jaro_winkler)

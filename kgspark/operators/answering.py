@@ -5,49 +5,32 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.functions.scalars import visible_to
-from kgspark.functions.similarity import jaro_winkler
 from kgspark.operators.graph import answer_confidence, expand
+from kgspark.operators.name_search import nearest_names
 from kgspark.shared import cut
 
 #: Link and abstention thresholds, target probability of the calibration.
 LINK, ABSTAIN, TARGET = 0.75, 0.4, 0.6
-#: Distinct mentions of a block, and parts that the aliases are dealt to.
-BLOCK, SALTS = 10_000, 32
-
-
-def _letters(name: Column) -> Column:
-    """The letters of a name, each with the number of its occurrence, so that a set intersection counts repeats."""
-    chars = F.split(name, "")
-    return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, 1, i), lambda x: x == c)).cast("string")))
 
 
 def link_mentions(mentions: DataFrame, entities: DataFrame, threshold: float = LINK) -> DataFrame:
     """mentions (question_id, mention) with entity_id and score of the best entity (id, aliases), or null and 0.
 
-    Equal names are linked by key. The other distinct mentions are a query set that is compared with all distinct aliases, in
-    blocks of BLOCK mentions; only pairs whose letters in common allow the threshold are scored. Ties go to the smaller id.
-    Null and blank mentions have no anchor; an empty table of either gives no links.
+    Equal names are linked by key, the other distinct mentions through name_search's index: only aliases that share enough of a
+    mention's rarest letters are compared with it. Ties go to the smaller id. Null and blank mentions have no anchor; an empty
+    table of either gives no links.
     """
     tidy = lambda c: F.lower(F.trim(c))
     asked = mentions.select(tidy(F.col("mention")).alias("m")).where("m <> ''").distinct()
     names = entities.select("id", F.explode("aliases").alias("alias")).select(tidy(F.col("alias")).alias("alias"), "id").where("alias <> ''")
     names = cut(names.groupBy("alias").agg(F.min("id").alias("entity_id")), "names")
-    exact = asked.hint("merge").join(names, F.col("m") == F.col("alias")).select("m", "entity_id", F.lit(1.0).alias("score"))
-    rest = cut(asked.hint("merge").join(exact, "m", "left_anti"), "asked")
-    blocks = max(1, -(-rest.count() // BLOCK))
-    left = rest.select("m", _letters(F.col("m")).alias("lm"), F.pmod(F.xxhash64("m"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    right = names.select("alias", "entity_id", _letters(F.col("alias")).alias("la"), F.pmod(F.xxhash64("alias"), F.lit(SALTS)).cast("int").alias("salt"))
-    right = right.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    common = F.size(F.array_intersect("lm", "la"))
-    most = (common / F.length("m") + common / F.length("alias") + 1) / 3  # Jaro's bound; a prefix adds 0.4 of the rest at most
-    pairs = right.join(left.hint("shuffle_hash"), ["block", "salt"]).where((common > 0) & (most + 0.4 * (1 - most) >= threshold))
-    near = pairs.withColumn("score", jaro_winkler("m", "alias")).where(F.col("score") >= threshold).select("m", "entity_id", "score")
-    best = exact.unionByName(near).groupBy("m").agg(F.min(F.struct((-F.col("score")).alias("worse"), "entity_id")).alias("best"))
-    best = best.select("m", "best.entity_id", (-F.col("best.worse")).alias("score"))
+    exact = cut(asked.hint("merge").join(names, F.col("m") == F.col("alias")).select("m", "entity_id", F.lit(1.0).alias("score")), "exact")
+    rest = asked.hint("merge").join(exact, "m", "left_anti")
+    best = exact.unionByName(nearest_names(rest, names, threshold))
     out = mentions.hint("merge").join(best, tidy(F.col("mention")) == F.col("m"), "left")
     return out.select("question_id", "mention", "entity_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.functions.scalars import OPEN_END, normalize_value
-from kgspark.functions.similarity import ratio
+from kgspark.operators.value_leaders import lead
 from kgspark.shared import cut
 
 #: Weight by source type and predicate, `*` for any other, and what holds without an entry.
@@ -86,28 +86,17 @@ def value_buckets(facts: DataFrame, threshold: float = 0.92) -> DataFrame:
     """(subject_id, predicate, value_key, bucket): each different normalised value of a group and the value that leads its bucket.
 
     In the order of their first facts (valid_from, id), a value joins the first leader that it equals, or whose ratio to it
-    is the threshold or more, and else leads a bucket of its own. Groups are walked through in order, value by value: only a
-    group's leaders are held, so that one of any size passes. Empty values are one bucket.
+    is the threshold or more, and else leads a bucket of its own. Values are compared and settled in parallel, so that a group
+    of any size is split over tasks. Empty values are one bucket.
     """
     key = F.coalesce(normalize_value(F.col("value").cast("string")), F.lit(""))
     values = facts.where("subject_id <> '' and predicate <> ''").groupBy(*GROUP, key.alias("value_key")).agg(F.min(F.struct("valid_from", "id")).alias("first"))
-    values = values.repartition(*GROUP).sortWithinPartitions(*GROUP, "first").select(*GROUP, "value_key")
-
-    def run(batches):
-        group, leaders = None, []
-        for batch in batches:
-            out = []
-            for own, value in zip(zip(batch["subject_id"], batch["predicate"], strict=True), batch["value_key"], strict=True):
-                if own != group:
-                    group, leaders = own, []
-                found = value if not value else next((x for x in leaders if x == value or ratio(value, x) >= threshold), None)
-                if found is None:
-                    leaders.append(value)
-                    found = value
-                out.append(found)
-            yield batch.assign(bucket=out)
-
-    return values.mapInPandas(run, "subject_id string, predicate string, value_key string, bucket string")
+    values = values.withColumn("first", F.struct("first.valid_from", "first.id", "value_key")).withColumn("node", F.monotonically_increasing_id())
+    values = cut(values, "values")
+    group = F.to_json(F.array(*[F.col(c).cast("string") for c in GROUP]))
+    found = lead(values.where("value_key <> ''").select("node", group.alias("group"), F.col("value_key").alias("value"), "first"), threshold)
+    out = values.hint("merge").join(found, "node", "left")
+    return out.select(*GROUP, "value_key", F.coalesce("leader", "value_key").alias("bucket"))
 
 
 def with_similar_buckets(facts: DataFrame, threshold: float = 0.92) -> DataFrame:
