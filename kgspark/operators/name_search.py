@@ -43,20 +43,26 @@ def _common(jaro: float, n: int, m: int) -> float:
     return (3 * jaro - 1) * n * m / (n + m)
 
 
+def _nearest_need(jaro: float, n: int, other: int) -> int | None:
+    """The least number of common letters of a name of n letters and one whose length is in bucket other; None: none can be near."""
+    share = 3 * jaro - 2  # of the longer length, which the shorter one must have at least
+    low, high = max(BUCKETS[other], _up(n * share)), BUCKETS[other + 1] - 1
+    return None if low > high or low * share > n + 1e-9 else _up(_common(jaro, n, low))
+
+
 @lru_cache(maxsize=None)
 def _rule(threshold: float, k: int, own: int, other: int) -> tuple[float, int] | None:
     """(Jaro similarity, letters in a key) of pairs with k letters at the start and lengths in two buckets, in either order; None: no
     such pair."""
     jaro = (threshold - SCALE * k) / (1 - SCALE * k)
-    (n0, n1), (m0, m1) = ((BUCKETS[b], BUCKETS[b + 1] - 1) for b in (own, other))
-    n, m = (n0, m1) if m1 < n0 else (n1, m0) if m0 > n1 else (1, 1)  # the lengths that are nearest to each other
-    if (3 * jaro - 1) * max(n, m) > n + m + 1e-9:
+    needs = [(n, _nearest_need(jaro, n, y)) for x, y in ((own, other), (other, own)) for n in range(BUCKETS[x], BUCKETS[x + 1])]
+    needs = [(n, need) for n, need in needs if need is not None]
+    if not needs:
         return None
-    need, letters = _up(_common(jaro, n0, m0)) - k, 0
-    while letters < min(need, LETTERS):
+    fewest, spare, letters = min(need for _, need in needs) - k, max(n - need for n, need in needs), 0
+    while letters < min(fewest, LETTERS):
         more = letters + 1
-        first = max(n1 - _up(_common(jaro, n1, m0)), m1 - _up(_common(jaro, m1, n0))) + more
-        if more > 1 and math.comb(max(first, more), more) > CHOICES:
+        if more > 1 and math.comb(max(spare + more, more), more) > CHOICES:
             break
         letters = more
     return jaro, letters
@@ -82,8 +88,9 @@ def _rarest_first(text: str, ranks: dict[tuple[str, int], int]) -> np.ndarray:
     return np.array([_hash(c, nth) for _, c, nth in sorted(letters)], np.uint64)
 
 
-def name_keys(name: str, threshold: float, ranks: dict[tuple[str, int], int], buckets: list[int], asked: bool) -> np.ndarray:
-    """The keys of a name (trimmed, in lower case) for partners whose lengths are in buckets. asked: the side of the pair."""
+def name_keys(name: str, threshold: float, ranks: dict[tuple[str, int], int], buckets: list[int], asked: bool | None = None) -> np.ndarray:
+    """The keys of a name (trimmed, in lower case) for partners whose lengths are in buckets. asked: the side of the pair, None where
+    names of one table are to meet."""
     n = len(name)
     if not n:
         return np.array([_hash("empty")], np.uint64)
@@ -96,11 +103,13 @@ def name_keys(name: str, threshold: float, ranks: dict[tuple[str, int], int], bu
             if rule is None:
                 continue
             jaro, many = rule
-            salt = _hash(k, (own, other) if asked else (other, own), name[:k])
+            if _nearest_need(jaro, n, other) is None:
+                continue
+            salt = _hash(k, (own, other) if asked or asked is None and own <= other else (other, own), name[:k])
             if not many:
                 out.append(np.array([salt], np.uint64))
                 continue
-            need = _up(_common(jaro, n, BUCKETS[other])) - k
+            need = _nearest_need(jaro, n, other) - k
             if need > n - k:
                 continue
             letters = _rarest_first(name[k:], ranks) if letters is None else letters

@@ -26,16 +26,21 @@ def _placed(rows: DataFrame) -> DataFrame:
     return ranged.withColumn("own", own).hint("merge").join(bases, ["block", "part"]).withColumn("place", F.col("base") + F.col("own")).drop("part", "own", "base")
 
 
-def block_keys(entities: DataFrame) -> DataFrame:
-    """(id, block, strict): entities (id, name, source_doc_id, doc_source_type and, if there, domains) by first name token, e-mail
-    domain and source document. strict: what an oversize block is keyed by besides."""
+def block_columns(entities: DataFrame) -> tuple[Column, Column]:
+    """(blocks, strict) of entities, as columns: see block_keys."""
     token = first_token(F.col("name"))
     domains = F.col("domains") if "domains" in entities.columns else F.array().cast("array<string>")
     named = F.when(token != "", F.concat(F.lit("name:"), token))
     by_mail = F.transform(F.coalesce(domains, F.array().cast("array<string>")), lambda d: F.concat(F.lit("email_domain:"), F.lower(d)))
     source = F.nullif(F.col("source_doc_id").cast("string"), F.lit(""))
     keys = F.array_distinct(F.array_compact(F.concat(F.array(named, F.concat(F.lit("source_doc_id:"), source)), by_mail)))
-    strict = F.concat_ws("|", token, F.lower(F.coalesce(F.col("doc_source_type"), F.lit(""))))
+    return keys, F.concat_ws("|", token, F.lower(F.coalesce(F.col("doc_source_type"), F.lit(""))))
+
+
+def block_keys(entities: DataFrame) -> DataFrame:
+    """(id, block, strict): entities (id, name, source_doc_id, doc_source_type and, if there, domains) by first name token, e-mail
+    domain and source document. strict: what an oversize block is keyed by besides."""
+    keys, strict = block_columns(entities)
     return entities.select("id", strict.alias("strict"), F.explode(keys).alias("block"))
 
 

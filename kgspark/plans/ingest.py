@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from kgspark.functions.scalars import email_domains, identifiers
 from kgspark.operators import build, conflicts, resolution
+from kgspark.operators.resolution_index import ResolutionIndex, add_batch, new_index, survivors
 from kgspark.shared import cut
 
 
 @dataclass(frozen=True)
 class Graph:
-    """What an ingestion leaves: entities with state and merged_into, facts with their state, edges, pending merges, one row of
-    counts, and the reliability of source types."""
+    """What an ingestion leaves: entities with state and merged_into, facts with their state, edges, pending merges of the batch, one row of
+    counts, the reliability of source types, and the index that the next batch's entities are resolved by."""
 
     entities: DataFrame
     facts: DataFrame
@@ -23,6 +24,7 @@ class Graph:
     pending: DataFrame
     summary: DataFrame
     reliability: dict[str, float]
+    index: ResolutionIndex
 
 
 def resolvable(entities: DataFrame, source: Column | None = None) -> DataFrame:
@@ -37,31 +39,43 @@ def resolvable(entities: DataFrame, source: Column | None = None) -> DataFrame:
 def ingest(extracted: DataFrame, now: int, access: str = "public", known: Graph | None = None) -> Graph:
     """Graph of extracted rows (source_id, source, timestamp and build.EXTRACTION), added to a known one.
 
-    Candidates are filtered, entities resolved over all documents, facts re-pointed to survivors, source types weighed by truth
-    discovery, and conflicts decided by the learned weights. Rows without source_id are skipped and counted. With a known graph
-    only the groups that the new facts touch are decided anew.
+    Candidates are filtered, the batch's entities resolved against those of before through the index, facts re-pointed to
+    survivors, source types weighed by truth discovery, and conflicts decided by the learned weights. Rows without source_id are
+    skipped and counted. With a known graph only entities that share a match key with the batch are scored, and only the groups that the
+    new facts touch are decided anew. Batches in any order leave the same merges as all documents at once.
     """
+    spark = extracted.sparkSession
     rows = cut(build.filter_candidates(extracted), "extracted")
     entities = cut(build.entity_records(rows, access), "entities")
     facts, edges = cut(build.fact_records(rows, entities, now, access), "facts"), cut(build.edge_records(rows, entities), "edges")
-    every = entities if known is None else known.entities.select(*[c for c in entities.columns if c in known.entities.columns]).unionByName(entities, allowMissingColumns=True)
-    merges, pending = resolution.resolve_entities(resolvable(every), facts=facts if known is None else known.facts.select("subject_id", "predicate", "source_doc_id").unionByName(facts.select("subject_id", "predicate", "source_doc_id")))
-    merges = cut(merges, "merges")
+    index, changes, pending = add_batch(new_index(spark) if known is None else known.index, resolvable(entities), facts)
     held = facts.columns
-    pointed = resolution.repoint_facts(facts, merges)
-    older = None if known is None else resolution.repoint_facts(known.facts, merges)
+    pointed = _moved(facts, survivors(index, facts.select(F.col("subject_id").alias("id"))), "subject_id")
+    older = None if known is None else _moved(known.facts, changes, "subject_id")
     whole = cut(pointed if older is None else older.select(*[c for c in held if c in older.columns]).unionByName(pointed, allowMissingColumns=True), "all-facts")
     reliability = conflicts.discover_truth(whole)[-1]
     if older is None:
         decided = conflicts.resolve_conflicts(whole, reliability=reliability)
     else:
-        touched = pointed.select(*conflicts.GROUP).distinct()
+        touched = pointed.select(*conflicts.GROUP).unionByName(older.hint("merge").join(changes.select(F.col("merged_into").alias("subject_id")).distinct(), "subject_id", "left_semi").select(*conflicts.GROUP)).distinct()
         again = conflicts.resolve_conflicts(whole.hint("merge").join(touched, conflicts.GROUP, "left_semi"), reliability=reliability)
         decided = older.hint("merge").join(touched, conflicts.GROUP, "left_anti").unionByName(again, allowMissingColumns=True)
     decided = cut(decided, "decided")
-    target = merges.select(F.col("id").alias("own"), "merged_into")
-    every = every.drop("merged_into").hint("merge").join(target, F.col("id") == F.col("own"), "left").drop("own")
+    fresh = entities.withColumn("merged_into", F.lit(None).cast("string"))
+    if known is not None:
+        stored = _moved(known.entities, changes, "merged_into")
+        fresh = fresh.hint("merge").join(known.entities.select("id"), "id", "left_anti")
+        fresh = stored.unionByName(fresh, allowMissingColumns=True)
+    target = changes.select(F.col("id").alias("own"), F.col("merged_into").alias("into"))
+    every = fresh.hint("merge").join(target, F.col("id") == F.col("own"), "left").withColumn("merged_into", F.coalesce("into", "merged_into")).drop("own", "into")
     every = cut(every.withColumn("state", F.when(F.col("merged_into").isNotNull(), "resolved").otherwise(F.col("state"))), "graph-entities")
-    counts = build.build_counts(rows).crossJoin(merges.agg(F.count("*").alias("merges_made")))
+    counts = build.build_counts(rows).crossJoin(changes.agg(F.count("*").alias("merges_made")))
     summary = counts.crossJoin(decided.agg(F.count_if(F.col("state") == "superseded").alias("superseded"), F.count_if(F.col("state") == "disputed").alias("disputed")))
-    return Graph(every, decided, edges, pending, summary, reliability)
+    return Graph(every, decided, edges, pending, summary, reliability, index)
+
+
+def _moved(rows: DataFrame, merges: DataFrame, column: str) -> DataFrame:
+    """rows with the survivor in column where what it names is merged (id, merged_into)."""
+    target = merges.select(F.col("id").alias("moved_from"), F.col("merged_into").alias("moved_to"))
+    out = rows.hint("merge").join(target, rows[column] == F.col("moved_from"), "left")
+    return out.withColumn(column, F.coalesce("moved_to", rows[column])).select(*rows.columns)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kgspark.operators import answering, conflicts
+from kgspark.operators import answering, conflicts, resolution_index
 from kgspark.shared import table
 
 
@@ -42,7 +42,36 @@ def w08_leaders(spark, sf):
     return conflicts.value_buckets(f).select("predicate", "value_key", "bucket")
 
 
-QUERIES = {f.__name__: f for f in (j10_link_mentions, w08_leaders)}
+def _people(spark, sf):
+    """Customers as entities of blocks of 50 and more: names that differ by a few digits, an identifier that some share."""
+    c, key = table(spark, sf, "customer"), F.col("c_custkey")
+    name = F.concat(F.element_at(F.array(F.lit("ann"), F.lit("bob")), (key % 2 + 1).cast("int")), F.lit(" "), F.md5(F.expr("cast(c_custkey div 4 as string)")))
+    return c.select(
+        key.alias("id"), name.alias("name"), F.lit(None).cast("string").alias("source_doc_id"), F.col("c_mktsegment").alias("doc_source_type"),
+        F.when(key % 11 == 0, F.array(F.concat(F.lit("x"), F.expr("cast(c_custkey div 50 as string)")))).otherwise(F.array().cast("array<string>")).alias("identifiers"),
+        F.when(key % 7 == 0, F.array(F.lit("s"), F.expr("cast(c_custkey div 30 as string)"))).otherwise(F.array().cast("array<string>")).alias("signature"),
+    )
+
+
+def p03_resolve_all(spark, sf):
+    """All merges among customers, whatever the size of a block."""
+    return resolution_index.resolve_all(_people(spark, sf))[0]
+
+
+def p01_batches(spark, sf):
+    """The same in three batches: all merges that the index holds at the end."""
+    people, index = _people(spark, sf), resolution_index.new_index(spark)
+    for i in (2, 0, 1):
+        index, _, _ = resolution_index.add_batch(index, people.where(F.col("id") % 3 == i))
+    return resolution_index.merges_of(index, spark)
+
+
+def j05_exact_pending(spark, sf):
+    """The scored pairs between the thresholds."""
+    return resolution_index.resolve_all(_people(spark, sf))[1].select("a", "b", "exact_id_match", F.round("combined", 6).alias("combined"))
+
+
+QUERIES = {f.__name__: f for f in (j10_link_mentions, w08_leaders, p03_resolve_all, p01_batches, j05_exact_pending)}
 
 #: Jaro-Winkler of pairs (a, b) of a relation `near`, letter by letter; DuckDB's own rounds half transpositions down and adds no prefix to
 #: low scores, so that it serves as an upper bound at most 1/6 too high.
@@ -61,6 +90,29 @@ JARO_WINKLER_SQL = """
             WHEN length(a) > 2 AND length(b) > 2 AND left(a, 3) = left(b, 3) THEN 3 WHEN length(a) > 1 AND length(b) > 1 AND left(a, 2) = left(b, 2) THEN 2
             WHEN left(a, 1) = left(b, 1) THEN 1 ELSE 0 END AS score FROM jaro)"""
 
+#: Customers as entities, the scores of all pairs of a block by plain comparison, and the components of those that merge.
+_RESOLVED = f"""
+    p AS MATERIALIZED (
+        SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'ann' ELSE 'bob' END AS block, CASE WHEN c_custkey % 2 = 0 THEN 'ann ' ELSE 'bob ' END || md5(CAST(c_custkey // 4 AS VARCHAR)) AS name,
+            CASE WHEN c_custkey % 11 = 0 THEN c_custkey // 50 END AS ident, CASE WHEN c_custkey % 7 = 0 THEN c_custkey // 30 END AS sig FROM customer),
+    pair AS MATERIALIZED (
+        SELECT x.id AS ia, y.id AS ib, x.name AS a, y.name AS b, coalesce(x.ident = y.ident, false) AS exact_id_match,
+            CASE WHEN x.sig IS NULL OR y.sig IS NULL THEN 0.0 WHEN x.sig = y.sig THEN 1.0 ELSE 1.0 / 3 END AS overlap
+        FROM p x JOIN p y ON x.block = y.block AND x.id < y.id),
+    near AS MATERIALIZED (
+        SELECT DISTINCT a, b FROM pair WHERE exact_id_match OR 0.65 * (jaro_similarity(a, b) + 0.4 * (1 - jaro_similarity(a, b))) + 0.35 * overlap >= 0.6),
+    {JARO_WINKLER_SQL},
+    scored AS MATERIALIZED (
+        SELECT ia, ib, exact_id_match, CASE WHEN exact_id_match THEN 0.85 + 0.15 * score ELSE 0.65 * score + 0.35 * overlap END AS combined
+        FROM pair JOIN jw USING (a, b)),
+    link AS (SELECT ia AS x, ib AS y FROM scored WHERE combined >= 0.85 UNION SELECT ib, ia FROM scored WHERE combined >= 0.85),
+    up AS (SELECT x AS node, x AS top FROM link UNION SELECT up.node, link.y FROM up JOIN link ON up.top = link.x),
+    parts AS (SELECT node, min(top) AS part FROM up GROUP BY 1),
+    filled AS (
+        SELECT node, part, first_value(node) OVER (PARTITION BY part ORDER BY CASE WHEN ident IS NULL THEN 0 ELSE 2 END DESC, node) AS merged_into
+        FROM parts JOIN p ON p.id = node)"""
+_MERGED = f"WITH RECURSIVE {_RESOLVED} SELECT node AS id, merged_into FROM filled WHERE node <> merged_into"
+
 ORACLE_SQL = {
     "j10_link_mentions": f"""
         WITH p AS (SELECT p_partkey, p_name || ' ' || p_brand AS name, p_partkey % 9 AS k, p_name, p_brand FROM part),
@@ -89,4 +141,8 @@ ORACLE_SQL = {
                 FROM walk w JOIN o ON o.predicate = w.predicate AND o.place = w.place + 1))
         SELECT predicate, value_key, bucket FROM walk
     """,
+    "p03_resolve_all": _MERGED,
+    "p01_batches": _MERGED,
+    "j05_exact_pending": f"""WITH RECURSIVE {_RESOLVED}
+        SELECT ia AS a, ib AS b, exact_id_match, round(combined, 6) AS combined FROM scored WHERE combined >= 0.6 AND combined < 0.85""",
 }
