@@ -55,11 +55,15 @@ def _rule(threshold: float, k: int, own: int, other: int) -> tuple[float, int] |
     """(Jaro similarity, letters in a key) of pairs with k letters at the start and lengths in two buckets, in either order; None: no
     such pair."""
     jaro = (threshold - SCALE * k) / (1 - SCALE * k)
-    needs = [(n, _nearest_need(jaro, n, y)) for x, y in ((own, other), (other, own)) for n in range(BUCKETS[x], BUCKETS[x + 1])]
-    needs = [(n, need) for n, need in needs if need is not None]
-    if not needs:
-        return None
-    fewest, spare, letters = min(need for _, need in needs) - k, max(n - need for n, need in needs), 0
+    share, needs, spare, letters = 3 * jaro - 2, [], 0, 0
+    for x, y in ((own, other), (other, own)):
+        low = max(BUCKETS[x], _up(BUCKETS[y] * share))
+        high = BUCKETS[x + 1] - 1 if share <= 0 else min(BUCKETS[x + 1] - 1, math.floor((BUCKETS[y + 1] - 1) / share + 1e-9))
+        if low > high:
+            return None
+        needs.append(_up(_common(jaro, low, max(BUCKETS[y], low * share))))  # longer names need more
+        spare = max(spare, *(n - (_nearest_need(jaro, n, y) or n) for n in (low, high)))
+    fewest = min(needs) - k
     while letters < min(fewest, LETTERS):
         more = letters + 1
         if more > 1 and math.comb(max(spare + more, more), more) > CHOICES:
