@@ -21,9 +21,15 @@ ENTITY_TYPES = {
 
 
 def entity_type(value: Column) -> Column:
-    """The name of an entity type; others have their words capitalised, a missing one is Entity."""
+    """The name of an entity type; others have each run of letters capitalised, a missing one is Entity."""
     known = F.create_map(*[F.lit(x) for pair in ENTITY_TYPES.items() for x in pair])
-    return F.when(F.coalesce(value, F.lit("")) == "", "Entity").otherwise(F.coalesce(F.try_element_at(known, F.upper(value)), F.initcap(value)))
+    return F.when(F.coalesce(value, F.lit("")) == "", "Entity").otherwise(F.coalesce(F.try_element_at(known, F.upper(value)), title_case(value)))
+
+
+def title_case(value: Column) -> Column:
+    """Each run of letters with a capital first letter, all others small."""
+    runs = F.regexp_extract_all(value, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    return F.array_join(F.transform(runs, F.initcap), "")
 
 
 def first_non_empty(*columns: Column | str, default: str = "") -> Column:

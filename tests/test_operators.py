@@ -116,3 +116,9 @@ def test_resolution_and_graph(spark):
     seeds = spark.createDataFrame([(1, 1)], "question_id long, node long")
     edges = spark.createDataFrame([(1, 2), (3, 2), (3, 4)], "src long, dst long")
     assert rows(graph.expand(seeds, edges), "node", "hop") == [(1, 0), (2, 1), (3, 2)]
+
+
+def test_title_case(spark):
+    words = ["pull_request", "custom kind", "ABC-def ghi", "they're", "x1y2", "", "éa_Éb"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert [r[0] for r in df.select(S.title_case(F.col("w"))).collect()] == [w.title() for w in words]
