@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kgspark.functions.scalars import visible_to
 from kgspark.operators.graph import answer_confidence, expand
 from kgspark.operators.name_search import nearest_names
+from kgspark.operators.packets import fallback_links
 from kgspark.shared import cut
 
 #: Link and abstention thresholds, target probability of the calibration.
@@ -77,22 +78,36 @@ def walked_edges(visited: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     return met.select("question_id", *edges.columns).distinct()
 
 
+def with_fallback(links: DataFrame, questions: DataFrame, found: DataFrame, entities: DataFrame) -> DataFrame:
+    """links (question_id, mention, entity_id, score, fallback), where those of a question without any entity are replaced by the one
+    of fallback_links, if there is one; its mention is null."""
+    links = cut(links, "plain-links")
+    lost = links.groupBy("question_id").agg(F.bool_and(F.col("entity_id").isNull()).alias("lost")).where("lost").select("question_id")
+    asked = questions.hint("merge").join(lost, "question_id", "left_semi")
+    other = cut(fallback_links(asked, found.hint("merge").join(lost, "question_id", "left_semi"), entities), "fallback-links")
+    kept = links.hint("merge").join(other.select("question_id"), "question_id", "left_anti")
+    return kept.unionByName(other.withColumn("mention", F.lit(None).cast("string")))
+
+
 def answer(
     mentions: DataFrame, entities: DataFrame, facts: DataFrame, edges: DataFrame, role: str, historical: bool = False,
-    hops: int = 2, limit: int = 50, link: float = LINK, threshold: float = ABSTAIN,
+    hops: int = 2, limit: int = 50, link: float = LINK, threshold: float = ABSTAIN, questions: DataFrame | None = None, found: DataFrame | None = None,
 ) -> DataFrame:
     """decide_answers for all questions of mentions in one job: links, expansion, facts that the role may see, decision.
 
     Edges (src, dst, predicate, source_doc_id) with predicate HAS_STATE are bookkeeping and left out. A question whose mentions
-    have no entity abstains with confidence 0; one without any row in mentions has no row.
+    have no entity abstains with confidence 0; one without any row in mentions has no row. With questions (question_id, question) and
+    found, the documents that retrieval found for them (question_id, doc_id), such a question starts from an entity of those
+    documents instead (entities need source_doc_id), at lower confidence.
     """
-    links = cut(link_mentions(mentions, entities, link), "links")
+    links = link_mentions(mentions, entities, link).withColumn("fallback", F.lit(False))
+    links = cut(links if questions is None or found is None else with_fallback(links, questions, found, entities), "links")
     seeds = links.where("entity_id is not null").select("question_id", F.col("entity_id").alias("node"))
     edges = edges.where(F.upper(F.trim(F.coalesce("predicate", F.lit("")))) != "HAS_STATE")
     visited = cut(expand(seeds, edges, hops, limit), "visited")
-    found = facts_in_scope(visited, facts, role, historical).select("question_id", "source_doc_id", "state")
+    in_scope = facts_in_scope(visited, facts, role, historical).select("question_id", "source_doc_id", "state")
     walked = walked_edges(visited, edges.select("src", "dst", "predicate", "source_doc_id"), hops)
-    return decide_answers(links.withColumn("fallback", F.lit(False)), found, walked, threshold)
+    return decide_answers(links, in_scope, walked, threshold)
 
 
 def threshold_for_target(coefficient: float, intercept: float, target: float = TARGET) -> float:

@@ -37,3 +37,17 @@ def test_answer(spark):
     assert tuple(got[1])[1:5] == (2, 2, 4, 1.0) and round(got[1]["confidence"], 6) == round(0.4 * 0.35 + 0.8 * 0.25 + 0.3, 6) and not got[1]["abstained"]
     assert all((got[q]["n_facts"], got[q]["confidence"], got[q]["abstained"]) == (0, 0.0, True) for q in (2, 3))
     assert answering.answer(mentions, entities.limit(0), facts, edges, "member").where("not abstained").isEmpty()
+
+
+def test_answer_falls_back_to_retrieved_documents(spark):
+    mentions = spark.createDataFrame([(1, "Ann"), (2, "zzzz"), (3, "yyyy")], "question_id long, mention string")
+    questions = spark.createDataFrame([(1, "who is Ann?"), (2, "what of di"), (3, "x")], "question_id long, question string")
+    found = spark.createDataFrame([(1, "d4"), (2, "d4"), (2, "d9"), (3, "d9")], "question_id long, doc_id string")
+    entities = spark.createDataFrame([("e1", ["Ann"], "d1"), ("e4", ["Di"], "d4")], "id string, aliases array<string>, source_doc_id string")
+    facts = spark.createDataFrame([("e1", "current", None, "d1"), ("e4", "current", None, "d4")], "subject_id string, state string, access_level string, source_doc_id string")
+    edges = spark.createDataFrame([], "src string, dst string, predicate string, source_doc_id string")
+    got = {r["question_id"]: r for r in answering.answer(mentions, entities, facts, edges, "member", questions=questions, found=found).collect()}
+    assert round(got[1]["confidence"], 6) == round(0.035 + 0.05 + 0.3, 6) and got[1]["mean_link"] == 1.0
+    r = got[2]
+    assert r["n_facts"] == 1 and r["mean_link"] >= 0.4 and round(r["confidence"], 6) == round(max(0.0, 0.035 + 0.05 + 0.3 * r["mean_link"] - 0.15), 6)
+    assert got[3]["n_facts"] == 0 and got[3]["abstained"]
