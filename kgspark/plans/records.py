@@ -5,13 +5,15 @@ conversations stand for chat, orders for issues, customer for code-host records
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from kgspark.functions import scalars as S
-from kgspark.operators import build, conflicts, dashboard, evaluation, graph, identity, near_duplicates, packets, resolution, retrieval, threads
+from kgspark.operators import build, conflicts, dashboard, evaluation, graph, identity, near_duplicates, packets, resolution, retrieval, threads, vector_index
 from kgspark.plans.catalog import DECIDED_SQL, facts
 from kgspark.plans.catalog import ORACLE_SQL as CATALOG_SQL
-from kgspark.shared import cut, table
+from kgspark.shared import cut, shared_dir, table
 from kgspark.sources import normalize
 from kgspark.streaming.feeds import activity_counts
 
@@ -255,6 +257,27 @@ def io19_search(spark, sf):
     return retrieval.search_vectors(asked, docs, ["label"]).select("question_id", "doc_id", "score", "rank")
 
 
+def _vectors(spark, sf):
+    """The vectors, an index of them, and every twentieth as a question without filters."""
+    docs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    index = vector_index.build_vectors(docs, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}")
+    return index, docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("question_id"), "vector")
+
+
+def io19_index_exact(spark, sf):
+    """The five vectors of all that are nearest by cosine to each twentieth vector, through cells with the exact bound."""
+    return vector_index.search_cells(*_vectors(spark, sf))
+
+
+def io19_index_probed(spark, sf):
+    """The same through so many cells as hold 0.95 of the five nearest of other vectors, a sample of about 200."""
+    index, asked = _vectors(spark, sf)
+    others = table(spark, sf, "embeddings").where("vec_id % 20 <> 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
+    share = min(1.0, 200 / max(others.count(), 1))
+    sample = others.where(F.pmod(F.xxhash64("question_id"), F.lit(1 << 32)) < share * (1 << 32)).limit(400)
+    return vector_index.search_cells(index, asked, probes=vector_index.probes_for(index, sample), exact=False)
+
+
 def p07_context(spark, sf):
     """Retrieved documents as context blocks."""
     d = table(spark, sf, "documents")
@@ -303,7 +326,7 @@ QUERIES = {f.__name__: f for f in (
     j04_fact_subjects, s40_candidates, j05_mail_blocks, j05_whole_blocks, j06_evidence, j09_repoint, a19_histogram, a08_corroboration, a11_reliability,
     a27_learned_weights, p05_learned_cascade, p05_disabled, w08_value_buckets, st02_redecide, w01_canonical, a03_summaries,
     a18_coverage, j13_answerable, a16_comparison, a17_abstention, p09_system_report, a25_calibration_sample, a12_collection,
-    a12_source_types, a14_status, w13_browse, u02_activity, a31_overview, a30_suggestions, io19_search, p07_context, j14_fallback, p10_org_edges, p10_org_summary, s18_unique_names, st03_feed,
+    a12_source_types, a14_status, w13_browse, u02_activity, a31_overview, a30_suggestions, io19_search, io19_index_exact, io19_index_probed, p07_context, j14_fallback, p10_org_edges, p10_org_summary, s18_unique_names, st03_feed,
 )}
 
 _FACTS = """f AS (
@@ -406,6 +429,9 @@ ORACLE_SQL = {
     "io19_search": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings),
         s AS (SELECT q.vec_id AS question_id, d.vec_id AS doc_id, round(list_cosine_similarity(q.v, d.v), 6) AS score FROM e q JOIN e d ON q.label = d.label WHERE q.vec_id % 20 = 0),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 5""",
+    "io19_index_exact": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+        s AS (SELECT q.vec_id AS question_id, d.vec_id AS doc_id, round(list_cosine_similarity(q.v, d.v), 6) AS score FROM e q CROSS JOIN e d WHERE q.vec_id % 20 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 5""",
     "p07_context": f"""WITH f AS ({CATALOG_SQL["j16_retrieve"]}),
         h AS (SELECT question_id, rank, format('[{{}}] source_id={{}} source={{}} score={{:.3f}}', rank, doc_id, source, score) AS heading, text FROM f JOIN documents USING (doc_id) WHERE rank <= 2)
         SELECT question_id, rank, heading, CAST(length(heading) + 1 + least(1500, length(coalesce(text, ''))) AS INTEGER) AS size FROM h""",
