@@ -13,8 +13,10 @@ from kgspark.shared import cut
 #: Weight by source type and predicate, `*` for any other, and what holds without an entry.
 WEIGHTS = [("github", "status", 0.9), ("github", "*", 0.7), ("jira", "status", 0.85), ("jira", "*", 0.6), ("gmail", "*", 0.4), ("fireflies", "*", 0.5)]
 DEFAULT_WEIGHT, MARGIN = 0.3, 0.15
-#: Rows by set of source types that truth discovery keeps on the driver, at most.
+#: Rows by set of source types up to which truth discovery iterates on the driver; more are iterated by Spark, to the same end.
 MAX_SETS = 10_000
+#: Sources up to which their reliabilities are broadcast in a round.
+FEW_SOURCES = 100_000
 GROUP = ["subject_id", "predicate"]
 
 
@@ -176,17 +178,19 @@ def discover_truth(facts: DataFrame, rounds: int = 8, delta: float = 0.01, start
     """Reliability of each source type by round: the mean confidence of its claims, a claim's confidence being the noisy-or of
     the reliabilities of the distinct source types behind it.
 
-    Facts are aggregated once to (set of source types, number of claims of each), which is bounded by the few source types;
-    the rounds run on that; more than MAX_SETS of them are an error. A missing source type is unknown.
+    Facts are aggregated once to (set of source types, number of claims of each); the rounds run on that. A missing source type
+    is unknown. No facts: one round without types.
     """
     facts = _types(facts)
     bucket = F.coalesce(normalize_value(F.col("value").cast("string")), F.lit(""))
     claims = facts.where("subject_id <> '' and predicate <> ''").groupBy(*GROUP, bucket.alias("bucket"), "doc_source_type").agg(F.count("*").alias("n"))
     kinds = claims.groupBy(*GROUP, "bucket").agg(F.array_sort(F.collect_list(F.struct("doc_source_type", "n"))).alias("kinds"))
     names = kinds.withColumn("types", F.transform("kinds", lambda k: k["doc_source_type"])).select("types", F.inline("kinds"))
-    rows = names.groupBy("types", "doc_source_type").agg(F.sum("n").alias("n")).limit(MAX_SETS + 1).collect()
+    sets = cut(names.groupBy("types", "doc_source_type").agg(F.sum("n").alias("n")), "sets")
+    rows = sets.limit(MAX_SETS + 1).collect()
     if len(rows) > MAX_SETS:
-        raise ValueError(f"more than {MAX_SETS} sets of source types")
+        found = truth_rounds(sets.select(F.col("types").alias("claim"), F.col("doc_source_type").alias("source"), "n"), rounds, delta, start)
+        return [dict(r["held"]) for r in found.groupBy("round").agg(F.map_from_entries(F.collect_list(F.struct("source", "reliability"))).alias("held")).orderBy("round").collect()]
     weight = {r["doc_source_type"]: start for r in rows}
     history = [dict(weight)]
     for _ in range(rounds):
@@ -205,3 +209,38 @@ def discover_truth(facts: DataFrame, rounds: int = 8, delta: float = 0.01, start
         if moved < delta:
             break
     return history
+
+
+def claims_of(facts: DataFrame, source: str = "source_doc_id") -> DataFrame:
+    """(claim, source, n) of facts: how often each source states each value of a group. Facts without subject, predicate or source are left out."""
+    bucket = F.coalesce(normalize_value(F.col("value").cast("string")), F.lit(""))
+    stated = facts.where("subject_id <> '' and predicate <> ''").where(F.col(source).cast("string") != "")
+    return stated.groupBy(F.struct(*GROUP, bucket.alias("bucket")).alias("claim"), F.col(source).alias("source")).agg(F.count("*").alias("n"))
+
+
+def truth_rounds(claims: DataFrame, rounds: int = 8, delta: float = 0.01, start: float = 0.5) -> DataFrame:
+    """(round, source, reliability) of claims (claim, source, n; one row for each claim and source), any number of either.
+
+    Round 0 is start for each source. A claim's confidence is the noisy-or of its sources' reliabilities, a source's next
+    reliability the mean confidence of its claims, each counted n times. It ends after so many rounds, or with the first in which
+    no reliability moves by delta or more. Each round is two aggregations and writes its reliabilities; nulls are dropped and an
+    empty table gives an empty result.
+    """
+    claims = cut(claims.where("claim is not null and source is not null and n > 0").select("claim", "source", "n"), "claims")
+    held = cut(claims.groupBy("source").agg(F.sum("n").alias("total")).withColumn("reliability", F.lit(float(start))), "reliability")
+    few = held.count() <= FEW_SOURCES
+    every = held.select(F.lit(0).alias("round"), "source", "reliability")
+    for i in range(1, rounds + 1):
+        known = held.select("source", "reliability")
+        weighed = claims.join(F.broadcast(known), "source") if few else claims.hint("merge").join(known, "source")
+        doubt = weighed.groupBy("claim").agg(F.product(1 - F.col("reliability")).alias("doubt"))
+        sure = F.least(F.greatest(1 - F.col("doubt"), F.lit(0.0)), F.lit(1.0))
+        told = claims.hint("merge").join(doubt, "claim").groupBy("source").agg(F.sum(F.col("n") * sure).alias("sum"))
+        nxt = held.withColumnRenamed("reliability", "before").hint("merge").join(told, "source")
+        held = cut(nxt.select("source", "total", F.col("before"), (F.col("sum") / F.col("total")).alias("reliability")), "reliability")
+        every = every.union(held.select(F.lit(i).alias("round"), "source", "reliability"))
+        moved = held.agg(F.max(F.abs(F.col("reliability") - F.col("before")))).first()[0]
+        held = held.drop("before")
+        if moved is None or moved < delta:
+            break
+    return every

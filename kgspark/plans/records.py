@@ -257,6 +257,27 @@ def io19_search(spark, sf):
     return retrieval.search_vectors(asked, docs, ["label"]).select("question_id", "doc_id", "score", "rank")
 
 
+def _stated(spark, sf):
+    """What lines say of a supplier's quantities: many claims with several source types and many sources."""
+    return table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("subject_id"), F.col("l_returnflag").alias("predicate"), F.col("l_quantity").cast("int").cast("string").alias("value"),
+        (F.col("l_partkey") % 500).cast("string").alias("source_doc_id"), F.concat(F.lit("m"), F.col("l_partkey") % 7).alias("doc_source_type"),
+    )
+
+
+def a11_shared_claims(spark, sf):
+    """Reliability of source types whose claims other types share, by round."""
+    history = conflicts.discover_truth(_stated(spark, sf), rounds=3, delta=0.0)
+    rows = [(i, k, v) for i, held in enumerate(history) for k, v in held.items()]
+    return spark.createDataFrame(rows, "round int, source string, reliability double").withColumn("reliability", F.round("reliability", 9))
+
+
+def a11_source_rounds(spark, sf):
+    """The same of single sources, as a fixpoint of claims and sources."""
+    found = conflicts.truth_rounds(conflicts.claims_of(_stated(spark, sf)), rounds=3, delta=0.0)
+    return found.withColumn("reliability", F.round("reliability", 9))
+
+
 def _vectors(spark, sf):
     """The vectors, an index of them, and every twentieth as a question without filters."""
     docs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("vector"))
@@ -323,7 +344,7 @@ def st03_feed(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     s05_chat_documents, s06_issue_documents, s07_code_documents, s08_mail_documents, s20_entity_types, a04_entities,
-    j04_fact_subjects, s40_candidates, j05_mail_blocks, j05_whole_blocks, j06_evidence, j09_repoint, a19_histogram, a08_corroboration, a11_reliability,
+    j04_fact_subjects, s40_candidates, j05_mail_blocks, j05_whole_blocks, j06_evidence, j09_repoint, a19_histogram, a08_corroboration, a11_reliability, a11_shared_claims, a11_source_rounds,
     a27_learned_weights, p05_learned_cascade, p05_disabled, w08_value_buckets, st02_redecide, w01_canonical, a03_summaries,
     a18_coverage, j13_answerable, a16_comparison, a17_abstention, p09_system_report, a25_calibration_sample, a12_collection,
     a12_source_types, a14_status, w13_browse, u02_activity, a31_overview, a30_suggestions, io19_search, io19_index_exact, io19_index_probed, p07_context, j14_fallback, p10_org_edges, p10_org_summary, s18_unique_names, st03_feed,
@@ -346,7 +367,19 @@ _PEOPLE = """keys AS (
             lambda x: x IS NOT NULL)) AS block FROM customer),
 sized AS (SELECT *, count(*) OVER (PARTITION BY block) AS n FROM keys)"""
 
+def _rounds_sql(source: str) -> str:
+    """Three rounds of truth discovery over lines, by this source."""
+    parts = [f"""c AS (SELECT l_suppkey AS s, l_returnflag AS p, CAST(l_quantity AS INT) AS v, {source} AS source, count(*) AS n FROM lineitem GROUP BY 1, 2, 3, 4),
+        r0 AS (SELECT DISTINCT source, 0.5::DOUBLE AS r FROM c)"""]
+    for i in range(3):
+        parts.append(f"d{i} AS (SELECT s, p, v, least(greatest(1 - product(1 - r), 0), 1) AS sure FROM c JOIN r{i} USING (source) GROUP BY 1, 2, 3)")
+        parts.append(f"r{i + 1} AS (SELECT source, sum(n * sure) / sum(n) AS r FROM c JOIN d{i} USING (s, p, v) GROUP BY 1)")
+    every = " UNION ALL ".join(f"SELECT {i} AS round, source, round(r, 9) AS reliability FROM r{i}" for i in range(4))
+    return f"WITH {', '.join(parts)} {every}"
+
+
 ORACLE_SQL = {
+    "a11_shared_claims": _rounds_sql("'m' || (l_partkey % 7)"), "a11_source_rounds": _rounds_sql("CAST(l_partkey % 500 AS VARCHAR)"),
     "s05_chat_documents": """SELECT 'slack' AS source, conv_id || '-' || turn AS source_id, coalesce(role, '') AS author, conv_id || '-' || turn AS timestamp,
         coalesce(text, '') AS content, CAST(conv_id AS VARCHAR) AS container_id, '{"turn":' || turn || '}' AS metadata FROM conversations""",
     "s06_issue_documents": """SELECT 'jira' AS source, CAST(o_orderkey AS VARCHAR) AS source_id, CAST(o_custkey AS VARCHAR) AS author, strftime(o_orderdate, '%Y-%m-%d') AS timestamp,

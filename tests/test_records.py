@@ -101,7 +101,8 @@ def test_resolution_of_entities(spark):
     assert [r["combined"] for r in resolution.best_pairs(resolution.score_pairs(e, resolution.candidate_pairs(e), facts), 1).collect()] == [pytest.approx(0.825)]
 
 
-def test_truth_discovery_against_plain_rounds(spark):
+def test_truth_discovery_against_plain_rounds(spark, monkeypatch):
+    patched = monkeypatch
     rows = [(i, f"s{i % 7}", "p", f"v{i % 3}", i, str(i), ["a", "b", "", "c"][i % 4]) for i in range(60)]
     f = spark.createDataFrame(rows, "id long, subject_id string, predicate string, value string, valid_from long, source_doc_id string, doc_source_type string")
     claims = [((r[1], r[3]), r[6] or "unknown") for r in rows]
@@ -125,6 +126,14 @@ def test_truth_discovery_against_plain_rounds(spark):
             break
     got = conflicts.discover_truth(f)
     assert len(got) == len(want) and all(g == pytest.approx(w) for g, w in zip(got, want, strict=True))
+    patched.setattr(conflicts, "MAX_SETS", 2)  # by Spark jobs, to the same end
+    jobs = conflicts.discover_truth(f)
+    assert len(jobs) == len(want) and all(g == pytest.approx(w) for g, w in zip(jobs, want, strict=True))
+    patched.setattr(conflicts, "FEW_SOURCES", 0)
+    wide = f.withColumn("doc_source_type", F.coalesce(F.nullif("doc_source_type", F.lit("")), F.lit("unknown")))
+    found = conflicts.truth_rounds(conflicts.claims_of(wide, "doc_source_type")).collect()
+    assert {(r["round"], r["source"]): r["reliability"] for r in found} == {(i, k): pytest.approx(x) for i, w in enumerate(want) for k, x in w.items()}
+    assert conflicts.truth_rounds(conflicts.claims_of(f.limit(0))).count() == 0
     compared = {r["doc_source_type"]: r["fixed"] for r in conflicts.learned_against_fixed(spark, {"github": 0.5, "zz": 0.1}).collect()}
     assert compared == {"github": 0.7, "zz": 0.3}
 
