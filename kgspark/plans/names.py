@@ -1,4 +1,4 @@
-"""Queries of name linking, similar values and exact blocks over the test tables, and their SQL.
+"""Queries of name linking, similar values, exact blocks and near-duplicate batches over the test tables, and their SQL.
 
 part stands for entities and, under misspelt names, for mentions.
 """
@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kgspark.operators import answering, conflicts, resolution_index
+from kgspark.operators import answering, conflicts, near_index, resolution_index
+from kgspark.plans.catalog import ORACLE_SQL as CATALOG_SQL
 from kgspark.shared import table
 
 
@@ -71,7 +72,15 @@ def j05_exact_pending(spark, sf):
     return resolution_index.resolve_all(_people(spark, sf))[1].select("a", "b", "exact_id_match", F.round("combined", 6).alias("combined"))
 
 
-QUERIES = {f.__name__: f for f in (j10_link_mentions, w08_leaders, p03_resolve_all, p01_batches, j05_exact_pending)}
+def j17_index_batches(spark, sf):
+    """Clusters of near-duplicate documents after three batches through the index."""
+    docs, index = table(spark, sf, "documents"), near_index.new_near_index(spark)
+    for i in (2, 0, 1):
+        index = near_index.add_documents(index, docs.where(F.col("doc_id") % 3 == i))
+    return near_index.clusters_in(index, spark)
+
+
+QUERIES = {f.__name__: f for f in (j10_link_mentions, w08_leaders, p03_resolve_all, p01_batches, j05_exact_pending, j17_index_batches)}
 
 #: Jaro-Winkler of pairs (a, b) of a relation `near`, letter by letter; DuckDB's own rounds half transpositions down and adds no prefix to
 #: low scores, so that it serves as an upper bound at most 1/6 too high.
@@ -114,6 +123,8 @@ _RESOLVED = f"""
 _MERGED = f"WITH RECURSIVE {_RESOLVED} SELECT node AS id, merged_into FROM filled WHERE node <> merged_into"
 
 ORACLE_SQL = {
+    "j17_index_batches": f"""WITH RECURSIVE pairs AS ({CATALOG_SQL["j17_near_duplicates"]}), e AS (SELECT a AS x, b AS y FROM pairs UNION SELECT b, a FROM pairs),
+        up AS (SELECT x AS node, x AS top FROM e UNION SELECT up.node, e.y FROM up JOIN e ON up.top = e.x) SELECT node AS id, min(top) AS cluster FROM up GROUP BY 1""",
     "j10_link_mentions": f"""
         WITH p AS (SELECT p_partkey, p_name || ' ' || p_brand AS name, p_partkey % 9 AS k, p_name, p_brand FROM part),
         m AS (SELECT p_partkey AS question_id, lower(trim(CASE WHEN p_partkey % 3 = 0 THEN p_brand || ' ' || p_name ELSE left(name, k) || substring(name, k + 2) END)) AS a FROM p),
