@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kgspark.operators import build, identity, threads
 from kgspark.shared import table
+from kgspark.sources import mail
 
 _NOW = 0
 
@@ -74,9 +75,36 @@ def a29_build_counts(spark, sf):
     return build.build_counts(_extracted(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (j03_thread_roots, j18_resolve_senders, a28_register, a04_facts, a05_edges, a29_build_counts)}
+def io10_nested_threads(spark, sf):
+    """Conversations as landed mail threads whose texts stand four parts deep, beside HTML that doesn't count."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def leaf(kind, text):
+        return F.struct(F.lit(kind).alias("mimeType"), F.translate(F.base64(F.encode(text, "UTF-8")), "+/\r\n", "-_").alias("data"))
+
+    def nested(kind, *every):
+        """The JSON of a part that holds others, given as JSON."""
+        return F.concat(F.lit(f'{{"mimeType":"{kind}","parts":['), F.concat_ws(",", *every), F.lit("]}"))
+
+    plain, page = F.to_json(leaf("text/plain", F.col("text"))), F.to_json(leaf("text/html", F.lit("<p>no</p>")))
+    deep = nested("multipart/mixed", nested("multipart/alternative", page, nested("multipart/related", nested("multipart/x", plain))), F.to_json(leaf("text/plain", F.col("role"))))
+    headers = F.to_json(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in (("From", F.col("role")), ("DATE", F.lpad(F.col("turn").cast("string"), 6, "0")))]))
+    payload = F.concat(F.lit('{"headers":'), headers, F.lit(","), F.substr(deep, F.lit(2)))
+    message = F.concat(F.lit('{"id":"'), F.col("turn").cast("string"), F.lit('","payload":'), payload, F.lit("}"))
+    held = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", message.alias("message")))).alias("all"))
+    landed = held.select(F.col("conv_id").cast("string").alias("thread_id"), F.concat(F.lit('{"messages":['), F.array_join("all.message", ","), F.lit("]}")).alias("payload"))
+    found = mail.threads_of_payloads(landed)
+    bodies = F.transform("messages", lambda m: m["body"])
+    return found.select("thread_id", "sender", "first_email_at", "last_email_at", F.size("messages").cast("long").alias("n_messages"), F.sha2(F.array_join(bodies, "|"), 256).alias("bodies"))
+
+
+QUERIES = {f.__name__: f for f in (io10_nested_threads, j03_thread_roots, j18_resolve_senders, a28_register, a04_facts, a05_edges, a29_build_counts)}
 
 ORACLE_SQL = {
+    "io10_nested_threads": """WITH c AS (SELECT conv_id, lpad(CAST(turn AS VARCHAR), 6, '0') AS place, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+        b AS (SELECT *, text || CASE WHEN text <> '' AND role <> '' THEN chr(10) || chr(10) ELSE '' END || role AS body FROM c)
+        SELECT CAST(conv_id AS VARCHAR) AS thread_id, first(role ORDER BY place, role, text) AS sender, min(place) AS first_email_at, max(place) AS last_email_at, count(*) AS n_messages,
+            sha256(string_agg(body, '|' ORDER BY place, role, text)) AS bodies FROM b GROUP BY conv_id""",
     "j03_thread_roots": """WITH t AS (SELECT DISTINCT conv_id, turn FROM conversations),
         g AS (SELECT *, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM t)
         SELECT conv_id || '-' || turn AS message_id, conv_id || '-' || greatest(min(turn) OVER (PARTITION BY conv_id, run) - 1, 0) AS root FROM g""",

@@ -1,5 +1,6 @@
 """Threads, mailboxes, chat, identities, graph build, answering and calibration on small literals."""
 
+import base64
 import json
 
 import duckdb
@@ -49,6 +50,24 @@ def test_payloads(spark):
     assert (got["message_id"], got["sender"], got["subject"], got["body"], got["refs"]) == ("p1@x", "Ann", "S", "hi?", [])
 
 
+def test_nested_payloads(spark):
+    coded = lambda text: base64.urlsafe_b64encode(text.encode()).decode().rstrip("=")
+    part = lambda kind, x: {"mimeType": kind, "parts": x} if isinstance(x, list) else {"mimeType": kind, "data": coded(x)}
+    deep = part("multipart/related", [part("text/html", "<b>x</b>"), part("text/plain", "deep é?~")])
+    both = part("multipart/mixed", [part("text/plain", "one"), part("multipart/alternative", [part("text/html", "<p>no</p>"), part("multipart/x", [deep])]), part("text/plain", "three"), part("image/png", "zz")])
+    pages = part("multipart/mixed", [part("text/html", "<i>a</i> &amp; b"), part("text/html", "c"), part("multipart/mixed", [])])
+    inner = part("multipart/mixed", [part("text/html", "<i>a</i>"), part("multipart/mixed", [part("text/html", "<i>b</i>")])])  # a part of pages counts as text
+    heads = lambda date, **more: [{"name": "Date", "value": date}, {"name": "FROM", "value": "old"}, {"name": "From", "value": "ann"}, *[{"name": k, "value": v} for k, v in more.items()]]
+    messages = [{"id": "m2", "payload": {**both, "headers": heads("2", subject="S2")}}, {"id": "m1", "payload": {**pages, "headers": heads("1", subject="S1")}}, {"payload": {**inner, "headers": heads("3")}}, {"id": "m4"}, {"id": "m5", "payload": {"mimeType": "text/plain", "data": "!"}}]
+    rows = [("t", json.dumps({"messages": messages}), 1), ("none", json.dumps({"messages": []}), 1), ("bad", "{", 1), (None, None, 1)]
+    got = mail.threads_of_payloads(spark.createDataFrame(rows, "thread_id string, payload string, row int")).collect()
+    assert len(got) == 1 and tuple(got[0])[:5] == ("t", "", "", "", "3")
+    assert [(m["message_id"], m["sender"], m["date"], m["subject"], m["body"]) for m in got[0]["messages"]] == [
+        ("m4", "", "", "", ""), ("m5", "", "", "", ""), ("m1", "ann", "1", "S1", "a  & b\n\nc"), ("m2", "ann", "2", "S2", "one\n\ndeep é?~\n\nthree"), ("", "ann", "3", "", "b"),
+    ]
+    assert mail.threads_of_payloads(spark.createDataFrame([], "thread_id string, payload string")).count() == 0
+
+
 def test_threads(spark):
     rows = [
         ("a", [], "Plan", "ann", "1", ""), ("b", ["a"], "Re: Plan", "bob", "2", ""), ("c", ["a", "b", "c"], "Re: Plan", "cy", "3", ""),
