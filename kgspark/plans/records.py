@@ -15,7 +15,7 @@ from kgspark.plans.catalog import DECIDED_SQL, facts
 from kgspark.plans.catalog import ORACLE_SQL as CATALOG_SQL
 from kgspark.shared import cut, shared_dir, table
 from kgspark.sources import normalize
-from kgspark.streaming.feeds import activity_counts
+from kgspark.streaming.feeds import activity_counts, newest_by_key, newest_of, read_upserts, upsert_stream
 
 
 def s05_chat_documents(spark, sf):
@@ -342,12 +342,21 @@ def st03_feed(spark, sf):
     return activity_counts(table(spark, sf, "events"), "1 hour").groupBy("event_type").agg(F.count("*").alias("windows"), F.sum("n").alias("events"))
 
 
+def st03_newest(spark, sf):
+    """The newest forty events of each type, kept by a stream over files that events are cut into; late ones come in any of them."""
+    files = cut(table(spark, sf, "events").select("event_id", "event_type", "ts").repartition(3, "event_id"), "events")
+    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(files._written_to)
+    folder = f"{shared_dir(spark)}/newest-{uuid.uuid4().hex}"
+    upsert_stream(newest_by_key(stream), f"{folder}/slots", f"{folder}/state", "slot", available_now=True, mode="update").awaitTermination()
+    return newest_of(read_upserts(spark, f"{folder}/slots", "slot")).select(F.col("key").alias("event_type"), F.col("id").alias("event_id"), "rank")
+
+
 QUERIES = {f.__name__: f for f in (
     s05_chat_documents, s06_issue_documents, s07_code_documents, s08_mail_documents, s20_entity_types, a04_entities,
     j04_fact_subjects, s40_candidates, j05_mail_blocks, j05_whole_blocks, j06_evidence, j09_repoint, a19_histogram, a08_corroboration, a11_reliability, a11_shared_claims, a11_source_rounds,
     a27_learned_weights, p05_learned_cascade, p05_disabled, w08_value_buckets, st02_redecide, w01_canonical, a03_summaries,
     a18_coverage, j13_answerable, a16_comparison, a17_abstention, p09_system_report, a25_calibration_sample, a12_collection,
-    a12_source_types, a14_status, w13_browse, u02_activity, a31_overview, a30_suggestions, io19_search, io19_index_exact, io19_index_probed, p07_context, j14_fallback, p10_org_edges, p10_org_summary, s18_unique_names, st03_feed,
+    a12_source_types, a14_status, w13_browse, u02_activity, a31_overview, a30_suggestions, io19_search, io19_index_exact, io19_index_probed, p07_context, j14_fallback, p10_org_edges, p10_org_summary, s18_unique_names, st03_feed, st03_newest,
 )}
 
 _FACTS = """f AS (
@@ -477,6 +486,8 @@ ORACLE_SQL = {
         count(*) FILTER (WHERE c_custkey % 7 = 0 OR c_custkey >= 10 AND c_custkey // 10 NOT IN (SELECT c_custkey FROM customer)) AS skipped_missing_manager FROM customer""",
     "s18_unique_names": """WITH r AS (SELECT c_custkey AS id, lower(c_mktsegment) || '-ol-co' AS slug, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS p FROM customer)
         SELECT id, CASE WHEN p = 1 THEN slug ELSE slug || '-' || CASE WHEN p >= 3 THEN p + 1 ELSE p END END AS collection_name FROM r""",
+    "st03_newest": """WITH r AS (SELECT event_type, event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS INTEGER) AS rank FROM events WHERE ts IS NOT NULL)
+        SELECT * FROM r WHERE rank <= 40""",
     "st03_feed": """WITH w AS (SELECT event_type, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY 1, 2)
         SELECT event_type, count(*) AS windows, CAST(sum(n) AS BIGINT) AS events FROM w GROUP BY 1""",
     "w01_canonical": """WITH d AS (
