@@ -53,7 +53,7 @@ def resolve_roles(requests: DataFrame, users: DataFrame, grants: DataFrame) -> D
     matched = asked.hint("merge").join(users.select("user_id", F.col("identity").alias("form")), "form")
     found = matched.groupBy("request_id").agg(F.min(F.struct("priority", "user_id"))["user_id"].alias("user_id"))
     granted = grants.groupBy("user_id", "collection_name").agg(F.min("role").alias("granted"))
-    out = requests.join(found, "request_id", "left").join(granted, ["user_id", "collection_name"], "left")
+    out = requests.hint("merge").join(found, "request_id", "left").hint("merge").join(granted, ["user_id", "collection_name"], "left")
     return out.withColumn("role", F.coalesce("granted", "role")).drop("granted")
 
 
