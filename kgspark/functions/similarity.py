@@ -109,7 +109,9 @@ def best_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def ratio_batch(left: list[str], right: list[str]) -> list[float]:
-    return [ratio(*pair) for pair in zip(left, right, strict=True)]
+    """The ratio of each pair; of equal pairs it is computed once."""
+    found = {pair: ratio(*pair) for pair in set(zip(left, right, strict=True))}
+    return [found[pair] for pair in zip(left, right, strict=True)]
 
 
 def at_least(pairs: DataFrame, left: str, right: str, score, threshold: float, digits: int | None = None) -> DataFrame:

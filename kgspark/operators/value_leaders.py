@@ -28,6 +28,8 @@ from kgspark.shared import cut
 WAYS, LONG = 400, 15
 #: Rounds after which components of the graph with up to SETTLED edges are walked through, each in a task.
 ROUNDS, SETTLED = 8, 100_000
+#: Values of a group up to which all its pairs are compared: fewer than the keys of a value would be.
+FEW = 100
 #: Frequencies of grams that tasks hold; others count as rarer.
 RANKS = 20_000
 _FACTORS = np.random.default_rng(7).integers(0, 2**63, 4096, np.int64).view("<u8") * np.uint64(2) + np.uint64(1)
@@ -108,8 +110,25 @@ def similar_pairs(values: DataFrame, threshold: float) -> DataFrame:
     """(a, b, leader): nodes whose strings' ratio is the threshold or more, a before b in its group, and a's string.
 
     values: node, group (a string), value, first (what orders a group). Values are dealt out by key, so that a group of any size is
-    split; a key that very many have is an ordinary join key, whose partition adaptive execution splits.
+    split; a key that very many have is an ordinary join key, whose partition adaptive execution splits. The values of a group of
+    FEW at most all meet, without keys.
     """
+    sizes = cut(values.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > 1), "group-sizes")
+    of = lambda fits: values.hint("merge").join(sizes.where(fits).select("group"), "group", "left_semi")
+    small = of(F.col("n") <= FEW).select("group", "node", "first", "value", F.char_length("value").alias("size"))
+    sides = [small.select("group", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "first", "value", "size")]) for x in ("a", "b")]
+    near = 2 * F.least("size_a", "size_b") >= (threshold - 1e-9) * (F.col("size_a") + F.col("size_b"))
+    met = sides[0].hint("merge").join(sides[1], "group").where((F.col("first_a") < F.col("first_b")) & near)
+    few = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "first_a", F.col("value_a").alias("leader"), F.col("value_b").alias("follower"))
+    few = at_least(few, "follower", "leader", ratio_batch, threshold).select("a", "b", "first_a", "leader")
+    large = sizes.where(F.col("n") > FEW)
+    if large.isEmpty():
+        return few
+    return few.unionByName(_pairs_by_key(cut(of(F.col("n") > FEW), "large"), threshold))
+
+
+def _pairs_by_key(values: DataFrame, threshold: float) -> DataFrame:
+    """similar_pairs by the index of value_keys."""
     held = values.sparkSession.sparkContext.broadcast(_gram_ranks(values, "value"))
     kept = values.select("node", "first", "value", "group")
     schema = T.StructType([*kept.schema.fields[:3], T.StructField("key", T.LongType())])

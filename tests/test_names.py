@@ -107,3 +107,17 @@ def test_query_matches_sql(spark, name):
     cols = sorted(got.columns)
     want = con.sql(names.ORACLE_SQL[name]).select(", ".join(cols)).fetchall()
     assert sorted(map(str, map(tuple, got.select(*cols).collect()))) == sorted(map(str, want)) and want
+
+
+def test_small_groups_need_no_keys(spark, monkeypatch):
+    """Groups of few values are compared pair by pair: long values would have over a thousand keys each."""
+    monkeypatch.setattr(value_leaders, "_gram_ranks", lambda *_: 1 / 0)
+    draw = random.Random(2)
+    rows = []
+    for g in range(30):
+        base = "the quick brown fox number "
+        for v in {base + draw.choice("012") + draw.choice(["", "abcdefgh" * 4, "abcdefg"]) + draw.choice(["", "x"]) for _ in range(8)}:
+            rows.append((len(rows), f"g{g}", v, (len(rows),)))
+    values = spark.createDataFrame(rows, "node long, group string, value string, first struct<n: long>")
+    want = {(a, b) for a, g, v, _ in rows for b, h, w, _ in rows if g == h and a < b and ratio(w, v) >= 0.92}
+    assert want and {(r["a"], r["b"]) for r in value_leaders.similar_pairs(values, 0.92).collect()} == want
