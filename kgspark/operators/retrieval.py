@@ -13,6 +13,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -122,11 +123,17 @@ def retrieve(questions: DataFrame, docs: DataFrame, k: int = 5, question_id: str
     return cut(scored, "scored").withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+@F.pandas_udf(T.StringType())
+def _three_digits(score: pd.Series) -> pd.Series:
+    """Scores to three digits by their exact value, of ties the even one; format_string rounds the shortest decimal form half up."""
+    return score.map(lambda x: f"{x:.3f}")
+
+
 def context_blocks(found: DataFrame, docs: DataFrame, size: int = 1500) -> DataFrame:
     """(question_id, rank, block): retrieved documents (question_id, doc_id, score, rank) as text under a heading, content cut to
     size. docs: doc_id, source, content."""
     both = found.hint("merge").join(docs, "doc_id")
-    heading = F.format_string("[%d] source_id=%s source=%s score=%.3f\n", F.col("rank"), F.col("doc_id").cast("string"), F.col("source"), F.col("score"))
+    heading = F.format_string("[%d] source_id=%s source=%s score=%s\n", F.col("rank"), F.col("doc_id").cast("string"), F.col("source"), _three_digits("score"))
     return both.select("question_id", "rank", F.concat(heading, F.substring(F.coalesce("content", F.lit("")), 1, size)).alias("block"))
 
 

@@ -51,3 +51,14 @@ def test_answer_falls_back_to_retrieved_documents(spark):
     r = got[2]
     assert r["n_facts"] == 1 and r["mean_link"] >= 0.4 and round(r["confidence"], 6) == round(max(0.0, 0.035 + 0.05 + 0.3 * r["mean_link"] - 0.15), 6)
     assert got[3]["n_facts"] == 0 and got[3]["abstained"]
+
+
+def test_headings_round_exactly(spark):
+    """Scores to three digits as Python and the SQL's format have them: by the exact value, ties to even."""
+    from kgspark.operators.retrieval import context_blocks
+
+    scores = [12.0625, 12.1875, 1.0005, 2.0015, 3.0025, 0.1235, 57.4445]
+    found = spark.createDataFrame([(1, i, s, i + 1) for i, s in enumerate(scores)], "question_id long, doc_id long, score double, rank int")
+    docs = spark.createDataFrame([(i, "s", "x") for i in range(len(scores))], "doc_id long, source string, content string")
+    got = {r["rank"]: r["block"] for r in context_blocks(found, docs).collect()}
+    assert got == {i + 1: f"[{i + 1}] source_id={i} source=s score={s:.3f}\nx" for i, s in enumerate(scores)}
