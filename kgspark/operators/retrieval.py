@@ -26,6 +26,8 @@ from kgspark.shared import cut
 
 #: Different terms of questions, times questions that have them, that are scored in one pass over the documents.
 POSTINGS = 2_000_000
+#: Similarities of vectors that a task computes at once.
+SCORES = 500_000
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -142,12 +144,13 @@ def fallback_documents(found: DataFrame, docs: DataFrame, size: int = 2500) -> D
     return found.hint("merge").join(docs, "doc_id").select("question_id", "doc_id", "source", "timestamp", F.substring("content", 1, size).alias("content"), "score", "rank")
 
 
-def search_vectors(questions: DataFrame, docs: DataFrame, filters: list[str], k: int = 5, dots: int = 20_000_000) -> DataFrame:
+def search_vectors(questions: DataFrame, docs: DataFrame, filters: list[str], k: int = 5, dots: int = 2_000_000) -> DataFrame:
     """(question_id, doc_id, score, rank) of the k documents (doc_id, vector and filter columns) nearest by cosine to each question
     (question_id, vector, filters: a map of wanted values) among those that have the values it wants.
 
-    Questions are a query set, compared with all documents in blocks of about dots numbers; a task passes on its best k only.
-    Scores are rounded to six digits, ties go to the smaller id. Null and zero vectors are like nothing.
+    Questions are a query set, compared with all documents in blocks of about dots numbers: those that want the same together, with
+    the documents that have it, so many at once that SCORES are computed. A task passes on its best k only. Scores are rounded to six
+    digits, ties go to the smaller id. Null and zero vectors are like nothing.
     """
     size = questions.select(F.size("vector")).agg(F.max("size(vector)")).first()[0] or 1
     count = questions.count()
@@ -158,37 +161,38 @@ def search_vectors(questions: DataFrame, docs: DataFrame, filters: list[str], k:
     arrow = [to_arrow_type(t) for t in kinds]
     for i in range(blocks):
         part = questions if blocks == 1 else questions.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == i)
-        rows = part.where("vector is not null").collect()  # a block
-        names = [r["question_id"] for r in rows]
-        wanted = [dict(r["filters"] or {}) for r in rows]
-        matrix = _unit(np.array([r["vector"] for r in rows], float)) if rows else np.zeros((0, size))
-        held = docs.sparkSession.sparkContext.broadcast((names, wanted, matrix))
+        alike = defaultdict(list)
+        for r in part.where("vector is not null").collect():  # a block
+            alike[tuple((c, str(v)) for c in filters if (v := dict(r["filters"] or {}).get(c)) is not None)].append(r)
+        groups = [(w, [r["question_id"] for r in rows], _unit(np.array([r["vector"] for r in rows], float))) for w, rows in alike.items()]
+        held = docs.sparkSession.sparkContext.broadcast(groups)
 
         def run(batches: Iterator[pa.RecordBatch], held=held):
-            names, wanted, matrix = held.value
-            best: list[list[tuple]] = [[] for _ in names]
+            best: list[list[list[tuple]]] = [[[] for _ in names] for _, names, _ in held.value]
+            floors = [np.where(matrix.any(axis=1), -2.0, np.inf) for _, _, matrix in held.value]
             for batch in batches:
-                keep = [j for j, v in enumerate(batch.column("vector").to_pylist()) if v]
-                if not keep or not names:
+                vectors = batch.column("vector").to_pylist()
+                keep = [j for j, v in enumerate(vectors) if v and any(v)]
+                if not keep:
                     continue
-                own = _unit(np.array([batch.column("vector")[j].as_py() for j in keep], float))
-                scores = np.round(matrix @ own.T, 6)
-                ids = [batch.column("doc_id")[j].as_py() for j in keep]
-                fits = np.ones(scores.shape, bool)
-                for c in filters:
-                    have = np.array([str(batch.column(c)[j].as_py()) for j in keep])
-                    for q, w in enumerate(wanted):
-                        if w.get(c) is not None:
-                            fits[q] &= have == str(w[c])
-                order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(np.array(ids))), scores.shape), -np.where(fits, scores, -2.0)), axis=1)[:, :k]
-                for q in range(len(names)):
-                    for j in order[q].tolist():
-                        if fits[q, j] and own[j].any() and matrix[q].any():
-                            heapq.heappush(best[q], (float(scores[q, j]), _Last(ids[j])))
-                            if len(best[q]) > k:
-                                heapq.heappop(best[q])
-            found = [(names[q], x.value, s) for q, rows in enumerate(best) for s, x in rows]
-            columns = list(zip(*found, strict=True)) or [[]] * 3
+                own = _unit(np.array([vectors[j] for j in keep], float))
+                ids = batch.column("doc_id").take(pa.array(keep)).to_pylist()
+                have = {c: np.array([str(x) for x in batch.column(c).take(pa.array(keep)).to_pylist()]) for c in filters}
+                for (wants, _, matrix), found, floor in zip(held.value, best, floors, strict=True):
+                    fits = np.ones(len(keep), bool)
+                    for c, value in wants:
+                        fits &= have[c] == value
+                    rows, many = np.flatnonzero(fits), max(1, SCORES // len(matrix))
+                    for some in (rows[at : at + many] for at in range(0, len(rows), many)):
+                        scores = np.round(matrix @ own[some].T, 6)
+                        for q in np.flatnonzero(scores.max(axis=1) >= floor).tolist():
+                            at = np.flatnonzero(scores[q] >= max(floor[q], np.partition(scores[q], -min(k, len(some)))[-min(k, len(some))]))
+                            new = [(-float(scores[q, j]), (x := ids[some[j]]) is None, x) for j in at.tolist()]
+                            found[q] = sorted(found[q] + new)[:k]
+                            if len(found[q]) == k:
+                                floor[q] = -found[q][-1][0]
+            rows = [(name, x, -s) for (_, names, _), found in zip(held.value, best, strict=True) for name, own in zip(names, found, strict=True) for s, _, x in own]
+            columns = list(zip(*rows, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], arrow[0]), pa.array(columns[1], arrow[1]), pa.array(columns[2], pa.float64())], names=schema.names)
 
         scored = docs.select("doc_id", "vector", *filters).mapInArrow(run, schema)

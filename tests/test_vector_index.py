@@ -87,3 +87,20 @@ def test_recall_of_probed_cells(spark):
     assert {(r["question_id"], r["doc_id"]) for r in vector_index.search_cells(index, asked, probes=probes, exact=False).collect()} == want
     assert vector_index.probes_for(index, asked.limit(0)) == len(index.centers)
     assert recall >= 0.9
+
+
+def test_search_in_bounded_pieces(spark):
+    """Questions in several groups and blocks against brute force, with ties, nulls and zero vectors, and few scores at a time."""
+    draw = np.random.default_rng(4)
+    rows = [(i, draw.integers(-2, 3, 4).astype(float).tolist() if i % 13 else None, "abc"[i % 3]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, vector array<double>, label string")
+    asked = [(i, v, {"label": lab} if i % 2 else None) for i, v, lab in rows if i % 5 == 0]
+    questions = spark.createDataFrame(asked, "question_id long, vector array<double>, filters map<string,string>")
+    cosine = lambda x, y: round(float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)), 6)
+    want = {}
+    for q, v, f in asked:
+        near = sorted((-cosine(v, w), d) for d, w, lab in rows if v and w and any(v) and any(w) and (not f or f["label"] == lab))
+        want |= {(q, place + 1): (d, -s) for place, (s, d) in enumerate(near[:5])}
+    got = retrieval.search_vectors(questions, docs, ["label"], dots=100).collect()
+    assert {(r["question_id"], r["rank"]): (r["doc_id"], r["score"] + 0.0) for r in got} == {k: (d, s + 0.0) for k, (d, s) in want.items()}
+    assert retrieval.SCORES <= 10**6 and vector_index.NUMBERS <= 10**6  # what a task's memory grows to, whatever the tables' size
