@@ -34,7 +34,7 @@ PROBES = 4
 #: What a bound may be wrong by: scores are rounded to six digits, angles near zero are known to about 10^-8.
 SLACK = 1e-6
 #: Scores that a task computes at once.
-NUMBERS = 4_000_000
+NUMBERS = 500_000
 
 
 @dataclass(frozen=True)
@@ -172,7 +172,7 @@ def cell_bounds(index: VectorIndex, questions: np.ndarray) -> tuple[np.ndarray,
     return angles, np.where(index.rows > 0, most, -2.0)
 
 
-def search_cells(index: VectorIndex, questions: DataFrame, k: int = 5, probes: int = PROBES, exact: bool = True, dots: int = 20_000_000) -> DataFrame:
+def search_cells(index: VectorIndex, questions: DataFrame, k: int = 5, probes: int = PROBES, exact: bool = True, dots: int = 5_000_000) -> DataFrame:
     """(question_id, doc_id, score, rank) of the k indexed vectors nearest by cosine to each question (question_id, unique; vector; and
     filters, a map of wanted values, if there is one) among those with the values that it wants.
 
@@ -184,7 +184,7 @@ def search_cells(index: VectorIndex, questions: DataFrame, k: int = 5, probes: i
     return _search(index, questions, k, probes, exact, dots).drop("cell")
 
 
-def probes_for(index: VectorIndex, questions: DataFrame, k: int = 5, recall: float = 0.95, dots: int = 20_000_000) -> int:
+def probes_for(index: VectorIndex, questions: DataFrame, k: int = 5, recall: float = 0.95, dots: int = 5_000_000) -> int:
     """How many of the nearest cells hold this share of the k nearest of the questions, which stand for those to come.
 
     The k nearest are searched exactly; what counts is at which place their cells stand in each question's order of centers. The
