@@ -185,3 +185,20 @@ def test_query_matches_sql(spark, name):
     cols = sorted(got.columns)
     want = con.sql(people.ORACLE_SQL[name]).select(", ".join(cols)).fetchall()
     assert sorted(map(str, map(tuple, got.select(*cols).collect()))) == sorted(map(str, want)) and want
+
+
+def test_pairs_come_once_without_a_shuffle(spark):
+    """Pairs of several shared blocks, of pieces of a large block and of repeated ids come once, and are not made distinct afterwards."""
+    from kgspark.operators import resolution
+
+    rows = [(i % 2300, f"n{i % 3} x", f"d{i % 2300 // 5}", "s", [f"h{i % 2300 // 4}.co"], []) for i in range(2310)]
+    people = spark.createDataFrame(rows, "id long, name string, source_doc_id string, doc_source_type string, domains array<string>, identifiers array<string>")
+    blocks = {}
+    for i, name, doc, _, (host,), _ in rows:
+        for block in ("n:" + name, "d:" + doc, "h:" + host):
+            blocks.setdefault(block, set()).add(i)
+    want = {(a, b) for ids in blocks.values() for a in ids for b in ids if a < b}
+    pairs = resolution.candidate_pairs(people, max_block=10, across=True)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Distinct" not in plan
+    assert pairs.count() == len(want) and pairs.where("a < b").distinct().count() == len(want)
