@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 from bisect import bisect_right
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -210,3 +211,66 @@ def nearest_names(asked: DataFrame, names: DataFrame, threshold: float) -> DataF
     if found is None:
         found = asked.sparkSession.createDataFrame([], f"m string, entity_id {names.schema['entity_id'].dataType.simpleString()}, score double")
     return found
+
+
+def _letters(names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each name how often it has each letter (letters are put together by 64 at most), its first letters, and its length."""
+    size = np.array([len(x) for x in names], np.int64)
+    codes = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), "<u4")
+    counts = np.zeros((len(names), 64), np.int32)
+    np.add.at(counts, (np.repeat(np.arange(len(names)), size), codes % 64), 1)
+    heads = np.array([[ord(c) for c in x[:PREFIX]] + [-1] * (PREFIX - len(x[:PREFIX])) for x in names], np.int64).reshape(-1, PREFIX)
+    return counts.astype(np.uint8) if counts.max(initial=0) < 256 else counts, heads, size
+
+
+def near_in_tile(left: list[str], right: list[str], threshold: float, same: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs of left and right with a Jaro-Winkler similarity of threshold and more. same: left is right, pairs come once.
+
+    Names with too few letters in common, wherever these stand, are never scored.
+    """
+    (x, head, n), (y, other, m) = _letters(left), _letters(right)
+    used = np.flatnonzero(x.any(axis=0) & y.any(axis=0))
+    for start in range(0, len(left), 64):
+        part = slice(start, start + 64)
+        common = np.zeros((len(n[part]), len(m)), np.int32)
+        for c in used:
+            common += np.minimum(x[part, c, None], y[None, :, c])
+        size = n[part, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            jaro = np.where(common > 0, (common / size + common / m + 1) / 3, 0.0)
+        jaro[(size == 0) & (m == 0)] = 1.0
+        shared, alike = np.zeros(common.shape, np.int8), np.ones(common.shape, bool)
+        for k in range(PREFIX):
+            alike &= (head[part, k, None] == other[None, :, k]) & (head[part, k, None] >= 0)
+            shared += alike
+        a, b = np.nonzero(jaro + SCALE * shared * (1 - jaro) >= threshold - 1e-9)
+        a += start
+        if same:
+            a, b = a[a < b], b[a < b]
+        for k in range(0, len(a), 1 << 16):
+            i, j = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+            kept = jaro_winkler_batch([left[q] for q in i], [right[q] for q in j]) >= threshold - 1e-9
+            yield i[kept], j[kept]
+
+
+def near_in_pieces(names: DataFrame, threshold: float) -> DataFrame:
+    """(block, a, b): all pairs of names (block, id: the name in lower case, trimmed; piece, pieces) of one block with that similarity.
+
+    Each piece of a block meets each other one in a tile of its own: a task holds the names of one tile at a time.
+    """
+    rows = cut(names.groupBy("block", "piece", "pieces").agg(F.collect_list("id").alias("held")), "pieces")
+    left = rows.select("block", F.col("piece").alias("i"), F.explode(F.sequence("piece", F.col("pieces") - 1)).alias("j"), F.col("held").alias("x"))
+    tiles = left.hint("merge").join(rows.select("block", F.col("piece").alias("j"), F.col("held").alias("y")), ["block", "j"])
+    # by number, as tiles are few bytes but much work
+    tiles = tiles.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block", "i", "j").select("block", "i", "j", "x", "y")
+    schema = "block string, a string, b string"
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block, i, j, x, y = (batch.column(c)[k].as_py() for c in range(5))
+                for a, b in near_in_tile(x, y, threshold, i == j):
+                    found = [pa.array([block] * len(a)), pa.array([x[q] for q in a]), pa.array([y[q] for q in b])]
+                    yield pa.RecordBatch.from_arrays([c.cast(pa.string()) for c in found], names=["block", "a", "b"])
+
+    return tiles.mapInArrow(run, schema)
