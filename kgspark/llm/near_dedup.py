@@ -7,8 +7,9 @@ correlated bits; integer thresholds with sum(t_i) = RADIUS - m + 1 are allocated
 estimated candidate counts. All pairs within RADIUS bits share a key within t_i bits of some partition; of pairs beyond it most
 do (estimated_recall). Candidates whose fingerprints are too far apart are left, and the others are verified exactly.
 
-Links serve to find components. So all sets that meet under a key are compared with one of them first, and then only with sets of
-other components: a group of near copies of any size takes work in proportion. Where many sets of several components share a
+Links serve to find components. So of all sets that meet under a key one is the pivot: each set is verified with the nearest pivot of
+its own keys alone, then with pivots of other components only, and then with other sets of other components: a group of near
+copies of any size takes work in proportion, and few pairs a set. Where many sets of several components share a
 key, those that have a rare shingle in common are compared: two sets with similarity s have one among the first x - sx + 1 of
 each, x being its size, in any one order of all shingles.
 """
@@ -228,15 +229,39 @@ def keyed(classes: DataFrame, parts: list[tuple[list[int], int]], own: bool) ->
     return classes.select("n", "component", *_WORDS).mapInArrow(run, "key long, n long, s0 long, s1 long, component long")
 
 
-def _meet(left: DataFrame, right: DataFrame, apart: bool) -> DataFrame:
-    """Pairs (a, b) of different sets under one key with near sketches; apart: of different components only."""
+def _meet(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of different components under one key with near sketches."""
     sides = [rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("n", "s0", "s1", "component")]) for rows, x in ((left, "a"), (right, "b"))]
-    wanted = F.col("component_a") != F.col("component_b") if apart else F.col("n_a") != F.col("n_b")
+    wanted = F.col("component_a") != F.col("component_b")
     wanted &= F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) <= SKETCH
     met = sides[0].hint("merge").join(sides[1], "key").where(wanted)
     return met.select(F.least("n_a", "n_b").alias("a"), F.greatest("n_a", "n_b").alias("b"))
 
 
+def _pivots(own: DataFrame) -> DataFrame:
+    """One row of own for each key: of its sets the one with the least hash."""
+    first = F.min(F.struct(F.xxhash64("n").alias("h"), "n", "s0", "s1", "component")).alias("p")
+    return own.groupBy("key").agg(first).select("key", "p.n", "p.s0", "p.s1", "p.component")
+
+
+def _nearest_pivots(pivots: DataFrame, own: DataFrame) -> DataFrame:
+    """Pairs (a, b): each set with one other, of the pivots of its keys the one with the nearest sketch."""
+    left, right = (rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("n", "s0", "s1")]) for rows, x in ((pivots, "a"), (own, "b")))
+    bits = F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b")))
+    met = left.hint("merge").join(right, "key").where((F.col("n_a") != F.col("n_b")) & (bits <= SKETCH))
+    best = met.groupBy("n_b").agg(F.min(F.struct(bits.alias("bits"), "n_a")).getField("n_a").alias("n_a"))
+    return best.select(F.least("n_a", "n_b").alias("a"), F.greatest("n_a", "n_b").alias("b"))
+
+
+def _grouped(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(n, component, f0...) of classes by edges."""
+    components = cut(connected_components(edges).select(F.col("node").alias("own_n"), "component"), "components")
+    grouped = classes.hint("merge").join(components, F.col("n") == F.col("own_n"), "left").withColumn("component", F.coalesce("component", "n"))
+    grouped = cut(grouped.select("n", "component", *_WORDS), "grouped")
+    release(classes.sparkSession)
+    return grouped
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, threshold: float) -> DataFrame:
     """(src, dst): those of pairs whose sets are similar. All bits are compared first, then the sets."""
     pairs = cut(pairs.distinct(), "pairs")
@@ -288,21 +313,19 @@ def link_sets(
 ) -> DataFrame:
     """Edges (src, dst) between classes (n, c1, c2, least, f0...) with similar sets."""
     parts = choose_partitions(classes, radius)
-    alone = classes.withColumn("component", F.col("n"))
-    own, near = keyed(alone, parts, own=True), keyed(alone, parts, own=False)
-    first = own.groupBy("key").agg(F.min(F.struct(F.xxhash64("n").alias("h"), "n", "s0", "s1", "component")).alias("p")).select("key", "p.n", "p.s0", "p.s1", "p.component")
-    edges = _verified(_meet(first, own.union(near), apart=False), docs, classes, width, threshold)
-    components = cut(connected_components(edges).select(F.col("node").alias("own_n"), "component"), "components")
-    grouped = classes.hint("merge").join(components, F.col("n") == F.col("own_n"), "left").withColumn("component", F.coalesce("component", "n"))
-    grouped = cut(grouped.select("n", "component", *_WORDS), "grouped")
-    release(docs.sparkSession)
+    own = keyed(classes.withColumn("component", F.col("n")), parts, own=True)
+    edges = _verified(_nearest_pivots(_pivots(own), own), docs, classes, width, threshold)
+    grouped = _grouped(classes, edges)
+    own, near = keyed(grouped, parts, own=True), keyed(grouped, parts, own=False)
+    edges = edges.union(_verified(_meet(_pivots(own), own.union(near)), docs, classes, width, threshold))
+    grouped = _grouped(classes, edges)
     own, near = keyed(grouped, parts, own=True), keyed(grouped, parts, own=False)
     hot_key = max(hot_key, 16 * classes.count() >> min(len(g) for g, _ in parts))
     hot = cut(own.groupBy("key").agg(F.count("*").alias("sets")).where(F.col("sets") > hot_key).select("key"), "hot")
     if hot.isEmpty():
-        return edges.union(_verified(_meet(own, own.union(near), apart=True), docs, classes, width, threshold))
+        return edges.union(_verified(_meet(own, own.union(near)), docs, classes, width, threshold))
     plain = own.hint("merge").join(hot, "key", "left_anti")
-    links = edges.union(_verified(_meet(plain, own.union(near), apart=True), docs, classes, width, threshold))
+    links = edges.union(_verified(_meet(plain, own.union(near)), docs, classes, width, threshold))
     every = own.union(near).hint("merge").join(hot, "key", "left_semi")
     mixed_keys = every.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
     every = every.hint("merge").join(cut(mixed_keys, "mixed"), "key", "left_semi")
