@@ -9,23 +9,36 @@ from pyspark.sql import functions as F
 from kgspark.functions.scalars import stable_id
 from kgspark.shared import cut
 
+#: Nodes of a frontier up to which they are broadcast to the tasks that read edges.
+HELD_NODES = 1_000_000
+
 
 def expand(seeds: DataFrame, edges: DataFrame, hops: int = 2, limit: int = 50) -> DataFrame:
     """(question_id, node, hop) of nodes within so many hops of the seeds (question_id, node), over undirected edges (src, dst).
 
     Each node passes on its `limit` smallest neighbours.
     """
-    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
-    near = cut(both.withColumn("r", F.row_number().over(W.partitionBy("src").orderBy("dst"))).where(F.col("r") <= limit).drop("r"), "near")
     seen = seeds.select("question_id", "node").distinct().withColumn("hop", F.lit(0))
     frontier = seen
     for hop in range(1, hops + 1):
-        step = frontier.join(near.withColumnRenamed("src", "node"), "node").select("question_id", F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(seen, ["question_id", "node"], "left_anti").withColumn("hop", F.lit(hop)), "frontier")
+        asked = cut(frontier.select(F.col("node").alias("src")).distinct(), "asked")
+        near = cut(_neighbours(edges, asked, limit), "near")
+        step = frontier.hint("merge").join(near.withColumnRenamed("src", "node"), "node").select("question_id", F.col("dst").alias("node")).distinct()
+        frontier = cut(step.hint("merge").join(seen, ["question_id", "node"], "left_anti").withColumn("hop", F.lit(hop)), "frontier")
         seen = seen.unionByName(frontier)
     return seen
 
 
+def _neighbours(edges: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
+    """(src, dst): of each of asked (src; a written table) its `limit` smallest neighbours. Other nodes' edges are left where they are read."""
+    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst")
+    # few nodes are sent to all tasks, so that other edges are never shuffled
+    few = asked.limit(HELD_NODES + 1).count() <= HELD_NODES
+    own = both.join(F.broadcast(asked), "src", "left_semi") if few else both.hint("merge").join(asked, "src", "left_semi")
+    ranked = own.distinct().withColumn("r", F.row_number().over(W.partitionBy("src").orderBy("dst")))
+    return ranked.where(F.col("r") <= limit).select("src", "dst")
+
+
 def answer_confidence(n_support: Column, n_evidence: Column, mean_link: Column, fallback: Column, disputed: Column) -> Column:
     raw = F.least(n_support / 10, F.lit(1.0)) * 0.35 + F.least(n_evidence / 5, F.lit(1.0)) * 0.25 + mean_link * 0.30
     raw = raw - fallback.cast("int") * 0.15 - disputed.cast("int") * 0.25
