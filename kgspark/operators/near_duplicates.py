@@ -19,6 +19,8 @@ from kgspark.shared import cut
 
 #: Words of a shingle.
 WIDTH = 5
+#: Documents that are compared up to which their ids are broadcast to the tasks that read texts.
+HELD_IDS = 1_000_000
 
 
 def shingle_hashes(text: str, width: int = WIDTH) -> np.ndarray:
@@ -37,13 +39,14 @@ def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     return draw(), draw()
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = 25, rows: int = 5) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = 25, rows: int = 5, grams: bool = True) -> DataFrame:
     """(id, s1, s2, grams: sorted distinct shingle hashes, bands: a hash of each band of the MinHash signature).
 
-    s1 and s2 are hashes of the set. Texts without tokens are left out.
+    s1 and s2 are hashes of the set. Texts without tokens are left out. grams: False leaves out that column, the largest by far.
     """
+    with_grams = grams
     fields = [("s1", T.LongType()), ("s2", T.LongType()), ("grams", T.ArrayType(T.LongType())), ("bands", T.ArrayType(T.LongType()))]
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(n, t) for n, t in fields]])
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(n, t) for n, t in fields if grams or n != "grams"]])
     factor, summand = permutations(bands * rows)
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -59,31 +62,56 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 raw = own.tobytes()
                 keep.append(i)
                 names.append((xxhash.xxh64_intdigest(raw, 1), xxhash.xxh64_intdigest(raw, 2)))
-                grams.append(own.view("<i8"))
+                grams.append(own.view("<i8") if with_grams else None)
                 keys.append(np.array([xxhash.xxh64_intdigest(least[j * rows : (j + 1) * rows].tobytes(), j) for j in range(bands)], "<u8").view("<i8"))
             pair = np.array(names, "<u8").view("<i8").reshape(-1, 2)
             arrays = [batch.column("id").take(pa.array(keep, pa.int64())), pa.array(pair[:, 0]), pa.array(pair[:, 1])]
-            yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(x, pa.list_(pa.int64())) for x in (grams, keys)]], names=schema.names)
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in ((grams, keys) if with_grams else (keys,))]
+            yield pa.RecordBatch.from_arrays([*arrays, *lists], names=schema.names)
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def shingle_sets(docs: DataFrame, few: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, s1, s2, grams) of the documents whose id is among few (id, distinct; a written table), as signatures has them."""
+    kind = docs.schema[id_col].dataType
+    schema = T.StructType([T.StructField("id", kind), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            found = [shingle_hashes(text or "") for text in batch.column("text").to_pylist()]
+            keep = [i for i, own in enumerate(found) if len(own)]
+            names = np.array([(xxhash.xxh64_intdigest(found[i].tobytes(), 1), xxhash.xxh64_intdigest(found[i].tobytes(), 2)) for i in keep], "<u8").view("<i8").reshape(-1, 2)
+            arrays = [batch.column("id").take(pa.array(keep, pa.int64())), pa.array(names[:, 0]), pa.array(names[:, 1])]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([found[i].view("<i8") for i in keep], pa.list_(pa.int64()))], names=schema.names)
+
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # few ids are sent to all tasks that read texts, so that no other text is shuffled
+    held = few.limit(HELD_IDS + 1).count() <= HELD_IDS
+    chosen = texts.join(F.broadcast(few), "id", "left_semi") if held else texts.hint("merge").join(few, "id", "left_semi")
+    return chosen.mapInArrow(run, schema)
+
+
 def near_duplicate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 25, rows: int = 5) -> DataFrame:
     """(a, b, similarity), a < b, between distinct shingle sets; equal sets are one class, paired with its smallest id.
 
     Pairs that share no band are not found: at a similarity of 0.8 one in 20,000.
     """
-    signed = cut(signatures(docs, id_col, text_col, bands, rows), "signed")
+    signed = cut(signatures(docs, id_col, text_col, bands, rows, grams=False), "signed")
     classes = cut(signed.groupBy("s1", "s2").agg(F.min("id").alias("a")), "sets")
     same = signed.select("s1", "s2", F.col("id").alias("b")).hint("merge").join(classes, ["s1", "s2"]).where("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
-    heads = cut(signed.hint("merge").join(classes.select(F.col("a").alias("id")), "id", "left_semi").select("id", "grams", "bands").dropDuplicates(["id"]), "heads")
-    banded = cut(heads.select("id", F.explode("bands").alias("band")), "banded")
+    heads = signed.hint("merge").join(classes.select(F.col("a").alias("id")), "id", "left_semi")
+    heads = heads.groupBy("id").agg(F.min(F.struct("s1", "s2", "bands")).alias("own"))  # of several texts under one id the least
+    banded = cut(heads.select("id", F.explode("own.bands").alias("band")), "banded")
     shared = cut(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "shared")
     banded = cut(banded.hint("merge").join(shared, "band", "left_semi"), "met")
     pairs = banded.withColumnRenamed("id", "a").hint("merge").join(banded.withColumnRenamed("id", "b"), "band").where("a < b").select("a", "b").distinct()
     pairs = cut(pairs, "pairs")
-    few = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = cut(heads.select("id", "grams").hint("merge").join(few, "id", "left_semi"), "grams")
+    few = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "few")
+    # sets are made anew from the texts of those that are compared, and are never written for others
+    own = cut(signed.hint("merge").join(few, "id", "left_semi").groupBy("id").agg(F.min(F.struct("s1", "s2")).alias("own")).select("id", "own.*"), "own")
+    sets = shingle_sets(docs, few, id_col, text_col).hint("merge").join(own, ["id", "s1", "s2"], "left_semi")
+    sets = cut(sets.groupBy("id").agg(F.first("grams").alias("grams")), "grams")
     left, right = (sets.select(F.col("id").alias(c), F.col("grams").alias(g)) for c, g in (("a", "x"), ("b", "y")))
     both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b")
     common = F.size(F.array_intersect("x", "y"))
