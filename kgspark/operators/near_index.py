@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.operators.components import connected_components
-from kgspark.operators.near_duplicates import signatures
+from kgspark.operators.near_duplicates import shingle_sets, signatures
 from kgspark.operators.resolution_index import _get, _labels, _put
 from kgspark.shared import cut, discard, shared_dir
 
@@ -58,17 +58,18 @@ def _without(rows: DataFrame, known: DataFrame | None, key: str) -> DataFrame:
     return rows if known is None else rows.hint("merge").join(known.select(key).distinct(), key, "left_anti")
 
 
-def _alike(index: NearIndex, pairs: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Of pairs (a, la, b, lb) of sets those that reach the threshold: (la, lb). fresh: the batch's own sets (node, grams)."""
+def _alike(index: NearIndex, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Of pairs (a, la, b, lb) of sets those that reach the threshold: (la, lb). The index has the batch's own sets already."""
     pairs = cut(pairs.groupBy("a", "b").agg(F.first("la").alias("la"), F.first("lb").alias("lb")), "pairs")
     nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    sets = fresh.select("node", "grams").hint("merge").join(nodes, "node", "left_semi")
-    old = _get(index, pairs.sparkSession, "sets", "node", nodes)
-    sets = cut(sets if old is None else sets.unionByName(old), "grams")
+    found = _get(index, pairs.sparkSession, "sets", "node", nodes)
+    if found is None:  # no set was ever added
+        return pairs.select("la", "lb").limit(0)
+    sets = cut(found, "grams")
     left, right = (sets.select(F.col("node").alias(c), F.col("grams").alias(g)) for c, g in (("a", "x"), ("b", "y")))
     both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b")
     common = F.size(F.array_intersect("x", "y"))
-    out = cut(both.where(common / (F.size("x") + F.size("y") - common) >= index.threshold).select("la", "lb").distinct(), "links")
+    out = cut(both.where(common / (F.size("x") + F.size("y") - common) >= threshold).select("la", "lb").distinct(), "links")
     for used in (pairs, nodes, sets):
         discard(used)
     return out
@@ -79,12 +80,12 @@ def _relabelled(rows: DataFrame, found: DataFrame) -> DataFrame:
     return moved.withColumn("label", F.coalesce("component", "label")).drop("component")
 
 
-def _links(index: NearIndex, met: DataFrame, fresh: DataFrame) -> DataFrame:
+def _links(index: NearIndex, met: DataFrame) -> DataFrame:
     """(la, lb): links between the labels of sets that share a band. met: band, node, is_new, label."""
     first = F.min(F.struct("is_new", "node", "label")).alias("first")  # of before, if there is one
     pivots = met.groupBy("band").agg(first).select("band", F.col("first.node").alias("b"), F.col("first.label").alias("lb"))
     new = met.where("is_new").select("band", F.col("node").alias("a"), F.col("label").alias("la"))
-    near = _alike(index, new.hint("merge").join(pivots, "band").where("la <> lb").select("a", "la", "b", "lb"), fresh)
+    near = _alike(index, new.hint("merge").join(pivots, "band").where("la <> lb").select("a", "la", "b", "lb"), index.threshold)
     rows = _relabelled(met, connected_components(near, "la", "lb"))
     sizes = rows.groupBy("band", "label").agg(F.count("*").alias("rows"))
     sizes = sizes.groupBy("band").agg(F.max(F.struct("rows", "label")).getField("label").alias("main"), F.count("*").alias("parts"))
@@ -94,7 +95,7 @@ def _links(index: NearIndex, met: DataFrame, fresh: DataFrame) -> DataFrame:
     right = rows.select(F.col("band").alias("band_b"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("outside").alias("p"), F.col("is_new").alias("q"))
     once = (F.col("band") == F.col("band_b")) & (F.col("la") != F.col("lb")) & (~F.col("q") | (F.col("a") < F.col("b")))
     parts = [left.where(o).hint("merge").join(right.where(p), once).select("a", "la", "b", "lb") for o, p in (("o", "true"), ("not o", "p"))]
-    return near.union(_alike(index, parts[0].union(parts[1]), fresh))
+    return near.union(_alike(index, parts[0].union(parts[1]), index.threshold))
 
 
 def add_documents(index: NearIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> NearIndex:
@@ -105,14 +106,19 @@ def add_documents(index: NearIndex, docs: DataFrame, id_col: str = "doc_id", tex
     have ids of one type.
     """
     spark = docs.sparkSession
-    signed = cut(signatures(docs, id_col, text_col, index.bands, index.rows).where("id is not null").withColumn("node", _name("s1", "s2")), "signed")
+    signed = cut(signatures(docs, id_col, text_col, index.bands, index.rows, grams=False).where("id is not null").withColumn("node", _name("s1", "s2")), "signed")
     members = cut(signed.groupBy("id").agg(F.min("node").alias("node")), "members")
     known = _get(index, spark, "members", "id", members)
     if known is not None:
         members = cut(_without(members, known, "id"), "members")
     nodes = cut(members.select("node").distinct(), "nodes")
-    heads = signed.hint("merge").join(nodes, "node", "left_semi").select("node", "grams", "bands").dropDuplicates(["node"])
+    heads = signed.hint("merge").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
     fresh = cut(_without(heads, _get(index, spark, "sets", "node", nodes), "node"), "fresh")
+    # a set's shingles are made once, from the text of one document, and go to the index's files
+    ids = cut(fresh.select("id").distinct(), "ids")
+    sets = shingle_sets(docs, ids, id_col, text_col).withColumn("node", _name("s1", "s2"))
+    sets = sets.select("id", "node", "grams").hint("merge").join(fresh.select("id", "node"), ["id", "node"], "left_semi").select("node", "grams")
+    index = _put(index, "sets", sets.dropDuplicates(["node"]), "node", fresh.isEmpty())
     banded = cut(fresh.select("node", F.explode("bands").alias("band")).distinct(), "banded")
     met = banded.withColumn("is_new", F.lit(True)).withColumn("label", F.col("node"))
     older = _get(index, spark, "bands", "band", banded)
@@ -123,8 +129,8 @@ def add_documents(index: NearIndex, docs: DataFrame, id_col: str = "doc_id", tex
     met = cut(met, "met")
     shared = met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     met = cut(met.hint("merge").join(shared, "band", "left_semi"), "met")
-    found = cut(connected_components(_links(index, met, fresh), "la", "lb"), "found")
-    grown = _put(_put(_put(index, "members", members, "id"), "sets", cut(fresh.select("node", "grams"), "sets"), "node"), "bands", banded, "band")
+    found = cut(connected_components(_links(index, met), "la", "lb"), "found")
+    grown = _put(_put(index, "members", members, "id"), "bands", banded, "band")
     grown = _put(grown, "pointers", cut(found.where("node <> component"), "pointers"), "node")
     own = members.hint("merge").join(_labels(grown, nodes.select(F.col("node").alias("id"))).withColumnRenamed("id", "node"), "node")
     own = cut(own.select("label", F.col("id").alias("least"), F.lit(1).cast("long").alias("n")), "own")
