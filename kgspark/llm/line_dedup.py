@@ -6,8 +6,8 @@ multi-match-aware rule leaves (12 for k = 2). Candidates are verified with Spark
 a band of 2k + 1 diagonals. Lines of up to k characters have no k + 1 segments: they are all within k edits of each other, and
 longer lines within k edits of them leave a common string if up to k characters of each are deleted.
 
-Links serve to find classes, so that not all pairs of a dense group are needed: where many lines share a segment, they are
-compared with a few pivots first, and then only lines of different classes with each other.
+Links serve to find classes, so that not all pairs of a dense group are needed: lines that share a segment are compared with a
+few pivots of it first, in rounds, and then only lines of different classes with each other.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ from kgspark.shared import cut, discard, release
 
 #: Edits up to which lines are linked.
 EDITS = 2
-#: Lines that share a segment above which they are compared with PIVOTS of them first.
-HOT_KEY, PIVOTS = 32, 2
-#: Segments of the finer cut that pairs of a hot segment are looked at with before their edit distance is computed.
-FINE = 8
+#: Lines of each segment that the others are compared with at once; how often others are taken at most, and of segments that more
+#: indexed lines share than HOT_KEY only.
+PIVOTS, ROUNDS, HOT_KEY = 2, 4, 32
+#: Characters, up to 64: whether each stands in a line an odd number of times is compared first. An edit changes that of two at most.
+COUNTED = " etaoinsrhldcumpbfgvwy0123456789.,éèäüóñ"
 #: What is trimmed from both ends of a line.
 BLANKS = " \t\r"
 
@@ -76,15 +77,22 @@ def probe_keys(line: Column, length: Column, k: int) -> list[Column]:
     return keys
 
 
-def moved_keys(line: Column, length: Column, pieces: int, k: int) -> list[Column]:
-    """Keys of all substrings that can equal one of so many segments of a line up to k edits away and not longer."""
-    keys = []
-    for shorter in range(k + 1):
-        for i in range(pieces):
-            start, size = segment(length - shorter, i, pieces - 1)
-            moves = [m for m in range(-k, k + 1) if abs(m) + abs(shorter - m) <= k]
-            keys += [_key(line, length - shorter, i, start + m, size) for m in moves]
-    return keys
+def odd_counts(line: Column) -> Column:
+    """A bit for each of COUNTED: set if it stands in the line an odd number of times."""
+    many = [F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))) for c in COUNTED]
+    return sum((F.shiftleft(n.cast("long").bitwiseAND(F.lit(1).cast("long")), i) for i, n in enumerate(many)), F.lit(0).cast("long"))
+
+
+def _side(rows: DataFrame, n: str, line: str, *more: Column | str) -> DataFrame:
+    """rows for a comparison: key, n, line and odd under the names of this side."""
+    return rows.select(*[F.col(c).alias(f"{c}_{n}") for c in ("key", "odd")], F.col("n").alias(n), F.col("line").alias(line), *more)
+
+
+def _compared(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """(src, dst): pairs of a and b of different components (c and d) under one key that are within k edits; only they leave the join."""
+    apart = (F.col("key_a") == F.col("key_b")) & (F.col("c") != F.col("d"))
+    alike = F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b"))) <= 2 * k
+    return left.hint("merge").join(right, apart & alike & (F.levenshtein("x", "y", k) >= 0)).select(*_ordered())
 
 
 def _exploded(lines: DataFrame, name: str, keys: list[Column]) -> DataFrame:
@@ -130,71 +138,69 @@ def edit_links(lines: DataFrame, k: int = EDITS, hot_key: int = HOT_KEY) -> Data
 
 
 def segment_links(lines: DataFrame, k: int = EDITS, hot_key: int = HOT_KEY) -> DataFrame:
-    """edit_links of the lines over k characters. All pairs are compared that share a segment which at most hot_key lines share."""
+    """edit_links of the lines over k characters.
+
+    The join of keys has one row for each indexed key, so that a probe passes at most once, however many lines share it. Only
+    what passes is compared, with its text, under its key.
+    """
     spark = lines.sparkSession
     longer = lines.where(F.length("line") > k).withColumn("length", F.length("line"))
     indexed = _exploded(longer, "a", index_keys(F.col("line"), F.col("length"), k))
-    probes = _exploded(longer, "b", probe_keys(F.col("line"), F.col("length"), k))
-    hot = cut(indexed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_key).select("key"), "hot")
-    some_hot = not hot.isEmpty()
-    few_keys = hot.hint("shuffle_hash")  # so that the many rows of the other side need no sort
-    plain = indexed.join(few_keys, "key", "left_anti") if some_hot else indexed
-    # probes are dealt out once: a mark for each hot key lets its probes through too
-    left = plain.select("a", "key").union(hot.select(F.lit(-1).cast("long").alias("a"), "key")) if some_hot else plain
-    joined = cut(left.hint("shuffle_hash").join(probes, "key").where("a <> b").select("a", "b", "key"), "joined")
-    release(spark)
-    candidates = cut(joined.where("a >= 0").select(*_ordered()).distinct(), "candidates")
-    few = candidates.select(F.explode(F.array("src", "dst")).alias("n"))
-    if some_hot:
-        rows = indexed.join(few_keys, "key", "left_semi").select("key", F.col("a").alias("n"), F.lit(True).alias("own"))
-        rows = cut(rows.union(joined.where("a < 0").select("key", F.col("b").alias("n"), F.lit(False).alias("own"))), "hot-rows")
-        few = few.union(rows.select("n"))
+    probes = _exploded(longer, "b", probe_keys(F.col("line"), F.col("length"), k))  # a line's own keys are among them
+    ends = indexed.groupBy("key").agg(F.min("a").alias("least"), F.max("a").alias("most"))
+    met = ends.hint("shuffle_hash").join(probes, "key").where("least <> b or most <> b")
+    met = cut(met.select("key", F.col("b").alias("n"), F.when(F.col("least") == F.col("most"), F.col("least")).alias("only")), "met")
     release(spark)
+    rows = cut(met.select("key", "n").union(met.where("only is not null").select("key", "only")).distinct(), "rows")
+    own = F.array_contains(F.array(*index_keys(F.col("line"), F.length("line"), k)), F.col("key"))
     # the texts of lines that are compared leave the table once
-    met = cut(lines.select("n", "line").join(cut(few.distinct(), "few").hint("shuffle_hash"), "n", "left_semi"), "met")
+    rows = lines.select("n", "line").join(rows.hint("shuffle_hash"), "n")
+    rows = cut(rows.select("key", "n", "line", own.alias("own"), odd_counts(F.col("line")).alias("odd")), "texts")
     release(spark)
-    links = cut(_verified(candidates, met, k), "links")
-    discard(candidates)
-    return links.union(_hot_links(rows, met, k)).distinct() if some_hot else links
-
-
-def _verified(pairs: DataFrame, lines: DataFrame, k: int) -> DataFrame:
-    """Those of pairs (src, dst) that are within k edits."""
-    left, right = (lines.select(F.col("n").alias(c), F.col("line").alias(x)) for c, x in (("src", "x"), ("dst", "y")))
-    near = pairs.hint("merge").join(left, "src").hint("merge").join(right, "dst").where(F.levenshtein("x", "y", k) >= 0)
-    return near.select("src", "dst")
+    return _links_by_key(rows, k, hot_key)
 
 
-def _hot_links(rows: DataFrame, lines: DataFrame, k: int) -> DataFrame:
-    """Links within hot segments. rows: key, n, own (whether the line is indexed under the key, or probes it).
+def _links_by_key(rows: DataFrame, k: int, hot_key: int) -> DataFrame:
+    """Links within keys. rows: key, n, line, own (whether the line is indexed under the key, or probes it).
 
-    First every line is compared with PIVOTS indexed ones of each key. Then, for keys that still hold several components,
-    lines are compared across components only, and lines of a key's largest component only with those outside it.
+    Every line is compared with PIVOTS indexed ones of each of its keys. Where a key still holds several components and more than
+    hot_key indexed lines, the next pivots are taken outside its largest component. After ROUNDS of them what is left is compared
+    across components only, and lines of a key's largest component only with those outside it.
     """
-    spark = rows.sparkSession
-    rank = F.row_number().over(W.partitionBy("key").orderBy(F.xxhash64("n"), "n"))
-    pivots = cut(rows.where("own").withColumn("rank", rank).where(F.col("rank") <= PIVOTS).select("key", F.col("n").alias("a")), "pivots")
-    pairs = pivots.hint("merge").join(rows.select("key", F.col("n").alias("b")), "key").where("a <> b").select(*_ordered()).distinct()
-    near = cut(_verified(cut(pairs, "pivot-pairs"), lines, k), "pivot-links")
-    release(spark)
-    components = connected_components(near).select(F.col("node").alias("n"), "component")
-    rows = cut(rows.hint("merge").join(components, "n", "left").withColumn("component", F.coalesce("component", "n")), "hot-rows")
-    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("rows"))
-    sizes = sizes.groupBy("key").agg(F.max(F.struct("rows", "component")).getField("component").alias("main"), F.count("*").alias("parts"))
-    rows = rows.hint("merge").join(sizes.where("parts > 1").select("key", "main"), "key").withColumn("outside", F.col("component") != F.col("main"))
-    met = lines.select("n", "line", F.length("line").alias("length")).hint("merge").join(rows.select("n").distinct(), "n", "left_semi")
-    met = met.select(
-        "n", "line", F.array(*index_keys(F.col("line"), F.col("length"), FINE - 1)).alias("fine"),
-        F.array_distinct(F.array(*moved_keys(F.col("line"), F.col("length"), FINE, k))).alias("moved"),
-    )
-    rows = cut(rows.hint("merge").join(met, "n"), "hot-texts")
-    release(spark)
-    left = rows.where("own").select(F.col("key").alias("key_a"), F.col("n").alias("a"), F.col("line").alias("x"), "fine", F.col("component").alias("c"), F.col("outside").alias("o"))
-    right = rows.where("not own").select("key", F.col("n").alias("b"), F.col("line").alias("y"), "moved", F.col("component").alias("d"), F.col("outside").alias("p"))
-    apart = (F.col("key_a") == F.col("key")) & (F.col("c") != F.col("d"))
-    alike = (F.size(F.array_intersect("fine", "moved")) >= FINE - k) & (F.levenshtein("x", "y", k) >= 0)
-    parts = [left.where(o).hint("merge").join(right.where(p), apart & alike).select(*_ordered()) for o, p in (("o", "true"), ("not o", "p"))]
-    return near.union(parts[0]).union(parts[1])
+    rows = rows.withColumns({"component": F.col("n"), "outside": F.lit(True), "tried": F.lit(False), "left": F.lit(hot_key + 1)})
+    found = None
+    for _ in range(ROUNDS):
+        rank, live = F.row_number().over(W.partitionBy("key").orderBy(F.xxhash64("n"), "n")), rows.where(F.col("left") > hot_key)
+        pivots = live.where("own and outside and not tried").withColumn("rank", rank).where(F.col("rank") <= PIVOTS)
+        pivots = cut(_side(pivots, "a", "x", F.col("component").alias("c")), "pivots")
+        near = cut(_compared(pivots, _side(live, "b", "y", F.col("component").alias("d")), k), "pivot-links")
+        found = near if found is None else found.union(near)
+        rows = cut(_open_rows(rows, pivots, found), "open-rows")
+        release(rows.sparkSession)
+        # where a pivot has hardly any line near it, no dense groups are left
+        if near.count() <= pivots.count() or rows.where(F.col("left") > hot_key).isEmpty():
+            break
+    return found.union(_links_across(rows, k))
+
+
+def _open_rows(rows: DataFrame, pivots: DataFrame, links: DataFrame) -> DataFrame:
+    """rows with their components by links, of those keys that have lines of several components and any that was no pivot."""
+    components = connected_components(links).select(F.col("node").alias("n"), F.col("component").alias("now"))
+    tried = pivots.select(F.col("key_a").alias("key"), F.col("a").alias("n"), F.lit(True).alias("pivot"))
+    rows = rows.drop("component", "outside", "left").hint("merge").join(components, "n", "left").hint("merge").join(tried, ["key", "n"], "left")
+    rows = cut(rows.withColumns({"tried": F.coalesce("pivot", "tried"), "component": F.coalesce("now", "n")}).drop("pivot", "now"), "grouped")
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("rows"), F.count_if(F.col("own") & ~F.col("tried")).alias("left"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("rows", "component")).getField("component").alias("main"), F.count("*").alias("parts"), F.sum("left").alias("left"))
+    few = sizes.where("parts > 1 and left > 0").select("key", "main", "left")
+    return rows.hint("merge").join(few, "key").withColumn("outside", F.col("component") != F.col("main")).drop("main")
+
+
+def _links_across(rows: DataFrame, k: int) -> DataFrame:
+    """Links between lines of different components of a key, where neither has been a pivot."""
+    rows = rows.where("not tried")
+    left = _side(rows.where("own"), "a", "x", F.col("component").alias("c"), F.col("outside").alias("o"))
+    right = _side(rows, "b", "y", F.col("component").alias("d"), F.col("outside").alias("p"))
+    return _compared(left.where("o"), right, k).union(_compared(left.where("not o"), right.where("p"), k))
 
 
 def line_classes(lines: DataFrame, k: int = EDITS, hot_key: int = HOT_KEY) -> DataFrame:
@@ -226,14 +232,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     comes first. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    lines = cut(lines_of(docs, id_col, text_col), "lines")
+    lines = lines_of(docs, id_col, text_col)  # texts are split twice, which takes less than to write all lines and read them twice
     distinct = cut(lines.select("h1", "h2", "line").distinct().withColumn("n", F.monotonically_increasing_id()), "distinct")
     at = cut(lines.select("id", "text_hash", "at", "h1", "h2"), "at")
-    discard(lines)
     release(spark)
     classes = line_classes(distinct, k, hot_key)
     discard(distinct)
-    marked = at.hint("merge").join(classes, ["h1", "h2"], "left")
+    marked = at.join(classes.hint("shuffle_hash"), ["h1", "h2"], "left")
     marked = cut(marked.select("id", "text_hash", "at", F.coalesce("class_id", class_name("h1", "h2")).alias("class_id")), "marked")
     release(spark)
     first = marked.groupBy("class_id").agg(F.min(F.struct("id", "text_hash", "at")).alias("first")).select("first.*")
