@@ -207,15 +207,15 @@ def choose_partitions(classes: DataFrame, radius: int = RADIUS) -> list[tuple[li
 
 
 def keyed(classes: DataFrame, parts: list[tuple[list[int], int]], own: bool) -> DataFrame:
-    """(key, n, s0, s1, component) rows: of each partition the key itself (own), or the keys within its threshold.
+    """(key, n, component, f0...) rows: of each partition the key itself (own), or the keys within its threshold.
 
     Of two keys that differ, the one that has the highest differing bit set probes the other.
     """
-    names = ["key", "n", "s0", "s1", "component"]
+    names = ["key", "n", "component", *_WORDS]
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            bits, rows = bits_of(_matrix(batch)), [batch.column(c).to_numpy() for c in ("n", "f0", "f1", "component")]
+            bits, rows = bits_of(_matrix(batch)), [batch.column(c).to_numpy() for c in ("n", "component", *_WORDS)]
             for part, (group, threshold) in enumerate(parts):
                 key = key_of(bits, part, group)
                 if own:
@@ -226,29 +226,35 @@ def keyed(classes: DataFrame, parts: list[tuple[list[int], int]], own: bool) ->
                     other = key[at] ^ np.int64(sum(1 << b for b in flip))
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (other, *(r[at] for r in rows))], names=names)
 
-    return classes.select("n", "component", *_WORDS).mapInArrow(run, "key long, n long, s0 long, s1 long, component long")
+    return classes.select("n", "component", *_WORDS).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame, Column, Column]:
+    """Both with their columns' names ended by _a and _b; the number of bits in which a pair differs, and whether it is a candidate."""
+    sides = [rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("n", "component", *_WORDS)]) for rows, x in ((left, "a"), (right, "b"))]
+    apart = [F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _WORDS]
+    bits = sum(apart[1:], apart[0])
+    return *sides, bits, (apart[0] + apart[1] <= SKETCH) & (bits <= FAR)
 
 
 def _meet(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets of different components under one key with near sketches."""
-    sides = [rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("n", "s0", "s1", "component")]) for rows, x in ((left, "a"), (right, "b"))]
-    wanted = F.col("component_a") != F.col("component_b")
-    wanted &= F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) <= SKETCH
-    met = sides[0].hint("merge").join(sides[1], "key").where(wanted)
+    """Pairs (a, b) of sets of different components under one key with near fingerprints."""
+    left, right, _, near = _sides(left, right)
+    met = left.hint("merge").join(right, "key").where((F.col("component_a") != F.col("component_b")) & near)
     return met.select(F.least("n_a", "n_b").alias("a"), F.greatest("n_a", "n_b").alias("b"))
 
 
 def _pivots(own: DataFrame) -> DataFrame:
     """One row of own for each key: of its sets the one with the least hash."""
-    first = F.min(F.struct(F.xxhash64("n").alias("h"), "n", "s0", "s1", "component")).alias("p")
-    return own.groupBy("key").agg(first).select("key", "p.n", "p.s0", "p.s1", "p.component")
+    rest = ["n", "component", *_WORDS]
+    first = F.min(F.struct(F.xxhash64("n").alias("h"), *rest)).alias("p")
+    return own.groupBy("key").agg(first).select("key", *[f"p.{c}" for c in rest])
 
 
 def _nearest_pivots(pivots: DataFrame, own: DataFrame) -> DataFrame:
-    """Pairs (a, b): each set with one other, of the pivots of its keys the one with the nearest sketch."""
-    left, right = (rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("n", "s0", "s1")]) for rows, x in ((pivots, "a"), (own, "b")))
-    bits = F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b")))
-    met = left.hint("merge").join(right, "key").where((F.col("n_a") != F.col("n_b")) & (bits <= SKETCH))
+    """Pairs (a, b): each set with one other, of the pivots of its keys the one with the nearest fingerprint."""
+    left, right, bits, near = _sides(pivots, own)
+    met = left.hint("merge").join(right, "key").where((F.col("n_a") != F.col("n_b")) & near)
     best = met.groupBy("n_b").agg(F.min(F.struct(bits.alias("bits"), "n_a")).getField("n_a").alias("n_a"))
     return best.select(F.least("n_a", "n_b").alias("a"), F.greatest("n_a", "n_b").alias("b"))
 
@@ -263,13 +269,8 @@ def _grouped(classes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, threshold: float) -> DataFrame:
-    """(src, dst): those of pairs whose sets are similar. All bits are compared first, then the sets."""
-    pairs = cut(pairs.distinct(), "pairs")
-    release(docs.sparkSession)
-    sides = [classes.select(F.col("n").alias(x), *[F.col(c).alias(f"{c}{x}") for c in _WORDS]) for x in ("a", "b")]
-    bits = sum((F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in _WORDS), F.lit(0))
-    near = cut(pairs.hint("merge").join(sides[0], "a").hint("merge").join(sides[1], "b").where(bits <= FAR).select("a", "b"), "near")
-    discard(pairs)
+    """(src, dst): those of pairs whose sets are similar."""
+    near = cut(pairs.distinct(), "near")
     release(docs.sparkSession)
     few = cut(near.select(F.explode(F.array("a", "b")).alias("n")).distinct(), "few")
     sets = cut(sets_of(docs, classes, few, width), "sets")
