@@ -3,7 +3,8 @@ group is current. Groups are only ever aggregated, so that one of any size is no
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgspark.functions.scalars import OPEN_END, normalize_value
@@ -17,6 +18,8 @@ DEFAULT_WEIGHT, MARGIN = 0.3, 0.15
 MAX_SETS = 10_000
 #: Sources up to which their reliabilities are broadcast in a round.
 FEW_SOURCES = 100_000
+#: About so many sources of a claim stand in one row; a claim of more has several rows.
+CHUNK = 64
 GROUP = ["subject_id", "predicate"]
 
 
@@ -223,24 +226,68 @@ def truth_rounds(claims: DataFrame, rounds: int = 8, delta: float = 0.01, start:
 
     Round 0 is start for each source. A claim's confidence is the noisy-or of its sources' reliabilities, a source's next
     reliability the mean confidence of its claims, each counted n times. It ends after so many rounds, or with the first in which
-    no reliability moves by delta or more. Each round is two aggregations and writes its reliabilities; nulls are dropped and an
-    empty table gives an empty result.
+    no reliability moves by delta or more. Nulls are dropped and an empty table gives an empty result.
+
+    Of up to FEW_SOURCES sources claims are gathered once, in rows of about CHUNK sources, and a round shuffles only the rows of
+    claims that have several, and sums by source. Otherwise each round is two aggregations. Each writes its reliabilities.
     """
     claims = cut(claims.where("claim is not null and source is not null and n > 0").select("claim", "source", "n"), "claims")
     held = cut(claims.groupBy("source").agg(F.sum("n").alias("total")).withColumn("reliability", F.lit(float(start))), "reliability")
     few = held.count() <= FEW_SOURCES
+    if few:  # the rows of one broadcast
+        held = cut(held.withColumn("place", F.row_number().over(W.orderBy("source"))), "reliability")
+    key = "place" if few else "source"
     every = held.select(F.lit(0).alias("round"), "source", "reliability")
+    chunks, single = _chunks(claims, held) if few else (None, True)
     for i in range(1, rounds + 1):
-        known = held.select("source", "reliability")
-        weighed = claims.join(F.broadcast(known), "source") if few else claims.hint("merge").join(known, "source")
-        doubt = weighed.groupBy("claim").agg(F.product(1 - F.col("reliability")).alias("doubt"))
-        sure = F.least(F.greatest(1 - F.col("doubt"), F.lit(0.0)), F.lit(1.0))
-        told = claims.hint("merge").join(doubt, "claim").groupBy("source").agg(F.sum(F.col("n") * sure).alias("sum"))
-        nxt = held.withColumnRenamed("reliability", "before").hint("merge").join(told, "source")
-        held = cut(nxt.select("source", "total", F.col("before"), (F.col("sum") / F.col("total")).alias("reliability")), "reliability")
+        told = _told_by_chunks(chunks, single, held) if few else _told(claims, held)
+        nxt = held.withColumnRenamed("reliability", "before").hint("merge").join(told, key)
+        held = cut(nxt.select(*dict.fromkeys(("source", key)), "total", F.col("before"), (F.col("sum") / F.col("total")).alias("reliability")), "reliability")
         every = every.union(held.select(F.lit(i).alias("round"), "source", "reliability"))
         moved = held.agg(F.max(F.abs(F.col("reliability") - F.col("before")))).first()[0]
         held = held.drop("before")
         if moved is None or moved < delta:
             break
     return every
+
+
+def _sure(doubt: str) -> Column:
+    return F.least(F.greatest(1 - F.col(doubt), F.lit(0.0)), F.lit(1.0))
+
+
+def _told(claims: DataFrame, held: DataFrame) -> DataFrame:
+    """(source, sum): the confidence of each source's claims, each counted n times."""
+    weighed = claims.hint("merge").join(held.select("source", "reliability"), "source")
+    doubt = weighed.groupBy("claim").agg(F.product(1 - F.col("reliability")).alias("doubt"))
+    return claims.hint("merge").join(doubt, "claim").groupBy("source").agg(F.sum(F.col("n") * _sure("doubt")).alias("sum"))
+
+
+def _chunks(claims: DataFrame, held: DataFrame) -> tuple[DataFrame, bool]:
+    """((claim, told: place and n), whether each claim is one row): claims in rows of about CHUNK sources, dealt by hash."""
+    numbers = held.count()
+    told = F.collect_list(F.struct("place", "n")).alias("told")
+    claims = claims.join(F.broadcast(held.select("source", "place")), "source")
+    if numbers <= CHUNK:  # no claim can have more
+        return cut(claims.groupBy("claim").agg(told).select("told"), "chunks"), True
+    part = F.pmod(F.xxhash64("place"), F.lit(-(-numbers // CHUNK)))
+    sizes = claims.groupBy("claim").agg(F.count("*").alias("size")).where(F.col("size") > CHUNK)
+    large = cut(sizes, "large-claims")
+    if large.isEmpty():
+        return cut(claims.groupBy("claim").agg(told).select("told"), "chunks"), True
+    marked = claims.hint("merge").join(large, "claim", "left")
+    marked = marked.withColumn("part", F.when(F.col("size").isNotNull(), part))
+    return cut(marked.groupBy("claim", "part").agg(told, F.first("size").alias("size")).drop("part"), "chunks"), False
+
+
+def _told_by_chunks(chunks: DataFrame, single: bool, held: DataFrame) -> DataFrame:
+    """(place, sum) as of _told, of rows that have several sources each; the reliabilities are one broadcast row, in order of place."""
+    known = F.array_sort(F.collect_list(F.struct("place", "reliability")))
+    known = held.agg(known.alias("known")).select(F.col("known.reliability").alias("known"))
+    doubt = F.aggregate("told", F.lit(1.0), lambda acc, t: acc * (1 - F.element_at("known", t["place"])))
+    rows = chunks.crossJoin(F.broadcast(known)).withColumn("doubt", doubt).drop("known")
+    if not single:
+        several = rows.where("size is not null")
+        whole = several.groupBy("claim").agg(F.product("doubt").alias("doubt"))
+        several = several.drop("doubt").hint("merge").join(whole, "claim").select("told", "doubt")
+        rows = rows.where("size is null").select("told", "doubt").union(several)
+    return rows.select("doubt", F.inline("told")).groupBy("place").agg(F.sum(F.col("n") * _sure("doubt")).alias("sum"))
