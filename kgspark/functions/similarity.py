@@ -97,15 +97,19 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return _distinct(lambda x, y: [ratio(*p) for p in zip(x, y, strict=True)], a, b)
 
 
-@F.pandas_udf(DoubleType())
-def best_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+def best_batch(a: list, b: list) -> np.ndarray:
     """The best Jaro-Winkler of any string of the one array with any of the other; 0 where one is empty or null."""
     pairs = [(i, x, y) for i, (xs, ys) in enumerate(zip(a, b, strict=True)) for x in ([] if xs is None else xs) for y in ([] if ys is None else ys)]
     out = np.zeros(len(a))
     if pairs:
         row, x, y = zip(*pairs, strict=True)
         np.maximum.at(out, np.array(row), jaro_winkler_batch(list(x), list(y)))
-    return pd.Series(out)
+    return out
+
+
+@F.pandas_udf(DoubleType())
+def best_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series(best_batch(a, b))
 
 
 def ratio_batch(left: list[str], right: list[str]) -> list[float]:
