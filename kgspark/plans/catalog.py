@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.functions import scalars as S
-from kgspark.operators import conflicts, dashboard, evaluation, graph, identity, near_duplicates, resolution, retrieval, threads
+from kgspark.operators import conflicts, dashboard, evaluation, graph, identity, near_duplicates, resolution, resolution_index, retrieval, threads
 from kgspark.operators.components import connected_components
 from kgspark.shared import table
 from kgspark.streaming.feeds import activity_counts
@@ -98,7 +98,7 @@ def j05_blocking(spark, sf):
 
 
 def p03_entity_resolution(spark, sf):
-    return resolution.resolve_entities(entities(spark, sf))[0]
+    return resolution_index.merge_blocks(entities(spark, sf))
 
 
 def j08_redirect(spark, sf):
