@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kgspark.functions.similarity import PREFIX, SCALE, at_least, jaro_winkler_batch
+from kgspark.functions.similarity import PREFIX, SCALE, JaroTable, at_least, jaro_winkler_batch
 from kgspark.shared import cut
 
 #: Where buckets of lengths begin: each length to 8, then about a fifth more each time.
@@ -31,6 +31,8 @@ BUCKETS = [*range(1, 9), *sorted({int(8 * 1.19**i) for i in range(1, 90)} - {8})
 CHOICES, LETTERS = 64, 4
 #: Letters whose frequencies are held by tasks; others count as rarer. Keys of the asked names that are held by tasks, if they are no more.
 RANKS, HELD = 4096, 4_000_000
+#: Bits for a letter of a name in near_in_tile.
+DEEP = 16
 #: Thresholds at which nearest_names looks for a name before it takes the lowest one.
 RUNGS = (0.95, 0.92, 0.88, 0.84, 0.8, 0.75)
 
@@ -217,40 +219,66 @@ def _letters(names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each name how often it has each letter (letters are put together by 64 at most), its first letters, and its length."""
     size = np.array([len(x) for x in names], np.int64)
     codes = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), "<u4")
-    counts = np.zeros((len(names), 64), np.int32)
-    np.add.at(counts, (np.repeat(np.arange(len(names)), size), codes % 64), 1)
+    counts = np.bincount(np.repeat(np.arange(len(names)), size) * 64 + codes % 64, minlength=64 * len(names)).reshape(-1, 64)
     heads = np.array([[ord(c) for c in x[:PREFIX]] + [-1] * (PREFIX - len(x[:PREFIX])) for x in names], np.int64).reshape(-1, PREFIX)
-    return counts.astype(np.uint8) if counts.max(initial=0) < 256 else counts, heads, size
+    return counts, heads, size
 
 
-def near_in_tile(left: list[str], right: list[str], threshold: float, same: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _in_bits(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words of x, words of y, over of x, over of y): bits of numbers of letters, as many as the number, DEEP at most, and what is over that.
+    Of two names no more letters are in common than bits, and what both are over."""
+    deep = np.minimum(np.minimum(x.max(axis=0, initial=0), y.max(axis=0, initial=0)), DEEP)
+    letter, least = np.repeat(np.arange(64), deep), np.concatenate([np.arange(d) for d in deep])
+    unused = -len(letter) % 64 if len(letter) else 64
+    words = [np.ascontiguousarray(np.packbits(np.pad(z[:, letter] > least, ((0, 0), (0, unused))), axis=1)).view(np.uint64) for z in (x, y)]
+    return *words, *(np.maximum(z[:, deep == DEEP] - DEEP, 0).sum(axis=1) for z in (x, y))
+
+
+def near_in_tile(left: list[str], right: list[str], threshold: float, same: bool = False, either: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions of the pairs of left and right with a Jaro-Winkler similarity of threshold and more. same: left is right, pairs come once.
+    either: also those that have it the other way round, as the first name's letters choose theirs one after another.
 
     Names with too few letters in common, wherever these stand, are never scored.
     """
     (x, head, n), (y, other, m) = _letters(left), _letters(right)
-    used = np.flatnonzero(x.any(axis=0) & y.any(axis=0))
-    for start in range(0, len(left), 64):
-        part = slice(start, start + 64)
-        common = np.zeros((len(n[part]), len(m)), np.int32)
-        for c in used:
-            common += np.minimum(x[part, c, None], y[None, :, c])
-        size = n[part, None]
+    scores, turned = JaroTable(left, right), JaroTable(right, left) if either else None
+    x, y, over, more = _in_bits(x, y)
+    columns, kind = np.ascontiguousarray(y.T), np.uint8 if 64 * y.shape[1] < 256 and not (over.any() and more.any()) else np.int64
+    (sizes, own), (lengths, of) = (np.unique(size, return_inverse=True) for size in (n, m))
+    most = sizes[:, None].astype(float) + 0 * lengths  # letters that must be in common for lengths, if all of PREFIX are at the start
+    with np.errstate(divide="ignore", invalid="ignore"):
+        jaro = (threshold - 1e-9 - SCALE * PREFIX) / (1 - SCALE * PREFIX)
+        most = np.ceil((3 * jaro - 1) / (1 / most + 1 / lengths) - 1e-6)
+    need = np.clip(np.where(np.isfinite(most), most, 0), 0, 255 if kind is np.uint8 else None)[:, of].astype(kind)
+    step, waiting, held = max(1, (1 << 16) // max(1, len(right))), [], 0
+    for start in range(0, len(left), step):
+        part = slice(start, start + step)
+        common = np.zeros((len(n[part]), len(m)), kind)
+        for c in range(len(columns)):
+            common += np.bitwise_count(x[part, c, None] & columns[c])
+        if kind is not np.uint8:
+            common += np.minimum(over[part, None], more)
+        at = np.flatnonzero(common >= need[own[part]])
+        a, b = np.divmod(at, len(m)) if len(m) else (at, at)
+        kept = slice(None) if not same else a + start < b
+        waiting.append((a[kept] + start, b[kept], common.ravel()[at[kept]]))
+        held += len(waiting[-1][0])
+        if held < 1 << 15 and start + step < len(left):
+            continue
+        i, j, count = (np.concatenate(w) for w in zip(*waiting, strict=True))
+        waiting, held, count, size, length = [], 0, count.astype(float), n[i], m[j]
         with np.errstate(divide="ignore", invalid="ignore"):
-            jaro = np.where(common > 0, (common / size + common / m + 1) / 3, 0.0)
-        jaro[(size == 0) & (m == 0)] = 1.0
-        shared, alike = np.zeros(common.shape, np.int8), np.ones(common.shape, bool)
-        for k in range(PREFIX):
-            alike &= (head[part, k, None] == other[None, :, k]) & (head[part, k, None] >= 0)
-            shared += alike
-        a, b = np.nonzero(jaro + SCALE * shared * (1 - jaro) >= threshold - 1e-9)
-        a += start
-        if same:
-            a, b = a[a < b], b[a < b]
-        for k in range(0, len(a), 1 << 16):
-            i, j = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
-            kept = jaro_winkler_batch([left[q] for q in i], [right[q] for q in j]) >= threshold - 1e-9
-            yield i[kept], j[kept]
+            jaro = np.where(count > 0, (count / size + count / length + 1) / 3, 0.0)
+        jaro[(size == 0) & (length == 0)] = 1.0
+        shared = np.cumprod((head[i] == other[j]) & (head[i] >= 0), axis=1).sum(axis=1)
+        can = jaro + SCALE * shared * (1 - jaro) >= threshold - 1e-9
+        i, j = i[can], j[can]
+        found = scores.of_pairs(i, j, threshold - 1e-9)
+        if either:  # letters in common are as many the other way round, but may stand in another order
+            met = found > 0
+            found[met] = np.maximum(found[met], turned.of_pairs(j[met], i[met]))
+        kept = found >= threshold - 1e-9
+        yield i[kept], j[kept]
 
 
 def near_in_pieces(names: DataFrame, threshold: float) -> DataFrame:
@@ -269,7 +297,7 @@ def near_in_pieces(names: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 block, i, j, x, y = (batch.column(c)[k].as_py() for c in range(5))
-                for a, b in near_in_tile(x, y, threshold, i == j):
+                for a, b in near_in_tile(x, y, threshold, i == j, True):
                     found = [pa.array([block] * len(a)), pa.array([x[q] for q in a]), pa.array([y[q] for q in b])]
                     yield pa.RecordBatch.from_arrays([c.cast(pa.string()) for c in found], names=["block", "a", "b"])
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kgspark.functions.similarity import best_batch
+from kgspark.functions.similarity import JaroTable, best_batch
 from kgspark.shared import cut
 
 #: Pairs that a task scores at once.
@@ -64,19 +64,16 @@ def _shared(pair) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def _score(left: list, right: list, least: float, named: bool) -> tuple[np.ndarray, ...]:
-    """(name_similarity, exact_id_match, overlap, combined) of pairs of (names, signature, identifiers).
-
-    Names are compared where the pair can reach least through them only; named: also where it reaches it anyway.
-    """
+def _score(left: list, right: list, least: float) -> np.ndarray:
+    """Combined scores of pairs of (names, signature, identifiers), or what they have without names where these aren't needed to reach least or can't help to."""
     overlap = np.array([_shared((a[1], b[1])) for a, b in zip(left, right, strict=True)], float)
     exact = np.array([not a[2].isdisjoint(b[2]) for a, b in zip(left, right, strict=True)], bool)
     score = lambda name: combined_score(name, overlap, exact, np.where, np.minimum)
     name = np.zeros(len(left))
-    open_ = (score(1.0) >= least) & (named | (score(0.0) < least))
+    open_ = (score(1.0) >= least) & (score(0.0) < least)
     at = np.flatnonzero(open_)
     name[at] = best_batch([left[i][0] for i in at], [right[i][0] for i in at])
-    return name, exact, overlap, score(name)
+    return score(name)
 
 
 def heads(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -112,15 +109,14 @@ class _Slice:
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate(self.a), np.concatenate(self.b)
 
-    def score(self, a: np.ndarray, b: np.ndarray, least: float, named: bool) -> tuple:
-        """(a, b, their scores) of the pairs (a, b) that reach least."""
+    def reaching(self, a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs (a, b) that reach least."""
         kind = np.array(self.kinds, np.int64)
         met, which = np.unique(kind[a] * len(self.known) + kind[b], return_inverse=True)
         known = [(n or (), frozenset(s or ()), frozenset(i or ()) - {None}) for n, s, i in self.known]
         left, right = ([known[k] for k in side] for side in np.divmod(met, len(known)))
-        scores = _score(left, right, least, named)
-        kept = (scores[-1] >= least)[which]
-        return a[kept], b[kept], [s[which[kept]] for s in scores]
+        kept = (_score(left, right, least) >= least)[which]
+        return a[kept], b[kept]
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[_Slice]:
@@ -154,11 +150,11 @@ def _slices(batch: pa.RecordBatch) -> Iterator[_Slice]:
 def linked(own: _Slice, least: float) -> np.ndarray:
     """heads of the pairs that reach least. An eighth of the pairs comes first: what these link needs no other pair."""
     a, b = own.pairs()
-    x, y, _ = own.score(a[::8], b[::8], least, False)
+    x, y = own.reaching(a[::8], b[::8], least)
     head = heads(x, y, len(own.ids))
     rest = head[a] != head[b]
     rest[::8] = False
-    u, v, _ = own.score(a[rest], b[rest], least, False)
+    u, v = own.reaching(a[rest], b[rest], least)
     return heads(np.concatenate([x, u]), np.concatenate([y, v]), len(own.ids))
 
 
@@ -189,18 +185,108 @@ def links(tiled: DataFrame, least: float) -> DataFrame:
     return tiled.mapInArrow(run, schema)
 
 
+def _common(left: list[frozenset], right: list[frozenset]) -> np.ndarray:
+    """How many elements each of left has in common with each of right."""
+    out, places = np.zeros((len(left), len(right)), np.int32), {}
+    for i, held in enumerate(left):
+        for x in held:
+            places.setdefault(x, ([], []))[0].append(i)
+    for j, held in enumerate(right):
+        for x in held & places.keys():
+            places[x][1].append(j)
+    for i, j in places.values():
+        if len(i) == len(left) and len(j) == len(right):
+            out += 1
+        elif j:
+            out[np.ix_(i, j)] += 1
+    return out
+
+
+def _ranked(texts: list[list[str]]) -> tuple[list[str], list[np.ndarray]]:
+    """(different texts; for the first, second and so on of each list its place among them, -1 where a list has no more)."""
+    known: dict[str, int] = {}
+    numbers = [[known.setdefault(x, len(known)) for x in held] for held in texts]
+    deep = max(map(len, numbers), default=0)
+    return list(known), [np.array([held[k] if k < len(held) else -1 for held in numbers], np.int64) for k in range(deep)]
+
+
+def _best_table(left: list[list[str]], right: list[list[str]], wanted: np.ndarray) -> np.ndarray:
+    """The best similarity of any name of each of left with any of each of right, at least where wanted; 0 where one has none."""
+    out = np.zeros(wanted.shape)
+    if wanted.sum() * 16 < wanted.size:
+        a, b = np.nonzero(wanted)
+        out[a, b] = best_batch([left[i] for i in a], [right[j] for j in b])
+        return out
+    (rows, of_left), (columns, of_right) = _ranked(left), _ranked(right)
+    table = JaroTable(rows, columns).whole()
+    if len(of_left) == len(of_right) == 1 and table.shape == out.shape and all((x[0] == np.arange(len(x[0]))).all() for x in (of_left, of_right)):
+        return table
+    table = np.pad(table, (0, 1))  # the last ones are for -1
+    for i in of_left:
+        for j in of_right:
+            np.maximum(out, table[np.ix_(i, j)], out=out)
+    return out
+
+
+class _Members:
+    """Members of a tile: ids, and as sets or lists what is compared."""
+
+    def __init__(self, members: list[dict]):
+        self.ids = [m["id"] for m in members]
+        self.before, self.signature = ([frozenset(_hashable(m[k] or [])) for m in members] for k in ("before", "signature"))
+        self.identifiers = [frozenset(_hashable(m["identifiers"] or [])) - {None} for m in members]
+        self.names = [[(x or "").strip().lower() for x in m["names"] or ()] for m in members]
+
+    def __getitem__(self, part: slice) -> _Members:
+        out = object.__new__(_Members)
+        out.__dict__ = {k: v[part] for k, v in self.__dict__.items()}
+        return out
+
+
+def _scored(x: _Members, y: _Members, fresh: np.ndarray, least: float, below: float) -> tuple[np.ndarray, ...]:
+    """(positions in x, in y, name_similarity, exact_id_match, overlap, combined) of the fresh pairs with a combined score from least to under below."""
+    if any(x.before) and any(y.before):
+        fresh &= _common(x.before, y.before) == 0
+    if set(x.ids) & set(y.ids):
+        fresh &= _common([frozenset([i]) for i in x.ids], [frozenset([i]) for i in y.ids]) == 0
+    if fresh.any():
+        common = _common(x.signature, y.signature)
+        whole = np.array([len(s) for s in x.signature])[:, None] + np.array([len(s) for s in y.signature]) - common
+        overlap = np.divide(common, whole, out=np.zeros(common.shape), where=common > 0)
+        exact = _common(x.identifiers, y.identifiers) > 0
+        score = lambda name: combined_score(name, overlap, exact, np.where, np.minimum)
+        if exact.any() or combined_score(1.0, overlap.min(), False, np.where, np.minimum) < least or combined_score(0.0, overlap.max(), False, np.where, np.minimum) >= below:
+            fresh &= (score(1.0) >= least) & (score(0.0) < below)
+    if not fresh.any():
+        none = np.zeros(0, np.int64)
+        return none, none, none.astype(float), none.astype(bool), none.astype(float), none.astype(float)
+    name = _best_table(x.names, y.names, fresh)
+    combined = score(name)
+    kept = np.flatnonzero(fresh & (combined >= least) & (combined < below))
+    return *np.divmod(kept, len(y.ids)), *(s.ravel()[kept] for s in (name, exact, overlap, combined))
+
+
 def pairs(tiled: DataFrame, least: float, below: float) -> DataFrame:
-    """(a, b, name_similarity, exact_id_match, overlap, combined) of the pairs of tiles with a combined score from least to under below."""
+    """(a, b, name_similarity, exact_id_match, overlap, combined) of the pairs of tiles with a combined score from least to under below.
+
+    Strips of a tile, of SLICE pairs at most or one member with those of a piece, are scored as tables.
+    """
     doubles = [T.StructField(n, T.BooleanType() if n == "exact_id_match" else T.DoubleType()) for n in ("name_similarity", "exact_id_match", "overlap", "combined")]
     schema = T.StructType([*(T.StructField(x, _id_type(tiled)) for x in "ab"), *doubles])
 
     def run(batches):
         for batch in batches:
             kind = batch.schema.field("x").type.value_type.field("id").type
-            for own in _slices(batch):
-                a, b, scores = own.score(*own.pairs(), least, True)
-                kept = (scores[-1] < below) & _apart(own, a, b)
-                ids = [pa.array([own.ids[i] for i in side[kept]], kind) for side in (a, b)]
-                yield pa.RecordBatch.from_arrays([*ids, *(pa.array(s[kept]) for s in scores)], names=schema.names)
+            for k in range(batch.num_rows):
+                x, y = (None if (held := batch.column(c)[k].as_py()) is None else _Members(held) for c in (0, 1))
+                other = x if y is None else y
+                step, ids = max(1, SLICE // max(1, len(other.ids))), pa.array(other.ids, kind)
+                for start in range(0, len(x.ids), step):
+                    part = x[start : start + step]
+                    first = np.arange(start, start + len(part.ids))[:, None]
+                    fresh = first < np.arange(len(other.ids)) if y is None else np.ones((len(part.ids), len(other.ids)), bool)
+                    a, b, *scores = _scored(part, other, fresh, least, below)
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(part.ids, kind).take(pa.array(a)), ids.take(pa.array(b)), *map(pa.array, scores)], names=schema.names)
 
     return tiled.mapInArrow(run, schema)
